@@ -268,6 +268,10 @@ def _composed(steps: Column) -> Column:
     )
 
 
+def _adjusts() -> Column:
+    return positive("adjust_qty") & F.col("adjustment").isin(ADD, REMOVE, SET_EXACT)
+
+
 def folded_adjustments(edits: DataFrame) -> DataFrame:
     """Net effect of a batch of ordered stock adjustments, one row per product.
 
@@ -282,7 +286,7 @@ def folded_adjustments(edits: DataFrame) -> DataFrame:
     kind, qty = F.col("adjustment"), F.col("adjust_qty").cast("bigint")
     floor = F.when(kind == REMOVE, F.lit(0).cast("bigint")).when(kind == SET_EXACT, qty)
     shift = F.when(kind == ADD, qty).when(kind == REMOVE, -qty)
-    steps = edits.filter(positive("adjust_qty") & kind.isin(ADD, REMOVE, SET_EXACT)).select(
+    steps = edits.filter(_adjusts()).select(
         "product_id", F.col("seq").cast("bigint").alias("at"), floor.alias("floor"), shift.alias("shift")
     )
     every = F.collect_list(F.struct("at", "floor", "shift"))
@@ -317,7 +321,7 @@ def edit_products(products: DataFrame, inventory: DataFrame, edits: DataFrame) -
     named = edits.join(products.select("product_id", "product_name"), "product_id")
     reason = F.when(filled("reason"), F.col("reason")).otherwise("N/A")
     adjusted = _log(
-        named.filter(positive("adjust_qty")), "edited_by", "STOCK ADJUSTMENT",
+        named.filter(_adjusts()), "edited_by", "STOCK ADJUSTMENT",
         _text(
             F.col("product_name"), ": ", F.col("adjustment"), " ", F.col("adjust_qty"),
             " | Reason: ", reason,
