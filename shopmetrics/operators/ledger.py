@@ -7,10 +7,16 @@ within a batch) come with the requests.
 
 Tables with one row per key meet requests only after these are reduced to one row per key by a
 plain aggregate, so a product or sale named by a third of all requests costs one row per task.
+
+Jobs whose outputs share costly rows take ``stage``, a function that stores a frame and reads it
+back (``sources.sinks.staged``). Without it nothing runs until an output is used, and each output
+works the shared rows out for itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +27,13 @@ from shopmetrics.functions.dates import time_of_day
 from shopmetrics.functions.predicates import filled, not_voided, positive
 from shopmetrics.operators.rollup import cart_totals, merge_cart_lines
 
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def lazily(df: DataFrame) -> DataFrame:
+    return df
+
+
 # Movement types a person may record, of which only the first adds stock.
 STOCK_IN = "stock_in"
 RECORDABLE_MOVEMENTS = (STOCK_IN, "adjustment", "damaged")
@@ -64,7 +77,7 @@ def with_stock_changes(inventory: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def post_sales(
-    carts: DataFrame, lines: DataFrame, inventory: DataFrame, currency: str = "GHS"
+    carts: DataFrame, lines: DataFrame, inventory: DataFrame, currency: str = "GHS", stage: Stage = lazily
 ) -> dict[str, DataFrame]:
     """W1. Turn carts into sales.
 
@@ -73,7 +86,7 @@ def post_sales(
     is not a sale; lines without a cart are not sold.
     """
     buyer = carts.select("cart_id", "cashier_id", "sold_at")
-    merged = merge_cart_lines(lines)
+    merged = stage(merge_cart_lines(lines))
     sold = merged.join(buyer, "cart_id")
     priced = carts.join(cart_totals(merged), "cart_id").withColumn(
         "discount_amount", discount_amount("subtotal", "discount_type", "discount_value")
@@ -173,7 +186,8 @@ def void_sales(sales: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
 
 
 def process_returns(
-    requests: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame, currency: str = "GHS"
+    requests: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame, currency: str = "GHS",
+    stage: Stage = lazily,
 ) -> dict[str, DataFrame]:
     """W4. Take goods back: a refund row, the stock, and a ``return`` movement. The sale is not changed.
 
@@ -183,7 +197,7 @@ def process_returns(
     """
     wanted = requests.filter(filled("reason") & (F.col("quantity") >= 1))
     line = items.select("sale_id", "product_id", F.col("quantity").alias("_sold"), "unit_price")
-    accepted = (
+    accepted = stage(
         wanted.join(line, ["sale_id", "product_id"])
         .filter(F.col("quantity") <= F.col("_sold"))
         .withColumn("refund_amount", refund_amount("quantity", "unit_price"))

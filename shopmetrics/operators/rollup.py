@@ -52,11 +52,11 @@ def merge_cart_lines(lines: DataFrame) -> DataFrame:
     """A23. One line per product and cart: quantities add up, the first unit price stays.
 
     Takes ``cart_id, product_id, line_no, quantity, unit_price``; gives
-    ``cart_id, product_id, quantity, unit_price, subtotal``. Two lines with one number: lower price first.
+    ``cart_id, product_id, quantity, unit_price, subtotal``. Line numbers are unique in a cart.
     """
     merged = lines.groupBy("cart_id", "product_id").agg(
         F.sum("quantity").cast(lines.schema["quantity"].dataType).alias("quantity"),
-        F.min(F.struct("line_no", "unit_price"))["unit_price"].alias("unit_price"),
+        F.min_by("unit_price", "line_no").alias("unit_price"),
     )
     return merged.withColumn("subtotal", as_money(line_total("quantity", "unit_price")))
 

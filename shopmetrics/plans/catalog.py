@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from shopmetrics.functions import dates, labels, money, parsing
 from shopmetrics.operators import ledger, rollup, tills
 from shopmetrics.plans import backoffice, finance, sales, stock
+from shopmetrics.session import tuned
 from shopmetrics.sources.imports import conform, load_dedup
 from shopmetrics.sources.readers import explode_businesses
 from shopmetrics.sources.sinks import append_activity
@@ -245,7 +246,7 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
 
 
 def _query(build: Callable[[Shop], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: shown(build(Shop(spark, directory)))
+    return lambda spark, directory: shown(build(Shop(tuned(spark), directory)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

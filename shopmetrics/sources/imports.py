@@ -78,7 +78,7 @@ def load_hotel(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     """W11. The five hotel tables from ``<directory>/<sheet>.csv``."""
     return {
         name: load_hotel_table(
-            load_sheet(spark, os.path.join(directory, f"{name}.csv"), T.StructType.fromDDL(ddl)), name
+            load_sheet(spark, os.path.join(directory, f"{name}.csv"), ddl), name
         )
         for name, ddl in HOTEL_SHEETS.items()
     }

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopmetrics.functions.dates import as_date
 from shopmetrics.sources import schemas
 
 
 def load_table(
-    spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None
+    spark: SparkSession, directory: str, name: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """S1. Parquet table ``<directory>/<name>.parquet``; columns and filters are pruned at the scan."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(os.path.join(directory, f"{name}.parquet"))
 
 
-def load_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S1 for a directory written by ``sinks.write_by_month``: a date filter skips whole months."""
-    return spark.read.schema(schema).parquet(path)
+def load_by_month(
+    spark: SparkSession, path: str, schema: T.StructType, start: dt.date | str | None = None,
+    end: dt.date | str | None = None,
+) -> DataFrame:
+    """S1 for a table written by ``sinks.write_by_month``; only the months from ``start`` to ``end`` are read."""
+    stored = T.StructType([*schema.fields, T.StructField("month", T.StringType())])
+    months = spark.read.schema(stored).parquet(path)
+    if start is not None:
+        months = months.filter(F.col("month") >= as_date(start).strftime("%Y-%m"))
+    if end is not None:
+        months = months.filter(F.col("month") <= as_date(end).strftime("%Y-%m"))
+    return months.drop("month")
 
 
 def seed_frame(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
@@ -36,7 +47,7 @@ def explode_businesses(df: DataFrame, map_col: str) -> DataFrame:
     )
 
 
-def load_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def load_sheet(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """S5. One exported sheet. Columns go by position; the header text is skipped, not matched.
 
     A cell that does not parse as its declared type fails the read.
@@ -50,7 +61,7 @@ def load_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     )
 
 
-def load_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def load_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """S7. A record list whose header must name the declared columns, in order."""
     return (
         spark.read.schema(schema)

@@ -15,91 +15,87 @@ ADJUSTMENTS = ("Add Stock", "Remove Stock", "Set Exact Quantity")
 EXPENSE_CATEGORIES = ("Rent", "Electricity", "Water", "Salaries", "Supplies", "Transport", "Other")
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+INT, TEXT, FLAG = T.IntegerType(), T.StringType(), T.BooleanType()
+DAY, TIME, PRICE = T.DateType(), T.TimestampNTZType(), T.DecimalType(10, 2)
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
 # A chain of supermarkets: stock is held per branch, sale lines carry the price paid.
 SUPERMARKET = {
-    "branches": _schema("branch_id INT, branch_name STRING, location STRING"),
-    "cashiers": _schema("cashier_id INT, cashier_name STRING, branch_id INT"),
-    "customers": _schema("customer_id INT, customer_name STRING, phone STRING, city STRING"),
-    "products": _schema(
-        "product_id INT, product_name STRING, category STRING, price DECIMAL(10,2), reorder_level INT"
+    "branches": _table(branch_id=INT, branch_name=TEXT, location=TEXT),
+    "cashiers": _table(cashier_id=INT, cashier_name=TEXT, branch_id=INT),
+    "customers": _table(customer_id=INT, customer_name=TEXT, phone=TEXT, city=TEXT),
+    "products": _table(
+        product_id=INT, product_name=TEXT, category=TEXT, price=PRICE, reorder_level=INT,
     ),
-    "inventory": _schema("inventory_id INT, product_id INT, branch_id INT, quantity INT, expiry_date DATE"),
-    "sales": _schema(
-        "sale_id INT, customer_id INT, cashier_id INT, branch_id INT, sale_date DATE, sale_time STRING"
-    ),
-    "sale_items": _schema(
-        "item_id INT, sale_id INT, product_id INT, quantity INT, unit_price DECIMAL(10,2)"
+    "inventory": _table(inventory_id=INT, product_id=INT, branch_id=INT, quantity=INT, expiry_date=DAY),
+    "sales": _table(
+        sale_id=INT, customer_id=INT, cashier_id=INT, branch_id=INT, sale_date=DAY, sale_time=TEXT,
     ),
+    "sale_items": _table(item_id=INT, sale_id=INT, product_id=INT, quantity=INT, unit_price=PRICE),
 }
 
 # A single shop with a back office. The sign-in code of a user is kept out of every report.
 RETAIL = {
-    "users": _schema(
-        "user_id INT, full_name STRING, code STRING, role STRING, created_at TIMESTAMP_NTZ, is_active BOOLEAN"
-    ),
-    "products": _schema(
-        "product_id INT, barcode STRING, product_name STRING, category STRING, selling_price DECIMAL(10,2), "
-        "cost_price DECIMAL(10,2), reorder_level INT, is_active BOOLEAN, created_at TIMESTAMP_NTZ"
+    "users": _table(
+        user_id=INT, full_name=TEXT, code=TEXT, role=TEXT, created_at=TIME, is_active=FLAG,
     ),
-    "inventory": _schema("inventory_id INT, product_id INT, quantity INT, last_updated TIMESTAMP_NTZ"),
-    "sales": _schema(
-        "sale_id INT, cashier_id INT, sale_date DATE, sale_time STRING, payment_method STRING, "
-        "total_amount DECIMAL(10,2), discount_amount DECIMAL(10,2), is_voided BOOLEAN, voided_by INT, "
-        "void_reason STRING"
+    "products": _table(
+        product_id=INT, barcode=TEXT, product_name=TEXT, category=TEXT, selling_price=PRICE,
+        cost_price=PRICE, reorder_level=INT, is_active=FLAG, created_at=TIME,
     ),
-    "sale_items": _schema(
-        "sale_item_id INT, sale_id INT, product_id INT, quantity INT, unit_price DECIMAL(10,2), "
-        "subtotal DECIMAL(10,2)"
+    "inventory": _table(inventory_id=INT, product_id=INT, quantity=INT, last_updated=TIME),
+    "sales": _table(
+        sale_id=INT, cashier_id=INT, sale_date=DAY, sale_time=TEXT, payment_method=TEXT,
+        total_amount=PRICE, discount_amount=PRICE, is_voided=FLAG, voided_by=INT, void_reason=TEXT,
     ),
-    "stock_movements": _schema(
-        "movement_id INT, product_id INT, movement_type STRING, quantity INT, reason STRING, "
-        "recorded_by INT, movement_date TIMESTAMP_NTZ"
+    "sale_items": _table(
+        sale_item_id=INT, sale_id=INT, product_id=INT, quantity=INT, unit_price=PRICE, subtotal=PRICE,
     ),
-    "activity_log": _schema(
-        "log_id INT, user_id INT, action STRING, details STRING, logged_at TIMESTAMP_NTZ"
+    "stock_movements": _table(
+        movement_id=INT, product_id=INT, movement_type=TEXT, quantity=INT, reason=TEXT, recorded_by=INT,
+        movement_date=TIME,
     ),
-    "expenses": _schema(
-        "expense_id INT, expense_date DATE, category STRING, description STRING, amount DECIMAL(10,2), "
-        "recorded_by INT"
+    "activity_log": _table(log_id=INT, user_id=INT, action=TEXT, details=TEXT, logged_at=TIME),
+    "expenses": _table(
+        expense_id=INT, expense_date=DAY, category=TEXT, description=TEXT, amount=PRICE, recorded_by=INT,
     ),
-    "till_reconciliations": _schema(
-        "cashier_id INT, recon_date DATE, expected_cash DECIMAL(10,2), declared_cash DECIMAL(10,2), "
-        "difference DECIMAL(10,2), notes STRING, submitted_by INT, created_at TIMESTAMP_NTZ"
+    "till_reconciliations": _table(
+        cashier_id=INT, recon_date=DAY, expected_cash=PRICE, declared_cash=PRICE, difference=PRICE,
+        notes=TEXT, submitted_by=INT, created_at=TIME,
     ),
-    "returns": _schema(
-        "sale_id INT, product_id INT, quantity INT, refund_amount DECIMAL(10,2), reason STRING, "
-        "processed_by INT, return_date TIMESTAMP_NTZ"
+    "returns": _table(
+        sale_id=INT, product_id=INT, quantity=INT, refund_amount=PRICE, reason=TEXT, processed_by=INT,
+        return_date=TIME,
     ),
 }
 
 # A hotel. ``*_id`` of the two tables without a key in the sheets is supplied by the export.
 HOTEL = {
-    "rooms": _schema(
-        "room_number STRING, room_type STRING, floor INT, capacity INT, price_per_night DECIMAL(10,2), "
-        "status STRING, amenities STRING"
+    "rooms": _table(
+        room_number=TEXT, room_type=TEXT, floor=INT, capacity=INT, price_per_night=PRICE, status=TEXT,
+        amenities=TEXT,
     ),
-    "bookings": _schema(
-        "booking_id STRING, guest_name STRING, nationality STRING, room_number STRING, room_type STRING, "
-        "check_in DATE, check_out DATE, nights INT, price_per_night DECIMAL(10,2), "
-        "total_amount DECIMAL(10,2), booking_source STRING, payment_method STRING, status STRING"
+    "bookings": _table(
+        booking_id=TEXT, guest_name=TEXT, nationality=TEXT, room_number=TEXT, room_type=TEXT, check_in=DAY,
+        check_out=DAY, nights=INT, price_per_night=PRICE, total_amount=PRICE, booking_source=TEXT,
+        payment_method=TEXT, status=TEXT,
     ),
-    "restaurant_revenue": _schema("date DATE, meal_type STRING, covers INT, revenue DECIMAL(10,2)"),
-    "staff": _schema(
-        "staff_id STRING, full_name STRING, role STRING, department STRING, salary DECIMAL(10,2), "
-        "status STRING"
+    "restaurant_revenue": _table(date=DAY, meal_type=TEXT, covers=INT, revenue=PRICE),
+    "staff": _table(
+        staff_id=TEXT, full_name=TEXT, role=TEXT, department=TEXT, salary=PRICE, status=TEXT,
     ),
-    "expenses": _schema("month STRING, category STRING, description STRING, amount DECIMAL(10,2)"),
+    "expenses": _table(month=TEXT, category=TEXT, description=TEXT, amount=PRICE),
 }
 
 # Small frames.
-BUSINESSES = _schema("name STRING, revenue DECIMAL(10,2), expenses DECIMAL(10,2)")
-SALES_SHEET = _schema("product STRING, quantity INT, price DECIMAL(10,2)")
-CONTACTS = _schema("id INT, name STRING, phone STRING, city STRING")
-RATES = _schema("base STRING, rates MAP<STRING,DOUBLE>")
+BUSINESSES = _table(name=TEXT, revenue=PRICE, expenses=PRICE)
+SALES_SHEET = _table(product=TEXT, quantity=INT, price=PRICE)
+CONTACTS = _table(id=INT, name=TEXT, phone=TEXT, city=TEXT)
+RATES = _table(base=TEXT, rates=T.MapType(T.StringType(), T.DoubleType()))
 
 SCHEMAS = {
     **{f"supermarket.{name}": s for name, s in SUPERMARKET.items()},

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,11 +63,14 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Materialise a frame that several outputs share, in the cluster's shared checkpoint folder.
+    """A frame that several outputs share, worked out once and read back from shared storage.
 
-    The folder is the one named by ``spark.checkpoint.dir``; the data there outlives any executor.
+    Stored in the folder the cluster names in ``spark.checkpoint.dir``, where it outlives executors.
     """
-    context = SparkSession.active().sparkContext
-    if not SparkSession.active().conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if folder is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

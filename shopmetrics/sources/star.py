@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shopmetrics.functions.dates import time_of_day
 from shopmetrics.functions.money import MONEY, as_money
@@ -51,7 +50,7 @@ class Shop:
         self.directory = directory
 
     def table(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.directory, name, T.StructType.fromDDL(STAR[name]))
+        return load_table(self.spark, self.directory, name, STAR[name])
 
     @property
     def branches(self) -> DataFrame:
@@ -150,11 +149,15 @@ class Shop:
 
     @property
     def cart_lines(self) -> DataFrame:
-        """Lines of carts to be posted; the line amount stands in for the unit price, so that lines differ."""
+        """Lines of carts to be posted; the line amount stands in for the unit price, so that lines differ.
+
+        Line numbers of the source repeat: the amount in cents tells lines of one number apart.
+        """
+        cents = (as_money("l_extendedprice") * 100).cast("bigint")
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("cart_id"),
             F.col("l_partkey").alias("product_id"),
-            F.col("l_linenumber").alias("line_no"),
+            (F.col("l_linenumber") * F.lit(1_000_000_000_000) + cents).alias("line_no"),
             F.col("l_quantity").cast("int").alias("quantity"),
             as_money("l_extendedprice").alias("unit_price"),
         )

@@ -1,0 +1,319 @@
+"""Batch ledger jobs against row-by-row loops."""
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import pytest
+
+from shopmetrics.operators import ledger, rollup, tills
+from shopmetrics.sources.sinks import staged
+from tests.conftest import one, rows
+from tests.fixtures import OPENED, money, retail
+
+NOW = dt.datetime(2026, 6, 10, 12, 30, 5)
+DAY = NOW.date()
+
+CARTS = (
+    "cart_id INT, cashier_id INT, payment_method STRING, discount_type STRING, discount_value DECIMAL(10,2), "
+    "sold_at TIMESTAMP_NTZ"
+)
+LINES = "cart_id INT, product_id INT, line_no INT, quantity INT, unit_price DECIMAL(10,2)"
+
+
+def quantities(df):
+    return {r.product_id: r.quantity for r in df.collect()}
+
+
+def details(result):
+    return sorted((r.action, r.details) for r in result["activity"].collect())
+
+
+@pytest.fixture(scope="module", params=["lazy", "staged"])
+def posted(request, spark):
+    tables = retail(spark)
+    carts = spark.createDataFrame(
+        [
+            (1, 2, "cash", None, None, NOW), (2, 3, "card", "fixed", money(1000), NOW),
+            (3, 2, "momo", "percent", money(10), NOW), (4, 2, "cash", None, None, NOW),
+        ],
+        CARTS,
+    )
+    lines = spark.createDataFrame(
+        [
+            (1, 1, 1, 2, money(45)), (1, 5, 2, 1, money(6)), (1, 1, 3, 3, money(50)), (2, 2, 1, 40, money(28)),
+            (3, 8, 1, 5, money(4)), (9, 1, 1, 7, money(45)),
+        ],
+        LINES,
+    )
+    stage = staged if request.param == "staged" else ledger.lazily
+    return ledger.post_sales(carts, lines, tables["inventory"], stage=stage)
+
+
+def test_posted_sales(posted):
+    got = {r.sale_id: r for r in posted["sales"].collect()}
+    assert {i: (r.total_amount, r.discount_amount) for i, r in got.items()} == {
+        1: (money(231), money(0)), 2: (money(120), money(1000)), 3: (money(18), money(2)),
+    }
+    assert (got[1].sale_date, got[1].sale_time, got[1].is_voided) == (DAY, "12:30:05", False)
+
+
+def test_posted_lines_merge_at_the_first_price(posted):
+    got = {(r.sale_id, r.product_id): (r.quantity, r.unit_price, r.subtotal) for r in posted["sale_items"].collect()}
+    assert got == {
+        (1, 1): (5, money(45), money(225)), (1, 5): (1, money(6), money(6)), (2, 2): (40, money(28), money(1120)),
+        (3, 8): (5, money(4), money(20)),
+    }
+
+
+def test_posting_takes_stock_even_below_zero(posted):
+    stock = quantities(posted["inventory"])
+    assert (stock[1], stock[2], stock[5], stock[8], stock[3]) == (45, -10, 39, 95, 45)
+    assert {r.product_id for r in posted["inventory"].collect() if r.last_updated == NOW} == {1, 2, 5, 8}
+    moved = {(r.product_id, r.quantity, r.reason, r.movement_type) for r in posted["stock_movements"].collect()}
+    assert (1, 5, "Sale ID 1", "sale") in moved and len(moved) == 4
+
+
+def test_posting_is_logged(posted):
+    assert details(posted) == [
+        ("SALE", "Sale ID 1 - GHS 231.00"), ("SALE", "Sale ID 2 - GHS 120.00"), ("SALE", "Sale ID 3 - GHS 18.00"),
+    ]
+
+
+def test_cart_totals(spark):
+    lines = spark.createDataFrame([(1, 1, 1, 2, money(45)), (1, 5, 2, 1, money(6))], LINES)
+    assert rows(rollup.cart_totals(rollup.merge_cart_lines(lines))) == [(1, money(96))]
+
+
+def test_movements(spark, shop):
+    moves = spark.createDataFrame(
+        [
+            (1, "stock_in", 10, "new", 2, NOW), (1, "damaged", 3, "", 2, NOW), (2, "adjustment", 40, "", 2, NOW),
+            (3, "sale", 5, "", 2, NOW), (3, "stock_in", 0, "", 2, NOW), (99, "stock_in", 5, "", 2, NOW),
+        ],
+        "product_id INT, movement_type STRING, quantity INT, reason STRING, recorded_by INT, movement_date TIMESTAMP_NTZ",
+    )
+    got = ledger.apply_movements(shop["inventory"], moves, shop["products"])
+    stock = quantities(got["inventory"])
+    assert (stock[1], stock[2], stock[3]) == (57, -10, 45) and len(stock) == 10
+    assert got["stock_movements"].count() == 4
+    assert ("STOCK MOVEMENT", "stock_in - 10 units of Rice 5kg") in details(got)
+    assert got["inventory"].schema == shop["inventory"].schema
+
+
+def _sales(spark):
+    data = [(n, 2, DAY, "10:00:00", "cash", money(10), money(0), v, b, r) for n, v, b, r in [
+        (1, False, None, None), (2, False, None, None), (3, True, 1, "Before"), (4, None, None, None), (5, False, None, None),
+    ]]
+    return retail(spark, sales=data)["sales"]
+
+
+def test_voids(spark):
+    sales = _sales(spark)
+    requests = spark.createDataFrame(
+        [
+            (1, 1, 2, "First", NOW), (2, 1, 3, "Second", NOW), (3, 2, 2, "", NOW), (4, 2, 2, None, NOW),
+            (5, 3, 2, "Again", NOW), (6, 4, 2, "Unknown", NOW), (7, 77, 2, "No sale", NOW),
+        ],
+        "seq INT, sale_id INT, requested_by INT, reason STRING, requested_at TIMESTAMP_NTZ",
+    )
+    got = ledger.void_sales(sales, requests)
+    assert {r.sale_id: (r.is_voided, r.voided_by, r.void_reason) for r in got["sales"].collect()} == {
+        1: (True, 3, "Second"), 2: (False, None, None), 3: (True, 1, "Before"), 4: (None, None, None),
+        5: (False, None, None),
+    }
+    assert got["sales"].schema == sales.schema
+    assert details(got) == [("VOID", "Sale ID 1 voided. Reason: Second")]
+
+
+def test_returns(spark, shop):
+    items = spark.createDataFrame(
+        [(1, 1, 5, money(45)), (1, 5, 1, money(6))], "sale_id INT, product_id INT, quantity INT, unit_price DECIMAL(10,2)"
+    )
+    requests = spark.createDataFrame(
+        [
+            (1, 1, 2, "Damaged", 2, NOW), (1, 1, 5, "Wrong item", 2, NOW), (1, 1, 6, "Too many", 2, NOW),
+            (1, 5, 1, "", 2, NOW), (1, 5, 0, "None", 2, NOW), (2, 1, 1, "No sale", 2, NOW),
+        ],
+        "sale_id INT, product_id INT, quantity INT, reason STRING, processed_by INT, returned_at TIMESTAMP_NTZ",
+    )
+    got = ledger.process_returns(requests, items, shop["inventory"], shop["products"], stage=staged)
+    assert sorted((r.quantity, r.refund_amount) for r in got["returns"].collect()) == [(2, money(90)), (5, money(225))]
+    assert quantities(got["inventory"])[1] == 57 and quantities(got["inventory"])[5] == 40
+    assert {r.reason for r in got["stock_movements"].collect()} == {
+        "Return from Sale #1: Damaged", "Return from Sale #1: Wrong item",
+    }
+    assert ("RETURN", "Sale #1 — Rice 5kg x2 — GHS 90.00") in details(got)
+
+
+def test_new_products(spark, shop):
+    new = spark.createDataFrame(
+        [
+            (1, 20, "", "RICE 5KG", "Grains", money(1), money(2), 5, 3, 1, NOW),
+            (2, 21, "77", "Soap", "Household", money(1), money(2), 5, 3, 1, NOW),
+            (3, 22, "", "soap", "Household", money(1), money(9), 5, 4, 1, NOW),
+            (4, 23, "", "", "Household", money(1), money(2), 5, 3, 1, NOW),
+            (5, 24, "", "Free", "Household", money(0), money(2), 5, 3, 1, NOW),
+            (6, 25, "", "Salt", None, money(1), money(2), 0, 0, 1, NOW),
+        ],
+        "seq INT, product_id INT, barcode STRING, product_name STRING, category STRING, cost_price DECIMAL(10,2), "
+        "selling_price DECIMAL(10,2), reorder_level INT, opening_stock INT, added_by INT, added_at TIMESTAMP_NTZ",
+    )
+    got = ledger.add_products(shop["products"], shop["inventory"], new)
+    added = {r.product_id: r for r in got["products"].collect() if r.product_id > 10}
+    assert {(r.product_name, r.barcode, r.is_active) for r in added.values()} == {("Soap", "77", True), ("Salt", None, True)}
+    assert got["products"].columns == shop["products"].columns and got["products"].count() == 12
+    stock = quantities(got["inventory"])
+    assert (stock[21], stock[25], len(stock)) == (3, 0, 12)
+    assert details(got) == [("ADD PRODUCT", "Added Salt"), ("ADD PRODUCT", "Added Soap")]
+
+
+EDITS = (
+    "seq BIGINT, product_id INT, cost_price DECIMAL(10,2), selling_price DECIMAL(10,2), reorder_level INT, "
+    "is_active BOOLEAN, adjustment STRING, adjust_qty INT, reason STRING, edited_by INT, edited_at TIMESTAMP_NTZ"
+)
+
+
+def test_product_edits(spark, shop):
+    edits = spark.createDataFrame(
+        [
+            (1, 1, money(33), money(46), 21, True, "Remove Stock", 60, "Stocktake", 1, NOW),
+            (2, 1, None, money(47), None, None, "Add Stock", 5, None, 1, NOW),
+            (3, 2, None, None, None, False, "Set Exact Quantity", 12, "", 1, NOW),
+            (4, 3, None, None, None, None, "Add Stock", 0, None, 1, NOW),
+            (5, 3, None, None, None, None, None, None, None, 1, NOW),
+            (6, 99, money(1), None, None, None, "Add Stock", 1, None, 1, NOW),
+        ],
+        EDITS,
+    )
+    got = ledger.edit_products(shop["products"], shop["inventory"], edits)
+    products = {r.product_id: r for r in got["products"].collect()}
+    assert (products[1].cost_price, products[1].selling_price, products[1].reorder_level) == (money(33), money(47), 21)
+    assert products[2].is_active is False and products[2].cost_price == money(19)
+    stock = quantities(got["inventory"])
+    assert (stock[1], stock[2], stock[3], len(stock)) == (5, 12, 45, 10)
+    assert got["products"].schema == shop["products"].schema
+    assert [d for a, d in details(got) if a == "STOCK ADJUSTMENT"] == [
+        "Cooking Oil 1L: Set Exact Quantity 12 | Reason: N/A", "Rice 5kg: Add Stock 5 | Reason: N/A",
+        "Rice 5kg: Remove Stock 60 | Reason: Stocktake",
+    ]
+    assert sum(a == "EDIT PRODUCT" for a, _ in details(got)) == 5
+
+
+def _stock_by_loop(start, edits):
+    stock = dict(start)
+    for _, product, kind, qty in sorted(edits):
+        if product in stock and qty and qty > 0:
+            before = stock[product]
+            stock[product] = {
+                "Add Stock": before + qty, "Remove Stock": max(0, before - qty), "Set Exact Quantity": qty,
+            }[kind]
+    return stock
+
+
+@pytest.mark.parametrize("seed, sets", [(1, 0.0), (2, 0.002), (3, 0.3)])
+def test_ordered_edits_match_a_loop_when_one_product_takes_most(spark, seed, sets):
+    rnd = random.Random(seed)
+    edits = []
+    for seq in rnd.sample(range(1, 60_000_000), 6000):  # spread over many chunks
+        product = 1 if rnd.random() < 0.7 else rnd.randint(2, 10)
+        kind = "Set Exact Quantity" if rnd.random() < sets else rnd.choice(["Add Stock", "Remove Stock", "Remove Stock"])
+        edits.append((seq, product, kind, rnd.randint(0, 40)))
+    edits += [(60_000_000 + n, 1, rnd.choice(["Add Stock", "Remove Stock"]), rnd.randint(1, 9)) for n in range(5000)]
+    start = {n: rnd.randint(-5, 60) for n in range(1, 11)}
+    tables = retail(spark, inventory=[(n, n, q, OPENED) for n, q in start.items()])
+    frame = spark.createDataFrame(edits, "seq BIGINT, product_id INT, adjustment STRING, adjust_qty INT").selectExpr(
+        "seq", "product_id", "CAST(NULL AS DECIMAL(10,2)) AS cost_price", "CAST(NULL AS DECIMAL(10,2)) AS selling_price",
+        "CAST(NULL AS INT) AS reorder_level", "CAST(NULL AS BOOLEAN) AS is_active", "adjustment", "adjust_qty",
+        "CAST(NULL AS STRING) AS reason", "1 AS edited_by", "CAST(NULL AS TIMESTAMP_NTZ) AS edited_at",
+    ).repartition(7)
+    got = ledger.edit_products(tables["products"], tables["inventory"], frame)
+    assert quantities(got["inventory"]) == _stock_by_loop(start, edits)
+
+
+def test_set_active(spark, shop):
+    requests = spark.createDataFrame(
+        [(1, 1, False, 1, NOW), (2, 1, True, 1, NOW), (3, 2, False, 1, NOW)],
+        "seq INT, product_id INT, is_active BOOLEAN, requested_by INT, requested_at TIMESTAMP_NTZ",
+    )
+    got = ledger.set_active(shop["products"], requests)
+    assert [r.product_id for r in got["products"].collect() if not r.is_active] == [2]
+    assert details(got) == [
+        ("DEACTIVATE PRODUCT", "Deactivated Cooking Oil 1L"), ("DEACTIVATE PRODUCT", "Deactivated Rice 5kg"),
+        ("REACTIVATE PRODUCT", "Reactivated Rice 5kg"),
+    ]
+
+
+def test_staff(spark, shop):
+    requests = spark.createDataFrame(
+        [
+            (1, 2, None, "", None, False, 1, NOW), (2, 3, "Renamed", "new", "manager", None, 1, NOW),
+            (3, 10, "New One", "n1", "cashier", None, 1, NOW), (4, 10, None, "n2", None, None, 1, NOW),
+            (5, 11, "No Code", "", "cashier", None, 1, NOW), (6, 12, "", "x", "cashier", None, 1, NOW),
+        ],
+        "seq INT, user_id INT, full_name STRING, code STRING, role STRING, is_active BOOLEAN, requested_by INT, "
+        "requested_at TIMESTAMP_NTZ",
+    )
+    got = ledger.upsert_staff(shop["users"], requests)
+    users = {r.user_id: (r.full_name, r.code, r.role, r.is_active) for r in got["users"].collect()}
+    assert users == {
+        1: ("Manager One", "m1", "manager", True), 2: ("Cashier One", "c1", "cashier", False),
+        3: ("Cashier Two", "new", "cashier", True), 10: ("New One", "n2", "cashier", True),
+    }
+    assert details(got) == [
+        ("ADD STAFF", "Added New One as cashier"), ("UPDATE STAFF", "Updated Cashier One"),
+        ("UPDATE STAFF", "Updated Cashier Two"),
+    ]
+
+
+def test_expenses(spark, shop):
+    new = spark.createDataFrame(
+        [(1, DAY, "Rent", "", money(5), 1, NOW), (2, DAY, "Rent", "", money(0), 1, NOW), (3, DAY, "Rent", "", None, 1, NOW)],
+        "expense_id INT, expense_date DATE, category STRING, description STRING, amount DECIMAL(10,2), recorded_by INT, "
+        "recorded_at TIMESTAMP_NTZ",
+    )
+    got = ledger.record_expenses(shop["expenses"], new)
+    assert [r.expense_id for r in got["expenses"].collect()] == [1]
+    assert details(got) == [("EXPENSE", "Rent - GHS 5.00")]
+
+
+@pytest.fixture(scope="module")
+def shift(spark):
+    rows_ = [(1, 2, "cash", 100, False), (2, 2, "cash", 50, False), (3, 2, "card", 70, False), (4, 2, "cash", 999, True),
+             (5, 3, "momo", 20, False)]
+    return retail(
+        spark, sales=[(n, c, DAY, "10:00:00", m, money(t), money(0), v, None, None) for n, c, m, t, v in rows_]
+    )["sales"]
+
+
+def test_shift(shift):
+    got = {(r.cashier_id, r.payment_method): (r.total, r.txns) for r in tills.shift_breakdown(shift).collect()}
+    assert got == {(2, "cash"): (150, 2), (2, "card"): (70, 1), (3, "momo"): (20, 1)}
+    assert tills.shift_breakdown(shift, 2, DAY).count() == 2
+    assert [(r.cashier_id, r.expected_cash) for r in tills.expected_cash(shift).collect()] == [(2, 150)]
+    assert one(tills.expected_cash_of(shift, 2, DAY)) == {"expected_cash": 150}
+    assert one(tills.expected_cash_of(shift, 3, DAY)) == {"expected_cash": 0}
+
+
+def test_tills(spark, shift):
+    counts = spark.createDataFrame(
+        [(2, DAY, money("149.50"), "short", 1, NOW), (3, DAY, money(0), "", 3, NOW), (9, DAY, money(5), None, 1, NOW)],
+        "cashier_id INT, recon_date DATE, declared_cash DECIMAL(10,2), notes STRING, submitted_by INT, "
+        "created_at TIMESTAMP_NTZ",
+    )
+    got = tills.reconcile_tills(shift, counts)
+    assert {r.cashier_id: (r.expected_cash, r.difference) for r in got["till_reconciliations"].collect()} == {
+        2: (150, money("-0.50")), 3: (0, 0), 9: (0, 5),
+    }
+    assert {r.cashier_id: (r.verdict, r.amount) for r in got["verdicts"].collect()} == {
+        2: ("shortage", money("0.50")), 3: ("balanced", 0), 9: ("overage", 5),
+    }
+    assert ("TILL RECONCILIATION", "Date: 2026-06-10 | Expected: 150.00 | Declared: 149.50 | Diff: -0.50") in details(got)
+
+
+def test_stock_change_equals_units_sold(posted, spark):
+    before = quantities(retail(spark)["inventory"])
+    sold = defaultdict(int)
+    for r in posted["sale_items"].collect():
+        sold[r.product_id] += r.quantity
+    assert {p: before[p] - q for p, q in quantities(posted["inventory"]).items() if before[p] != q} == dict(sold)

@@ -1,0 +1,257 @@
+"""Stock, money and back-office reports."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from shopmetrics.plans import backoffice, finance, packs, stock
+from shopmetrics.sources.schemas import BUSINESSES, SALES_SHEET
+from tests.conftest import one, rows
+from tests.fixtures import OPENED, money, retail
+
+DAY = dt.date(2026, 6, 10)
+
+
+def at(hour, minute=0):
+    return dt.datetime(2026, 6, 10, hour, minute)
+
+
+def sale(n, cashier, day, total, voided=False):
+    return (n, cashier, day, "10:00:00", "cash", money(total), money(0), voided, None, None)
+
+
+# ---- stock ----------------------------------------------------------------------------------
+
+
+def test_inventory_of_the_seed_shop(shop):
+    status = stock.inventory_status(shop["products"], shop["inventory"]).collect()
+    assert [r.quantity for r in status] == [20, 25, 28, 30, 35, 40, 45, 50, 60, 100]
+    assert [(r.product_name, r.status) for r in status if r.status != "OK"] == [("Milk 500ml", "Low Stock")]
+    assert one(stock.inventory_counts(shop["products"], shop["inventory"])) == {"total_products": 10, "low_stock": 1}
+    assert rows(stock.low_stock_items(shop["products"], shop["inventory"], 5)) == [("Milk 500ml", "Dairy", 25, 30)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """An inactive product, one without stock record, one sold out, one without price."""
+    return retail(
+        spark,
+        products=[
+            (1, "b1", "Rice", "Grains", money(10), money("8.775"), 5, True, OPENED),
+            (2, None, "Old rice", "Grains", money(10), money(9), 5, False, OPENED),
+            (3, "", "Gift", "", money(0), money(1), 5, True, OPENED),
+            (4, None, "Beans", None, money(4), money(3), 5, True, OPENED),
+        ],
+        inventory=[(1, 1, 7, OPENED), (2, 2, 3, OPENED), (3, 4, 0, OPENED)],
+    )
+
+
+def test_catalogue(odd):
+    got = stock.catalogue(odd["products"], odd["inventory"]).collect()
+    assert [(r.product_name, float(r.margin_pct), r.quantity, r.status) for r in got] == [
+        ("Beans", 25.0, 0, "Active"), ("Gift", 0.0, 0, "Active"), ("Old rice", 10.0, 3, "Inactive"),
+        ("Rice", 12.2, 7, "Active"),
+    ]
+    names = lambda **kw: [r[0] for r in stock.catalogue(odd["products"], odd["inventory"], **kw).collect()]
+    assert names(search="RICE") == ["Old rice", "Rice"]
+    assert names(search="rice", status="Active") == ["Rice"]
+    assert names(category="Grains", status="Inactive") == ["Old rice"]
+    assert names(search="none") == []
+    assert rows(stock.categories(odd["products"])) == [("Grains",)]
+
+
+def test_available_products(odd):
+    assert rows(stock.available_products(odd["products"], odd["inventory"])) == [(1, "Rice", money(10), 7)]
+
+
+def test_inactive_products_are_not_counted(odd):
+    assert one(stock.inventory_counts(odd["products"], odd["inventory"])) == {"total_products": 2, "low_stock": 1}
+
+
+def test_movement_history_is_newest_first(spark):
+    tables = retail(
+        spark,
+        stock_movements=[
+            (1, 1, "stock_in", 5, "new", 1, at(8)), (2, 1, "sale", 1, None, 2, at(9)),
+            (3, 2, "damaged", 1, "wet", 2, at(9)), (4, 2, "sale", 1, None, 99, at(10)),
+        ],
+    )
+    got = stock.movement_history(tables["stock_movements"], tables["products"], tables["users"], 2)
+    assert rows(got) == [
+        (at(9), "Cooking Oil 1L", "damaged", 1, "wet", "Cashier One"), (at(9), "Rice 5kg", "sale", 1, None, "Cashier One"),
+    ]
+
+
+# ---- money ----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def books(spark):
+    return retail(
+        spark,
+        sales=[sale(1, 2, DAY, 100), sale(2, 2, DAY, 40), sale(3, 2, DAY, 500, voided=True), sale(4, 99, DAY, 7)],
+        sale_items=[
+            (1, 1, 1, 2, money(45), money(90)), (2, 2, 8, 3, money(4), money(12)), (3, 3, 1, 50, money(45), money(2250)),
+            (4, 4, 10, 2, money("3.5"), money(7)),
+        ],
+        expenses=[
+            (1, DAY, "Rent", "", money(30), 1), (2, DAY, "Water", "", money("5.5"), 1), (3, DAY, "Rent", "", money(4), 2),
+            (4, DAY, None, "", money(1), 1), (5, DAY, "Rent", "", money(100), 99),
+        ],
+    )
+
+
+def test_profit_and_loss(books):
+    got = one(finance.profit_and_loss(*[books[t] for t in ("sales", "users", "sale_items", "products", "expenses")]))
+    cogs = 2 * money(32) + 3 * money("1.5") + 2 * money("1.8")  # cost does not ask who the cashier was
+    assert got == {
+        "revenue": money(140), "cogs": cogs, "gross_profit": 140 - cogs, "expenses": money("40.5"),
+        "net_profit": 140 - cogs - money("40.5"),
+    }
+
+
+def test_profit_and_loss_of_an_empty_shop(shop):
+    got = one(finance.profit_and_loss(*[shop[t] for t in ("sales", "users", "sale_items", "products", "expenses")]))
+    assert set(got.values()) == {0}
+
+
+def test_expenses(books):
+    assert rows(finance.expenses_by_category(books["expenses"], books["users"])) == [
+        ("Rent", money(34)), ("Water", money("5.5")),
+    ]
+    assert one(finance.total_expenses(books["expenses"], books["users"])) == {"expenses": money("40.5")}
+    got = finance.expense_list(books["expenses"], books["users"]).collect()
+    assert [(r.expense_id, r.recorded_by) for r in got] == [
+        (4, "Manager One"), (3, "Cashier One"), (2, "Manager One"), (1, "Manager One"),
+    ]
+
+
+def test_business_report(spark):
+    data = [("A", 5000, 3200), ("B", 8000, 5500), ("C", 12000, 7500), ("D", 0, 10), ("E", 5, 5)]
+    df = spark.createDataFrame([(n, money(r), money(e)) for n, r, e in data], BUSINESSES)
+    got = [
+        (r.profit, None if r.margin_pct is None else float(r.margin_pct), r.verdict)
+        for r in finance.business_report(df).collect()
+    ]
+    assert got == [
+        (1800, 36.0, "profit"), (2500, 31.25, "profit"), (4500, 37.5, "profit"), (-10, None, "loss"), (0, 0.0, "broke even"),
+    ]
+
+
+def test_product_pnl(spark):
+    data = [
+        (3, "Late", money(10), money(6), 5), (1, "First", money(5), money(1), 5), (2, "", money(99), money(1), 9),
+        (4, "Free", money(0), money(2), 3), (5, None, money(9), money(1), 9),
+    ]
+    df = spark.createDataFrame(
+        data, "row_no INT, product STRING, selling_price DECIMAL(10,2), cost_price DECIMAL(10,2), quantity INT"
+    )
+    pnl = finance.product_pnl(df)
+    got = {r["product"]: (r.revenue, r.cost, r.profit, float(r.margin_pct)) for r in pnl.collect()}
+    assert got == {"Late": (50, 30, 20, 40.0), "First": (25, 5, 20, 80.0), "Free": (0, 6, -6, 0.0)}
+    assert one(finance.pnl_summary(pnl)) == {"revenue": 75, "cost": 41, "profit": 34, "best_performer": "First"}
+
+
+def test_sheet_summary(spark):
+    data = [("Rice 5kg", 10, 45), ("Cooking Oil", 5, 28), ("Sugar", 8, 12), ("Eggs", 20, 35), ("Water", 15, 4)]
+    df = spark.createDataFrame([(p, q, money(x)) for p, q, x in data], SALES_SHEET)
+    assert rows(finance.sheet_summary(df)) == [
+        ("Total Revenue", "1446.00"), ("Best Selling Product", "Eggs"), ("Total Transactions", "5"),
+    ]
+    assert one(finance.best_row(df.withColumn("n", F.lit(1)), "product", "quantity", "n")) == {"best_product": "Eggs"}
+
+
+def test_best_seller_ties_and_missing_names(spark):
+    data = [("B", 3, money(1)), ("A", 2, money(1)), ("A", 1, money(1)), (None, 99, money(1))]
+    got = one(finance.sheet_totals(spark.createDataFrame(data, SALES_SHEET)))
+    assert got == {"total_revenue": money(105), "best_seller": "A", "total_transactions": 4}
+    empty = one(finance.sheet_totals(spark.createDataFrame([], SALES_SHEET)))
+    assert empty == {"total_revenue": 0, "best_seller": None, "total_transactions": 0}
+
+
+def test_best_row_does_not_group(spark):
+    df = spark.createDataFrame([(1, "A", 3), (2, "B", 5), (3, "A", 3), (4, "C", 5), (5, "D", None)], "n INT, p STRING, q INT")
+    assert one(finance.best_row(df, "p", "q", "n")) == {"best_p": "B"}
+
+
+def test_period_stats(spark):
+    data = [("A", money(3000)), ("A", money(3000)), ("A", money("3000.02")), ("B", money(1)), ("B", money("1.01"))]
+    df = spark.createDataFrame(data, "business STRING, sales DECIMAL(10,2)")
+    got = {r.business: tuple(r)[1:] for r in finance.period_stats(df, "business", "sales").collect()}
+    assert got["A"] == (money("9000.02"), money("3000.02"), money(3000), money("3000.01"), True)
+    assert got["B"] == (money("2.01"), money("1.01"), money(1), money("1.00"), False)  # 1.005 is a tie
+
+
+def test_conversion(spark):
+    amounts = spark.createDataFrame([(1, money("2.50"))], "id INT, amount DECIMAL(10,2)")
+    rates = spark.createDataFrame([("GHS", 12.5), ("EUR", 0.9), ("USD", 1.0)], "currency STRING, rate DOUBLE")
+    got = {r.currency: r.converted for r in finance.fx_convert(amounts, rates, ["GHS", "EUR", "XXX"]).collect()}
+    assert got == {"GHS": Decimal("31.25"), "EUR": Decimal("2.25"), "XXX": None}
+
+
+# ---- back office ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "yesterday, before, expected",
+    [
+        (79, 100, [("sales_drop", 21)]), (80, 100, []), (100, 100, []), (120, 100, []), (121, 100, [("sales_gain", 21)]),
+        (50, 0, []), (0, 100, [("sales_drop", 100)]), (0, 0, []), (875, 1000, []), (775, 1000, [("sales_drop", 22)]),
+    ],
+)
+def test_sales_alerts(spark, yesterday, before, expected):
+    d = dt.timedelta
+    tables = retail(
+        spark, sales=[sale(1, 2, DAY - d(1), yesterday), sale(2, 2, DAY - d(2), before), sale(3, 2, DAY, 9999)],
+        inventory=[],
+    )
+    got = backoffice.sales_alerts(tables["sales"], tables["products"], tables["inventory"], DAY)
+    assert [(r.alert, r.value) for r in got.collect()] == expected
+
+
+def test_low_stock_alert(shop):
+    got = rows(backoffice.sales_alerts(shop["sales"], shop["products"], shop["inventory"], DAY))
+    assert got == [("warning", "low_stock", 1, "1 product(s) are low on stock")]
+
+
+def test_staff_lists_hold_no_codes(shop):
+    listed = backoffice.staff_list(shop["users"])
+    assert "code" not in listed.columns
+    assert [r.full_name for r in listed.collect()] == ["Cashier One", "Cashier Two", "Manager One"]
+    found = backoffice.active_user(shop["users"], "c2")
+    assert "code" not in found.columns and found.first().user_id == 3
+    assert backoffice.active_user(shop["users"], "nope").count() == 0
+
+
+def test_activity_view(spark):
+    log = [(1, 1, "LOGIN", None, at(8)), (2, 2, "SALE", "x", at(9)), (3, 3, "SALE", "y", at(9)), (4, 99, "SALE", "z", at(10))]
+    tables = retail(spark, activity_log=log)
+    got = rows(backoffice.activity_view(tables["activity_log"], tables["users"], 2))
+    assert got == [(at(9), "Cashier Two", "cashier", "SALE", "y"), (at(9), "Cashier One", "cashier", "SALE", "x")]
+
+
+def test_till_history_names_both_people(spark):
+    tills = [
+        (2, DAY, money(10), money(9), money(-1), "", 1, at(20)), (3, DAY, money(5), money(5), money(0), None, 3, at(21)),
+    ]
+    tables = retail(spark, till_reconciliations=tills)
+    got = backoffice.till_history(tables["till_reconciliations"], tables["users"]).collect()
+    assert [(r.cashier, r.submitted_by) for r in got] == [("Cashier Two", "Cashier Two"), ("Cashier One", "Manager One")]
+
+
+def test_returns_history(spark):
+    back = [(1, 1, 2, money(90), "Damaged", 1, at(9)), (2, 5, 1, money(6), "Wrong item", 2, at(10))]
+    tables = retail(spark, returns=back)
+    got = rows(backoffice.returns_history(tables["returns"], tables["products"], tables["users"], 1))
+    assert got == [(at(10), 2, "Bread", 1, money(6), "Wrong item", "Cashier One")]
+
+
+def test_csv_exports_hold_voided_sales(spark, books, tmp_path):
+    packs.export_csv(*[books[t] for t in ("sales", "users", "products", "inventory")], str(tmp_path))
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / name))
+    exported = read("sales_report")
+    assert sorted(r.sale_id for r in exported.collect()) == ["1", "2", "3"]
+    assert {r.is_voided for r in exported.collect()} == {"true", "false"}
+    assert read("inventory_report").count() == 10
