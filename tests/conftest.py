@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "10000")
+        .config("spark.sql.debug.maxToStringFields", "1000")
         .config("spark.driver.memory", "4g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
