@@ -599,4 +599,25 @@ ORACLE: dict[str, str] = {
     ),
     "load_dedup": """SELECT e.ts, e.user_id, e.event_type, e.value, e.props FROM events e
         JOIN (SELECT user_id, MIN(event_id) AS event_id FROM events GROUP BY 1) f ON e.event_id = f.event_id""",
+    "hotel_bookings": """SELECT 'B' || o.o_custkey AS booking_id, 'Guest ' || o.o_custkey AS guest_name,
+        CAST(NULL AS VARCHAR) AS nationality, CAST(o.o_custkey % 100 AS VARCHAR) AS room_number,
+        'Double' AS room_type, CAST(o.o_orderdate AS DATE) AS check_in,
+        CAST(o.o_orderdate AS DATE) + CAST(o.o_orderkey % 14 + 1 AS INTEGER) AS check_out,
+        CAST(o.o_orderkey % 14 + 1 AS INTEGER) AS nights, o.o_totalprice AS price_per_night,
+        o.o_totalprice AS total_amount, 'Web' AS booking_source, o.o_orderpriority AS payment_method,
+        CASE o.o_orderstatus WHEN 'P' THEN 'Cancelled' ELSE 'Confirmed' END AS status
+        FROM orders o JOIN (SELECT MIN(o_orderkey) AS k FROM orders GROUP BY o_custkey) f ON o.o_orderkey = f.k""",
+    "hotel_takings": """SELECT CAST(ts AS DATE) AS date, event_type AS meal_type,
+        CAST(event_id % 40 AS INTEGER) AS covers, value AS revenue FROM events""",
+    "receive_stock": _sql(
+        "inventory",
+        """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS INTEGER) AS quantity FROM inventory i
+        LEFT JOIN (SELECT user_id, SUM(floor(value)) AS d FROM events GROUP BY 1) m ON i.product_id = m.user_id""",
+    ),
+    "receive_stock_activity": _sql(
+        "products",
+        """SELECT e.user_id, 'STOCK IN' AS action, CAST(floor(e.value) AS INTEGER) || ' units of ' || p.product_name
+        || ' recorded' AS details, e.ts AS logged_at FROM events e JOIN products p ON e.user_id = p.product_id
+        WHERE e.value >= 1""",
+    ),
 }

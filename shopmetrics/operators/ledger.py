@@ -155,6 +155,18 @@ def apply_movements(
     }
 
 
+def receive_stock(inventory: DataFrame, deliveries: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
+    """W2 for deliveries alone: ``product_id, quantity, reason, recorded_by, movement_date``."""
+    moved = deliveries.withColumn("movement_type", F.lit(STOCK_IN))
+    result = apply_movements(inventory, moved, products)
+    named = result["stock_movements"].join(products.select("product_id", "product_name"), "product_id")
+    activity = _log(
+        named, "recorded_by", "STOCK IN",
+        _text(F.col("quantity"), " units of ", F.col("product_name"), " recorded"), "movement_date",
+    )
+    return {**result, "activity": activity}
+
+
 def void_sales(sales: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     """W3. Flag sales as voided, with who and why. Stock stays as it is and no movement is written.
 
@@ -243,7 +255,7 @@ def add_products(products: DataFrame, inventory: DataFrame, new: DataFrame) -> d
     first = (
         complete.groupBy(F.lower("product_name").alias("_name"))
         .agg(F.min_by(F.struct(*rest), "seq").alias("_first"))
-        .join(products.select(F.lower("product_name").alias("_name")), "_name", "left_anti")
+        .join(products.select(F.lower("product_name").alias("_name")).distinct(), "_name", "left_anti")
     )
     added = first.select("_first.*").withColumns(
         {"barcode": F.nullif(F.col("barcode"), F.lit("")), "is_active": F.lit(True), "created_at": F.col("added_at")}

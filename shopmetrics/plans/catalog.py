@@ -16,7 +16,7 @@ from shopmetrics.functions import dates, labels, money, parsing
 from shopmetrics.operators import ledger, rollup, tills
 from shopmetrics.plans import backoffice, finance, sales, stock
 from shopmetrics.session import tuned
-from shopmetrics.sources.imports import conform, load_dedup
+from shopmetrics.sources.imports import conform, load_dedup, load_hotel_table
 from shopmetrics.sources.readers import explode_businesses
 from shopmetrics.sources.sinks import append_activity
 from shopmetrics.sources.star import STAR, Shop
@@ -105,6 +105,37 @@ def _serials(s: Shop) -> DataFrame:
     return s.sales.select("sale_id", serial.alias("sale_date"))
 
 
+def _booking_sheet(s: Shop) -> DataFrame:
+    """Orders as rows of a booking sheet: one booking number per customer, so that most rows come too late."""
+    sale = s.sales.withColumn("check_in", F.datediff("sale_date", F.lit(dates.SERIAL_DAY_ZERO)).cast("double"))
+    nights = (F.col("sale_id") % 14 + 1).cast("int")
+    text = lambda c: F.col(c).cast("string")
+    return sale.select(
+        F.col("sale_id").alias("_row"),
+        F.concat(F.lit("B"), text("customer_id")).alias("booking_id"),
+        F.concat(F.lit("Guest "), text("customer_id")).alias("guest_name"),
+        F.lit(None).cast("string").alias("nationality"),
+        (F.col("customer_id") % 100).cast("string").alias("room_number"),
+        F.lit("Double").alias("room_type"),
+        "check_in",
+        (F.col("check_in") + nights + F.lit(0.5)).alias("check_out"),
+        nights.alias("nights"),
+        F.col("total_amount").cast("double").alias("price_per_night"),
+        F.col("total_amount").cast("double").alias("total_amount"),
+        F.lit("Web").alias("booking_source"),
+        "payment_method",
+        F.when(F.col("is_voided"), "Cancelled").otherwise("Confirmed").alias("status"),
+    )
+
+
+def _takings_sheet(s: Shop) -> DataFrame:
+    serial = F.datediff("expense_date", F.lit(dates.SERIAL_DAY_ZERO)).cast("double")
+    return s.expenses.select(
+        F.col("expense_id").alias("_row"), serial.alias("date"), F.col("category").alias("meal_type"),
+        (F.col("expense_id") % 40).cast("double").alias("covers"), F.col("amount").cast("double").alias("revenue"),
+    )
+
+
 def _ratios(s: Shop) -> DataFrame:
     texts = s.sales.select(
         "sale_id",
@@ -212,6 +243,8 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "post_sales_activity": lambda s: _posted(s)["activity"],
     "apply_movements": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["inventory"],
     "apply_movements_activity": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["activity"],
+    "receive_stock": lambda s: ledger.receive_stock(s.inventory, s.stock_movements, s.products)["inventory"],
+    "receive_stock_activity": lambda s: ledger.receive_stock(s.inventory, s.stock_movements, s.products)["activity"],
     "void_sales": lambda s: ledger.void_sales(s.sales, s.void_requests)["sales"].drop("sale_time"),
     "void_sales_activity": lambda s: ledger.void_sales(s.sales, s.void_requests)["activity"],
     "process_returns": lambda s: _returns(s)["returns"],
@@ -242,6 +275,8 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     ),
     # imports
     "load_dedup": lambda s: load_dedup(s.table("events"), "user_id", "event_id"),
+    "hotel_bookings": lambda s: load_hotel_table(_booking_sheet(s), "bookings"),
+    "hotel_takings": lambda s: load_hotel_table(_takings_sheet(s), "restaurant_revenue"),
 }
 
 
