@@ -46,6 +46,9 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # The fact tables of a local run are small enough to be broadcast, which would leave one core working.
+        .config("spark.sql.autoBroadcastJoinThreshold", "2MB")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

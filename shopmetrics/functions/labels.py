@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.money import ColumnOrName, col
 
+# Status texts.
 LOW_STOCK = "Low Stock"
 IN_STOCK = "OK"
+ACTIVE = "Active"
+INACTIVE = "Inactive"
+
+# Formats of the hour label before and after noon, the label of noon, and of a sale in a list.
+MORNING, AFTERNOON, NOON = "%02d:00 AM", "%02d:00 PM", "12:00 PM"
+SALE_LABEL = "Sale #%s — %s — %s %s (%s)"
 
 
 def stock_status(quantity: ColumnOrName, reorder_level: ColumnOrName) -> Column:
@@ -18,25 +25,23 @@ def stock_status(quantity: ColumnOrName, reorder_level: ColumnOrName) -> Column:
 
 def active_label(is_active: ColumnOrName) -> Column:
     """P8."""
-    return F.when(col(is_active), "Active").otherwise("Inactive")
+    return F.when(col(is_active), ACTIVE).otherwise(INACTIVE)
 
 
 def hour_label(hour: ColumnOrName) -> Column:
     """P11. Twelve-hour label; midnight is written ``00:00 AM``."""
     h = col(hour)
     return (
-        F.when(h < 12, F.format_string("%02d:00 AM", h))
-        .when(h > 12, F.format_string("%02d:00 PM", h - 12))
-        .when(h == 12, "12:00 PM")
+        F.when(h < 12, F.format_string(MORNING, h))
+        .when(h > 12, F.format_string(AFTERNOON, h - 12))
+        .when(h == 12, NOON)
     )
 
 
 def sale_label(sale_id, sale_date, total, cashier, currency: str) -> Column:
     """P20. One line that names a sale in a pick list."""
-    return F.concat(
-        F.lit("Sale #"), col(sale_id), F.lit(" — "), col(sale_date),
-        F.lit(f" — {currency} "), col(total), F.lit(" ("), col(cashier), F.lit(")"),
-    )
+    parts = [sale_id, sale_date, F.lit(currency), total, cashier]
+    return F.format_string(SALE_LABEL, *[col(p).cast("string") for p in parts])
 
 
 def staff_label(full_name: ColumnOrName, role: ColumnOrName) -> Column:

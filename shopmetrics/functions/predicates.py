@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.labels import LOW_STOCK
+from shopmetrics.functions.labels import ACTIVE, LOW_STOCK
 from shopmetrics.functions.money import ColumnOrName, col
 
 ANY = "All"
@@ -41,7 +41,7 @@ def has_status(is_active: ColumnOrName, wanted: str) -> Column:
     if wanted == ANY:
         return F.lit(True)
     active = F.coalesce(col(is_active), F.lit(False))
-    return active if wanted == "Active" else ~active
+    return active if wanted == ACTIVE else ~active
 
 
 def low_stock(status: ColumnOrName = "status") -> Column:

@@ -25,6 +25,9 @@ from shopmetrics.functions.money import (
 )
 from shopmetrics.functions.dates import time_of_day
 from shopmetrics.functions.predicates import filled, not_voided, positive
+from shopmetrics.operators.activity import (
+    DETAILS, NO_REASON, RETURN_REASON, SALE_REASON, log_rows, worded,
+)
 from shopmetrics.operators.rollup import cart_totals, merge_cart_lines
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -42,18 +45,6 @@ RECORDABLE_MOVEMENTS = (STOCK_IN, "adjustment", "damaged")
 ADD, REMOVE, SET_EXACT = "Add Stock", "Remove Stock", "Set Exact Quantity"
 
 
-def _log(df: DataFrame, user: str, action: str | Column, details: Column, at: str) -> DataFrame:
-    action = F.lit(action) if isinstance(action, str) else action
-    return df.select(
-        F.col(user).alias("user_id"), action.alias("action"), details.alias("details"),
-        F.col(at).alias("logged_at"),
-    )
-
-
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def _last(value: str, seq: str = "seq") -> Column:
     """Last value that is there, by request order."""
     return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(seq))).alias(value)
@@ -112,7 +103,7 @@ def post_sales(
             "product_id",
             F.lit("sale").alias("movement_type"),
             "quantity",
-            _text("Sale ID ", F.col("cart_id")).alias("reason"),
+            worded(SALE_REASON, "cart_id").alias("reason"),
             F.col("cashier_id").alias("recorded_by"),
             F.col("sold_at").alias("movement_date"),
         ),
@@ -120,10 +111,7 @@ def post_sales(
             inventory,
             sold.select("product_id", (-F.col("quantity")).alias("delta"), F.col("sold_at").alias("changed_at")),
         ),
-        "activity": _log(
-            sales, "_by", "SALE",
-            _text("Sale ID ", F.col("sale_id"), f" - {currency} ", F.col("total_amount")), "_at",
-        ),
+        "activity": log_rows(sales, "SALE", "_by", "_at", "sale_id", F.lit(currency), "total_amount"),
     }
 
 
@@ -145,12 +133,8 @@ def apply_movements(
     return {
         "inventory": with_stock_changes(inventory, changes),
         "stock_movements": accepted,
-        "activity": _log(
-            named, "recorded_by", "STOCK MOVEMENT",
-            _text(
-                F.col("movement_type"), " - ", F.col("quantity"), " units of ", F.col("product_name")
-            ),
-            "movement_date",
+        "activity": log_rows(
+            named, "STOCK MOVEMENT", "recorded_by", "movement_date", "movement_type", "quantity", "product_name"
         ),
     }
 
@@ -160,10 +144,7 @@ def receive_stock(inventory: DataFrame, deliveries: DataFrame, products: DataFra
     moved = deliveries.withColumn("movement_type", F.lit(STOCK_IN))
     result = apply_movements(inventory, moved, products)
     named = result["stock_movements"].join(products.select("product_id", "product_name"), "product_id")
-    activity = _log(
-        named, "recorded_by", "STOCK IN",
-        _text(F.col("quantity"), " units of ", F.col("product_name"), " recorded"), "movement_date",
-    )
+    activity = log_rows(named, "STOCK IN", "recorded_by", "movement_date", "quantity", "product_name")
     return {**result, "activity": activity}
 
 
@@ -190,10 +171,7 @@ def void_sales(sales: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     )
     return {
         "sales": joined.select(*[changed.get(c, F.col(c)).alias(c) for c in sales.columns]),
-        "activity": _log(
-            applied, "requested_by", "VOID",
-            _text("Sale ID ", F.col("sale_id"), " voided. Reason: ", F.col("reason")), "requested_at",
-        ),
+        "activity": log_rows(applied, "VOID", "requested_by", "requested_at", "sale_id", "reason"),
     }
 
 
@@ -228,17 +206,13 @@ def process_returns(
             "product_id",
             F.lit("return").alias("movement_type"),
             "quantity",
-            _text("Return from Sale #", F.col("sale_id"), ": ", F.col("reason")).alias("reason"),
+            worded(RETURN_REASON, "sale_id", "reason").alias("reason"),
             F.col("processed_by").alias("recorded_by"),
             F.col("returned_at").alias("movement_date"),
         ),
-        "activity": _log(
-            named, "processed_by", "RETURN",
-            _text(
-                "Sale #", F.col("sale_id"), " — ", F.col("product_name"), " x", F.col("quantity"),
-                f" — {currency} ", F.col("refund_amount"),
-            ),
-            "returned_at",
+        "activity": log_rows(
+            named, "RETURN", "processed_by", "returned_at",
+            "sale_id", "product_name", "quantity", F.lit(currency), "refund_amount",
         ),
     }
 
@@ -268,9 +242,7 @@ def add_products(products: DataFrame, inventory: DataFrame, new: DataFrame) -> d
         "inventory": inventory.unionByName(
             stocked.select(*[c for c in inventory.columns if c in stocked.columns]), allowMissingColumns=True
         ),
-        "activity": _log(
-            added, "added_by", "ADD PRODUCT", _text("Added ", F.col("product_name")), "added_at"
-        ),
+        "activity": log_rows(added, "ADD PRODUCT", "added_by", "added_at", "product_name"),
     }
 
 
@@ -345,16 +317,12 @@ def edit_products(products: DataFrame, inventory: DataFrame, edits: DataFrame) -
     ).cast(inventory.schema["quantity"].dataType)
 
     named = edits.join(products.select("product_id", "product_name"), "product_id")
-    reason = F.when(filled("reason"), F.col("reason")).otherwise("N/A")
-    adjusted = _log(
-        named.filter(_adjusts()), "edited_by", "STOCK ADJUSTMENT",
-        _text(
-            F.col("product_name"), ": ", F.col("adjustment"), " ", F.col("adjust_qty"),
-            " | Reason: ", reason,
-        ),
-        "edited_at",
+    reason = F.when(filled("reason"), F.col("reason")).otherwise(NO_REASON)
+    adjusted = log_rows(
+        named.filter(_adjusts()), "STOCK ADJUSTMENT", "edited_by", "edited_at",
+        "product_name", "adjustment", "adjust_qty", reason,
     )
-    edited = _log(named, "edited_by", "EDIT PRODUCT", _text("Updated ", F.col("product_name")), "edited_at")
+    edited = log_rows(named, "EDIT PRODUCT", "edited_by", "edited_at", "product_name")
     return {
         "products": products.join(renamed, "product_id", "left").select(
             *[changed.get(c, F.col(c)).alias(c) for c in products.columns]
@@ -373,7 +341,15 @@ def set_active(products: DataFrame, requests: DataFrame) -> dict[str, DataFrame]
     """
     last = requests.groupBy("product_id").agg(_last("is_active")).withColumnRenamed("is_active", "_active")
     named = requests.join(products.select("product_id", "product_name"), "product_id")
-    verb = F.when(F.col("is_active"), "Reactivated ").otherwise("Deactivated ")
+    on, off = "REACTIVATE PRODUCT", "DEACTIVATE PRODUCT"
+    activity = named.select(
+        F.col("requested_by").alias("user_id"),
+        F.when(F.col("is_active"), on).otherwise(off).alias("action"),
+        F.when(F.col("is_active"), worded(DETAILS[on], "product_name"))
+        .otherwise(worded(DETAILS[off], "product_name"))
+        .alias("details"),
+        F.col("requested_at").alias("logged_at"),
+    )
     return {
         "products": products.join(last, "product_id", "left").select(
             *[
@@ -381,11 +357,7 @@ def set_active(products: DataFrame, requests: DataFrame) -> dict[str, DataFrame]
                 for c in products.columns
             ]
         ),
-        "activity": _log(
-            named, "requested_by",
-            F.when(F.col("is_active"), "REACTIVATE PRODUCT").otherwise("DEACTIVATE PRODUCT"),
-            _text(verb, F.col("product_name")), "requested_at",
-        ),
+        "activity": activity,
     }
 
 
@@ -425,13 +397,8 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     )
     return {
         "users": kept.select(*[merged.get(c, F.col(c)).alias(c) for c in users.columns]),
-        "activity": _log(
-            updates, "requested_by", "UPDATE STAFF", _text("Updated ", F.col("_name")), "requested_at"
-        ).unionByName(
-            _log(
-                adds, "requested_by", "ADD STAFF",
-                _text("Added ", F.col("full_name"), " as ", F.col("role")), "requested_at",
-            )
+        "activity": log_rows(updates, "UPDATE STAFF", "requested_by", "requested_at", "_name").unionByName(
+            log_rows(adds, "ADD STAFF", "requested_by", "requested_at", "full_name", "role")
         ),
     }
 
@@ -444,8 +411,7 @@ def record_expenses(expenses: DataFrame, new: DataFrame, currency: str = "GHS")
     accepted = new.filter(positive("amount"))
     return {
         "expenses": expenses.unionByName(accepted.select(*expenses.columns)),
-        "activity": _log(
-            accepted, "recorded_by", "EXPENSE",
-            _text(F.col("category"), f" - {currency} ", as_money("amount")), "recorded_at",
+        "activity": log_rows(
+            accepted, "EXPENSE", "recorded_by", "recorded_at", "category", F.lit(currency), as_money("amount")
         ),
     }

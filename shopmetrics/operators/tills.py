@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopmetrics.functions.dates import on_day
 from shopmetrics.functions.money import as_money, till_verdict
 from shopmetrics.functions.predicates import not_voided
-from shopmetrics.operators.ledger import _log, _text
+from shopmetrics.operators.activity import log_rows
 
 CASH = "cash"
 
@@ -73,12 +73,8 @@ def reconcile_tills(sales: DataFrame, declarations: DataFrame, cash: str = CASH)
             "cashier_id", "recon_date", till_verdict("difference").alias("verdict"),
             F.abs("difference").alias("amount"),
         ),
-        "activity": _log(
-            rows, "submitted_by", "TILL RECONCILIATION",
-            _text(
-                "Date: ", F.col("recon_date"), " | Expected: ", F.col("expected_cash"),
-                " | Declared: ", F.col("declared_cash"), " | Diff: ", F.col("difference"),
-            ),
-            "created_at",
+        "activity": log_rows(
+            rows, "TILL RECONCILIATION", "submitted_by", "created_at",
+            "recon_date", "expected_cash", "declared_cash", "difference",
         ),
     }

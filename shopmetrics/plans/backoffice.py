@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopmetrics.functions.dates import days_before, on_day
 from shopmetrics.functions.predicates import not_voided
 from shopmetrics.operators.rollup import side_by_side
-from shopmetrics.plans.sales import low_stock_count
+from shopmetrics.plans.stock import low_stock_count
 
 
 def staff_list(users: DataFrame) -> DataFrame:
@@ -67,6 +67,11 @@ def returns_history(returns: DataFrame, products: DataFrame, users: DataFrame, k
 DROP_BELOW = "0.8"
 GAIN_ABOVE = "1.2"
 
+# Alert texts.
+LOW_STOCK_TEXT = "%d product(s) are low on stock"
+DROP_TEXT = "Yesterday's sales were %d%% lower than the previous day"
+GAIN_TEXT = "Yesterday's sales were %d%% higher than the previous day"
+
 
 def sales_alerts(sales: DataFrame, products: DataFrame, inventory: DataFrame, as_of) -> DataFrame:
     """R18. Alerts of the day as rows of (level, alert, value, message); none when all is well.
@@ -101,15 +106,15 @@ def sales_alerts(sales: DataFrame, products: DataFrame, inventory: DataFrame, as
     alerts = F.array(
         alert(
             F.col("low_stock") > 0, "warning", "low_stock", F.col("low_stock"),
-            F.format_string("%d product(s) are low on stock", F.col("low_stock")),
+            F.format_string(LOW_STOCK_TEXT, F.col("low_stock")),
         ),
         alert(
             dropped, "error", "sales_drop", percent,
-            F.format_string("Yesterday's sales were %d%% lower than the previous day", percent),
+            F.format_string(DROP_TEXT, percent),
         ),
         alert(
             gained, "success", "sales_gain", percent,
-            F.format_string("Yesterday's sales were %d%% higher than the previous day", percent),
+            F.format_string(GAIN_TEXT, percent),
         ),
     )
     return row.select(F.inline(F.filter(alerts, lambda a: a.isNotNull())))

@@ -17,8 +17,9 @@ from shopmetrics.functions.dates import (
 )
 from shopmetrics.functions.labels import hour_label
 from shopmetrics.functions.money import ColumnOrName, change_from, col, line_total
-from shopmetrics.functions.predicates import needs_reorder, not_voided
+from shopmetrics.functions.predicates import not_voided
 from shopmetrics.operators.rollup import side_by_side, sums_by_name, sums_per_key
+from shopmetrics.plans.stock import low_stock_count, low_stock_items
 
 DETAIL_COLUMNS = (
     "sale_id", "sale_date", "sale_time", "customer_name", "cashier_name", "branch_name",
@@ -278,11 +279,13 @@ def sales_by_payment(counted: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def sales_dashboard(
-    sales: DataFrame, users: DataFrame, period: str, as_of, start=None, end=None
+    sales: DataFrame, users: DataFrame, products: DataFrame, inventory: DataFrame, period: str, as_of,
+    start=None, end=None,
 ) -> dict[str, DataFrame]:
-    """R5. Figures, daily summary, by cashier, by payment method, and the sales themselves."""
+    """R5. Low stock, figures, daily summary, by cashier, by payment method, and the sales themselves."""
     counted = counted_sales(sales, period, as_of, start, end)
     return {
+        "low_stock": low_stock_items(products, inventory),
         "kpis": sales_kpis(counted, users),
         "daily": daily_sales(counted, users),
         "by_cashier": sales_by_cashier(counted, users),
@@ -291,16 +294,6 @@ def sales_dashboard(
     }
 
 
-def low_stock_count(products: DataFrame, inventory: DataFrame) -> DataFrame:
-    """A3. One row."""
-    return (
-        products.filter("is_active")
-        .join(inventory, "product_id")
-        .filter(needs_reorder())
-        .agg(F.count("*").alias("low_stock"))
-    )
-
-
 def _sum_on(condition: Column, amount: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(amount))), F.lit(0))
 
@@ -340,3 +333,14 @@ def top_products(sales: DataFrame, items: DataFrame, products: DataFrame, day, k
         .orderBy(F.desc("units_sold"), "product_name")
         .limit(k)
     )
+
+
+def home(
+    sales: DataFrame, items: DataFrame, expenses: DataFrame, products: DataFrame, inventory: DataFrame, as_of
+) -> dict[str, DataFrame]:
+    """R6. The figures of the day, its best products, and a preview of what is low."""
+    return {
+        "metrics": home_metrics(sales, expenses, products, inventory, as_of),
+        "top_products": top_products(sales, items, products, as_of),
+        "low_stock": low_stock_items(products, inventory, 5),
+    }

@@ -34,6 +34,11 @@ def _active_stock(products: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
+def low_stock_count(products: DataFrame, inventory: DataFrame) -> DataFrame:
+    """A3. One row."""
+    return _active_stock(products, inventory).filter(needs_reorder()).agg(F.count("*").alias("low_stock"))
+
+
 def inventory_status(products: DataFrame, inventory: DataFrame) -> DataFrame:
     """R7. Stock of active products with its status, lowest first."""
     return (

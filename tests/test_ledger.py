@@ -101,6 +101,17 @@ def test_movements(spark, shop):
     assert got["inventory"].schema == shop["inventory"].schema
 
 
+def test_deliveries(spark, shop):
+    came = spark.createDataFrame(
+        [(1, 10, "Supplier", 2, NOW), (1, 5, "Supplier", 2, NOW), (2, 0, "", 2, NOW)],
+        "product_id INT, quantity INT, reason STRING, recorded_by INT, movement_date TIMESTAMP_NTZ",
+    )
+    got = ledger.receive_stock(shop["inventory"], came, shop["products"])
+    assert quantities(got["inventory"])[1] == 65 and quantities(got["inventory"])[2] == 30
+    assert {r.movement_type for r in got["stock_movements"].collect()} == {"stock_in"}
+    assert details(got) == [("STOCK IN", "10 units of Rice 5kg recorded"), ("STOCK IN", "5 units of Rice 5kg recorded")]
+
+
 def _sales(spark):
     data = [(n, 2, DAY, "10:00:00", "cash", money(10), money(0), v, b, r) for n, v, b, r in [
         (1, False, None, None), (2, False, None, None), (3, True, 1, "Before"), (4, None, None, None), (5, False, None, None),

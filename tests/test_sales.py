@@ -150,7 +150,10 @@ def test_nothing_sold_gives_zeros(spark, back):
 
 
 def test_dashboard(back):
-    board = sales.sales_dashboard(back["sales"], back["users"], "week", DAY)
+    board = sales.sales_dashboard(
+        back["sales"], back["users"], back["products"], back["inventory"], "week", DAY
+    )
+    assert [r.product_name for r in board["low_stock"].collect()] == ["Milk 500ml"]
     assert rows(board["daily"]) == [
         (DAY, money(150), 2), (DAY - dt.timedelta(1), money(80), 1), (DAY - dt.timedelta(2), money(200), 1),
     ]
@@ -197,3 +200,9 @@ def test_home_metrics(back):
 def test_top_products_leave_out_voided_sales(back):
     got = rows(sales.top_products(back["sales"], back["sale_items"], back["products"], DAY))
     assert got == [("Rice 5kg", 3), ("Bread", 1)]
+
+
+def test_home(back):
+    page = sales.home(*[back[t] for t in ("sales", "sale_items", "expenses", "products", "inventory")], DAY)
+    assert one(page["metrics"])["today_transactions"] == 3
+    assert rows(page["top_products"])[0] == ("Rice 5kg", 3) and page["low_stock"].count() == 1
