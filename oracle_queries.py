@@ -18,7 +18,7 @@ TABLES = {
         p_type AS category, CAST(p_retailprice AS DECIMAL(18,2)) AS selling_price,
         CAST(CAST(p_retailprice AS DECIMAL(18,2)) * CAST(0.7 AS DECIMAL(2,1)) AS DECIMAL(18,2)) AS cost_price,
         p_size AS reorder_level, p_type <> 'PROMO' AS is_active FROM part""",
-    "inventory": "SELECT p_partkey AS product_id, CAST(p_partkey % 60 AS INTEGER) AS quantity FROM part",
+    "inventory": "SELECT p_partkey AS product_id, p_partkey % 60 AS quantity FROM part",
     "sales": """SELECT o_orderkey AS sale_id, o_custkey AS customer_id, o_custkey AS cashier_id,
         CAST(o_orderdate AS DATE) AS sale_date, strftime(o_orderdate, '%H:%M:%S') AS sale_time,
         o_orderpriority AS payment_method, CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount,
@@ -32,7 +32,7 @@ TABLES = {
     "stock": """SELECT p.*, i.quantity, CASE WHEN i.quantity <= p.reorder_level THEN 'Low Stock' ELSE 'OK' END
         AS status FROM products p JOIN inventory i USING (product_id) WHERE p.is_active""",
     # carts and returns
-    "merged": """SELECT sale_id AS cart_id, product_id, CAST(SUM(quantity) AS INTEGER) AS quantity,
+    "merged": """SELECT sale_id AS cart_id, product_id, CAST(SUM(quantity) AS BIGINT) AS quantity,
         CAST(FIRST(subtotal ORDER BY line_no, subtotal) AS DECIMAL(18,2)) AS unit_price
         FROM items GROUP BY sale_id, product_id""",
     "posted": """SELECT m.*, CAST(m.quantity * m.unit_price AS DECIMAL(18,2)) AS subtotal, s.cashier_id, s.sold_at,
@@ -76,7 +76,7 @@ TABLES = {
         CASE WHEN p_type = 'ECONOMY' THEN upper(p_name) ELSE p_brand || ' ' || p_type END AS product_name,
         CAST(CAST(p_retailprice AS DECIMAL(18,2)) - 902 AS DECIMAL(18,2)) AS cost_price,
         CAST(p_retailprice AS DECIMAL(18,2)) AS selling_price, p_size AS reorder_level,
-        CAST(p_partkey % 60 AS INTEGER) AS opening_stock FROM part""",
+        p_partkey % 60 AS opening_stock FROM part""",
     "added": """SELECT r.* FROM requested r JOIN (SELECT lower(product_name) AS name, MIN(seq) AS seq
         FROM requested WHERE cost_price > 0 AND selling_price > 0 GROUP BY 1) f ON r.seq = f.seq
         WHERE NOT EXISTS (SELECT 1 FROM part p WHERE lower(p.p_name) = f.name)""",
@@ -464,7 +464,7 @@ ORACLE: dict[str, str] = {
     ),
     "post_sales_inventory": _sql(
         "inventory sales items merged posted",
-        """SELECT i.product_id, CAST(i.quantity - COALESCE(s.q, 0) AS INTEGER) AS quantity FROM inventory i
+        """SELECT i.product_id, CAST(i.quantity - COALESCE(s.q, 0) AS BIGINT) AS quantity FROM inventory i
         LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM posted GROUP BY 1) s ON i.product_id = s.product_id""",
     ),
     "post_sales_activity": _sql(
@@ -475,7 +475,7 @@ ORACLE: dict[str, str] = {
     ),
     "apply_movements": _sql(
         "inventory",
-        """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS INTEGER) AS quantity FROM inventory i
+        """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS BIGINT) AS quantity FROM inventory i
         LEFT JOIN (SELECT user_id, SUM(CASE WHEN event_type = 'purchase' THEN floor(value)
         WHEN event_type IN ('click', 'error') THEN -floor(value) ELSE 0 END) AS d FROM events WHERE value >= 1
         GROUP BY 1) m ON i.product_id = m.user_id""",
@@ -507,7 +507,7 @@ ORACLE: dict[str, str] = {
     ),
     "process_returns_inventory": _sql(
         "inventory items merged accepted",
-        """SELECT i.product_id, CAST(i.quantity + COALESCE(r.q, 0) AS INTEGER) AS quantity FROM inventory i
+        """SELECT i.product_id, CAST(i.quantity + COALESCE(r.q, 0) AS BIGINT) AS quantity FROM inventory i
         LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM accepted GROUP BY 1) r ON i.product_id = r.product_id""",
     ),
     "process_returns_activity": _sql(
@@ -540,7 +540,7 @@ ORACLE: dict[str, str] = {
     "edit_products_inventory": _sql(
         "inventory edits exact later net",
         """SELECT i.product_id, CAST(GREATEST(COALESCE(x.qty, i.quantity) + COALESCE(n.shift, 0),
-        COALESCE(n.floor, -1000000000)) AS INTEGER) AS quantity FROM inventory i
+        COALESCE(n.floor, -1000000000)) AS BIGINT) AS quantity FROM inventory i
         LEFT JOIN exact x ON i.product_id = x.product_id LEFT JOIN net n ON i.product_id = n.product_id""",
     ),
     "edit_products_activity": _sql(
@@ -611,7 +611,7 @@ ORACLE: dict[str, str] = {
         CAST(event_id % 40 AS INTEGER) AS covers, value AS revenue FROM events""",
     "receive_stock": _sql(
         "inventory",
-        """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS INTEGER) AS quantity FROM inventory i
+        """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS BIGINT) AS quantity FROM inventory i
         LEFT JOIN (SELECT user_id, SUM(floor(value)) AS d FROM events GROUP BY 1) m ON i.product_id = m.user_id""",
     ),
     "receive_stock_activity": _sql(

@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# One amount, and a sum of amounts: a group may hold a large part of all rows.
 MONEY = T.DecimalType(18, 2)
+TOTAL = T.DecimalType(28, 2)
 RATE = T.DecimalType(18, 8)
 
 ColumnOrName = Column | str
@@ -24,6 +26,11 @@ def as_money(c: ColumnOrName) -> Column:
     return col(c).cast(MONEY)
 
 
+def as_total(c: ColumnOrName) -> Column:
+    """Exact two-decimal sum of amounts."""
+    return col(c).cast(TOTAL)
+
+
 def line_total(quantity: ColumnOrName, price: ColumnOrName) -> Column:
     """P1."""
     return col(quantity) * col(price)
@@ -71,28 +78,28 @@ def discount_amount(subtotal: ColumnOrName, kind: ColumnOrName, value: ColumnOrN
 
     ``kind`` is ``fixed`` or ``percent``; anything else, NULL included, means no discount.
     """
-    subtotal, kind, value = as_money(subtotal), col(kind), col(value)
-    percent = as_money(value / 100 * subtotal)
+    subtotal, kind, value = as_total(subtotal), col(kind), col(value)
+    percent = as_total(value / 100 * subtotal)
     return F.coalesce(
-        F.when(kind == "fixed", F.least(as_money(value), subtotal)).when(
+        F.when(kind == "fixed", F.least(as_total(value), subtotal)).when(
             kind == "percent", F.least(percent, subtotal)
         ),
-        F.lit(0).cast(MONEY),
+        F.lit(0).cast(TOTAL),
     )
 
 
 def discounted_total(subtotal: ColumnOrName, discount: ColumnOrName) -> Column:
     """P18, second half: what the customer pays, floored at zero."""
-    return F.greatest(as_money(subtotal) - as_money(discount), F.lit(0)).cast(MONEY)
+    return as_total(F.greatest(as_total(subtotal) - as_total(discount), F.lit(0)))
 
 
 def product_profit(selling: ColumnOrName, cost: ColumnOrName, quantity: ColumnOrName) -> dict[str, Column]:
     """P19. Columns of one product's profit and loss, for ``withColumns``."""
     unit_profit = col(selling) - col(cost)
     return {
-        "revenue": as_money(col(selling) * col(quantity)),
-        "cost": as_money(col(cost) * col(quantity)),
-        "profit": as_money(unit_profit * col(quantity)),
+        "revenue": as_total(col(selling) * col(quantity)),
+        "cost": as_total(col(cost) * col(quantity)),
+        "profit": as_total(unit_profit * col(quantity)),
         "margin_pct": margin_pct(unit_profit, selling, scale=2, on_zero=0),
     }
 

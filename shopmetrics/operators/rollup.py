@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.money import as_money, line_total
+from shopmetrics.functions.money import as_total, line_total
 
 
 def summed(columns: Sequence[str]) -> list[Column]:
@@ -58,9 +58,9 @@ def merge_cart_lines(lines: DataFrame) -> DataFrame:
         F.sum("quantity").cast(lines.schema["quantity"].dataType).alias("quantity"),
         F.min_by("unit_price", "line_no").alias("unit_price"),
     )
-    return merged.withColumn("subtotal", as_money(line_total("quantity", "unit_price")))
+    return merged.withColumn("subtotal", as_total(line_total("quantity", "unit_price")))
 
 
 def cart_totals(merged: DataFrame) -> DataFrame:
     """A23. Subtotal per cart."""
-    return merged.groupBy("cart_id").agg(as_money(F.sum("subtotal")).alias("subtotal"))
+    return merged.groupBy("cart_id").agg(as_total(F.sum("subtotal")).alias("subtotal"))

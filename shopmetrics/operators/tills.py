@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import on_day
-from shopmetrics.functions.money import as_money, till_verdict
+from shopmetrics.functions.money import as_total, till_verdict
 from shopmetrics.functions.predicates import not_voided
 from shopmetrics.operators.activity import log_rows
 
@@ -59,11 +59,11 @@ def reconcile_tills(sales: DataFrame, declarations: DataFrame, cash: str = CASH)
     expected = expected_cash(sales, cash).withColumnRenamed("sale_date", "recon_date")
     compared = declarations.join(expected, ["cashier_id", "recon_date"], "left").withColumns(
         {
-            "expected_cash": as_money(F.coalesce("expected_cash", F.lit(0))),
-            "declared_cash": as_money("declared_cash"),
+            "expected_cash": as_total(F.coalesce("expected_cash", F.lit(0))),
+            "declared_cash": as_total("declared_cash"),
         }
     )
-    rows = compared.withColumn("difference", as_money(F.col("declared_cash") - F.col("expected_cash")))
+    rows = compared.withColumn("difference", as_total(F.col("declared_cash") - F.col("expected_cash")))
     return {
         "till_reconciliations": rows.select(
             "cashier_id", "recon_date", "expected_cash", "declared_cash", "difference", "notes",

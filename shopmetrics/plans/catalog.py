@@ -70,7 +70,7 @@ def _businesses(s: Shop) -> DataFrame:
     spent = s.expenses.groupBy(F.col("recorded_by").alias("customer_id")).agg(F.sum("amount").alias("expenses"))
     rows = s.customers.join(revenue, "customer_id", "left").join(spent, "customer_id", "left")
     figures = F.struct(
-        *[money.as_money(F.coalesce(c, F.lit(0))).alias(c) for c in ("revenue", "expenses")]
+        *[money.as_total(F.coalesce(c, F.lit(0))).alias(c) for c in ("revenue", "expenses")]
     )
     return explode_businesses(
         rows.select(F.create_map("customer_name", figures).alias("businesses")), "businesses"

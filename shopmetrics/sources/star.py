@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import time_of_day
-from shopmetrics.functions.money import MONEY, as_money
+from shopmetrics.functions.money import MONEY, as_money, as_total
 from shopmetrics.sources.readers import load_table
 
 STAR = {
@@ -104,7 +104,7 @@ class Shop:
     @property
     def inventory(self) -> DataFrame:
         return self.table("part").select(
-            F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 60).cast("int").alias("quantity")
+            F.col("p_partkey").alias("product_id"), (F.col("p_partkey") % 60).alias("quantity")
         )
 
     @property
@@ -158,7 +158,7 @@ class Shop:
             F.col("l_orderkey").alias("cart_id"),
             F.col("l_partkey").alias("product_id"),
             (F.col("l_linenumber") * F.lit(1_000_000_000_000) + cents).alias("line_no"),
-            F.col("l_quantity").cast("int").alias("quantity"),
+            F.col("l_quantity").cast("bigint").alias("quantity"),
             as_money("l_extendedprice").alias("unit_price"),
         )
 
@@ -233,7 +233,7 @@ class Shop:
         return (
             self.table("orders")
             .groupBy(F.col("o_custkey").alias("cashier_id"), F.to_date("o_orderdate").alias("recon_date"))
-            .agg(as_money(F.coalesce(F.sum(counted), F.lit(0))).alias("declared_cash"))
+            .agg(as_total(F.coalesce(F.sum(counted), F.lit(0))).alias("declared_cash"))
             .select(
                 "cashier_id", "recon_date", "declared_cash",
                 F.lit("").alias("notes"),
@@ -325,7 +325,7 @@ class Shop:
             (as_money("p_retailprice") - 902).cast(MONEY).alias("cost_price"),
             as_money("p_retailprice").alias("selling_price"),
             F.col("p_size").alias("reorder_level"),
-            (F.col("p_partkey") % 60).cast("int").alias("opening_stock"),
+            (F.col("p_partkey") % 60).alias("opening_stock"),
             F.col("p_partkey").alias("added_by"),
             F.lit(None).cast("timestamp_ntz").alias("added_at"),
         )

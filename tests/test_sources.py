@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopmetrics.session import shuffle_tasks
 from shopmetrics.sources import imports, readers, schemas, sinks
 from tests.conftest import rows
 
@@ -137,6 +138,12 @@ def test_monthly_table_reads_only_the_months_asked_for(spark, tmp_path):
     assert readers.load_by_month(spark, path, df.schema).count() == 200
 
 
+def test_shuffles_begin_with_enough_tasks():
+    assert shuffle_tasks(0) == 200
+    assert shuffle_tasks(1 << 40) == 4096
+    assert shuffle_tasks(100 << 40) == 50_000
+
+
 def test_staged_frames_are_worked_out_once(spark):
     stored = sinks.staged(spark.range(10).withColumn("x", F.rand()))
     assert rows(stored) == rows(stored)
