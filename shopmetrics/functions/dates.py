@@ -92,8 +92,8 @@ def hhmm(time: ColumnOrName) -> Column:
 
 
 def time_of_day(ts: ColumnOrName) -> Column:
-    """Time of day of a timestamp as ``HH:mm:ss`` text."""
-    return F.date_format(col(ts), "HH:mm:ss")
+    """Time of day of a timestamp as ``HH:mm:ss`` text; without a time zone, what the clock showed."""
+    return F.substring(col(ts).cast("string"), 12, 8)
 
 
 def long_date(d: ColumnOrName) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 # splits a join partition that one key fills. "Force" lets it split also where a later join on the
 # same key then needs a shuffle of its own.
 SETTINGS = {
+    # A bad number or a sum out of range fails the job instead of turning into NULL or wrapping round.
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

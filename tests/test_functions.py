@@ -88,6 +88,16 @@ def test_times_of_day(spark):
     assert got == [[8, 23], ["08:30", "23:59"]]
 
 
+def test_clock_time_does_not_depend_on_the_session_time_zone(spark):
+    """02:30 did not exist in New York on that day; the shop's clock showed it all the same."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        data = [(dt.datetime(2026, 3, 8, 2, 30, 5, 999999),), (dt.datetime(2026, 3, 8, 0, 0),)]
+        assert values(spark, "t TIMESTAMP_NTZ", data, dates.time_of_day("t")) == ["02:30:05", "00:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_stock_status_and_labels(spark):
     got = values(spark, "q INT, r INT", [(5, 5), (6, 5), (None, 5)], labels.stock_status("q", "r"))
     assert got == ["Low Stock", "OK", "OK"]
