@@ -28,7 +28,7 @@ from shopmetrics.functions.predicates import filled, not_voided, positive
 from shopmetrics.operators.activity import (
     DETAILS, NO_REASON, RETURN_REASON, SALE_REASON, log_rows, worded,
 )
-from shopmetrics.operators.rollup import cart_totals, merge_cart_lines
+from shopmetrics.operators.rollup import cart_totals, joined_in_splits, merge_cart_lines
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -188,7 +188,7 @@ def process_returns(
     wanted = requests.filter(filled("reason") & (F.col("quantity") >= 1))
     line = items.select("sale_id", "product_id", F.col("quantity").alias("_sold"), "unit_price")
     accepted = stage(
-        wanted.join(line, ["sale_id", "product_id"])
+        joined_in_splits(wanted, line, ["sale_id", "product_id"])
         .filter(F.col("quantity") <= F.col("_sold"))
         .withColumn("refund_amount", refund_amount("quantity", "unit_price"))
     )
@@ -389,11 +389,10 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
         "created_at": F.when(known, F.col("created_at")).otherwise(F.col("_created_at")),
     }
     kept = both.filter(known | (F.col("_full_name").isNotNull() & F.col("_code").isNotNull()))
-    added = kept.filter(F.col("_known").isNull())
     names = users.select("user_id", F.col("full_name").alias("_name"))
     updates = given.join(names, "user_id")
     adds = given.filter(F.col("full_name").isNotNull() & F.col("code").isNotNull()).join(
-        added.select("user_id"), "user_id", "left_semi"
+        users.select("user_id"), "user_id", "left_anti"
     )
     return {
         "users": kept.select(*[merged.get(c, F.col(c)).alias(c) for c in users.columns]),

@@ -42,6 +42,19 @@ def sums_by_name(
     return sums_per_key(facts, key, dim, dim_key, names, sums).groupBy(*names).agg(*summed(sums))
 
 
+def joined_in_splits(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of rows that may share a key with a frame that has one row per key.
+
+    Adaptive execution can split a hot key only where both sides come straight from a shuffle. If
+    ``one`` was summed up by the same keys, Spark would leave its shuffle out; a hash of the keys as
+    one more join key makes it shuffle again. A stored table is shuffled once in either case.
+    """
+    tag = F.hash(*keys)
+    return (
+        many.withColumn("_tag", tag).join(one.withColumn("_tag", tag), [*keys, "_tag"]).drop("_tag")
+    )
+
+
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """One-row frames with different columns as a single row: a union of few rows, never a cross join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames)

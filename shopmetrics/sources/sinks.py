@@ -15,7 +15,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_reports(reports: Mapping[str, DataFrame], directory: str, fmt: str = "parquet") -> None:
-    """K2. One dataset directory per named report."""
+    """K2. One dataset directory per named report, or per table of a ledger job.
+
+    The next state of a table goes to a new directory: a job cannot replace a table that it reads.
+    """
     for name, df in reports.items():
         writer = df.write.mode("overwrite")
         if fmt == "csv":
