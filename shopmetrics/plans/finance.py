@@ -70,7 +70,8 @@ def profit_and_loss(
         revenue, cost_of_goods_sold(sales, items, products), total_expenses(expenses, users)
     )
     gross = profit("revenue", "cogs")
-    return row.select("revenue", "cogs", gross.alias("gross_profit"), "expenses", (gross - F.col("expenses")).alias("net_profit"))
+    net = gross - F.col("expenses")
+    return row.select("revenue", "cogs", gross.alias("gross_profit"), "expenses", net.alias("net_profit"))
 
 
 def business_report(businesses: DataFrame) -> DataFrame:
