@@ -7,15 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shopmetrics.llm.common import table
+from shopmetrics.llm.decontamination import contaminated
+from shopmetrics.llm.mixing import mixed
 from shopmetrics.llm.near_duplicates import near_duplicates
+from shopmetrics.llm.toxicity import toxicity
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_source_mix": op7_source_mix,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
