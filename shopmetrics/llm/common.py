@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once per application, through Spark's file server."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "_corpus_package", False) or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "corpus_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._corpus_package = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see: ``spark.checkpoint.dir``. Set here only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

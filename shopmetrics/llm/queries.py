@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopmetrics.llm.common import table
+from shopmetrics.llm.common import ship, table
 from shopmetrics.llm.decontamination import contaminated
 from shopmetrics.llm.mixing import mixed
 from shopmetrics.llm.near_duplicates import near_duplicates
+from shopmetrics.llm.token_shards import Layout, materialise
 from shopmetrics.llm.toxicity import toxicity
 
 
+#: A vocabulary of many languages; the same path on all machines.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(table(spark, sf_dir, "documents"), Layout(TOKENIZER))[0]
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,11 +38,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return build(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_toxicity": op3_toxicity,
-    "op5_near_duplicates": op5_near_duplicates,
-    "op7_source_mix": op7_source_mix,
-    "op9_decontamination": op9_decontamination,
+    build.__name__: _query(build)
+    for build in (op1_token_shards, op3_toxicity, op5_near_duplicates, op7_source_mix, op9_decontamination)
 }
 
 ORACLE: dict[str, str] = {}
