@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import discard, looked_up, splitting, written
@@ -136,7 +136,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, join: Join) -> DataFrame:
-    """Per row of ``docs``: its columns ``doc_id`` and ``n_shingles``, ``digest`` (16 bytes, equal for equal sets),
+    """Per row of ``docs``: its ``doc_id``, ``mark`` (a hash of the text) and ``n_shingles``, ``digest`` (16 bytes, equal for equal sets),
     ``lanes`` (the vector, 16 bits each), ``nodes`` (the paths of two steps in all trees), and ``limit`` and ``sample``
     of the set."""
     each_tree, by = np.arange(1, join.trees + 1, dtype=np.uint64), _multipliers(join.seed)
@@ -164,16 +164,16 @@ def signatures(docs: DataFrame, text: str, join: Join) -> DataFrame:
                 samples.append(part.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(lanes, pa.binary()),
+                    ids, batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(lanes, pa.binary()),
                     pa.array(nodes, pa.list_(pa.int64())), pa.array(limits, pa.int64()), pa.array(samples, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "lanes", "nodes", "limit", "sample"],
+                names=["doc_id", "mark", "n_shingles", "digest", "lanes", "nodes", "limit", "sample"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).cast("binary")).mapInArrow(
+    return docs.select("doc_id", F.col(text).cast("binary"), F.xxhash64(text)).mapInArrow(
         run,
-        f"doc_id {kind}, n_shingles long, digest binary, lanes binary, nodes array<long>, limit long, sample binary",
+        f"doc_id {kind}, mark long, n_shingles long, digest binary, lanes binary, nodes array<long>, limit long, sample binary",
     )
 
 
@@ -349,6 +349,47 @@ def _met(members: DataFrame) -> DataFrame:
     return looked_up(members, nodes.where("n > 1"), ["node"])
 
 
+def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, mark, n_shingles, digest, root`` per row, rows with one ``root`` being a group; and per root the
+    smallest id, ``least_id``."""
+    spark = docs.sparkSession
+    rows, _ = written(signatures(docs, text, join), "signatures")
+    classes, _ = written(
+        rows.where("digest IS NOT NULL").groupBy("digest").agg(
+            F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("lanes", "nodes", "limit", "sample")]
+        ),
+        "classes",
+    )
+    # Sets all of whose rows lack an id can't be fetched by it; null ids are joined as a value of their own.
+    source = docs.select(_id("doc_id"), F.col(text))
+    known = classes.withColumn("first_id", _id("first_id"))
+    links, labels = [], spark.createDataFrame([], "digest binary, root binary")
+    members, path = written(_met(known.select("digest", F.explode("nodes").alias("node"))), "members")
+    for step in range(2, join.depth + 1):
+        stars = members.where("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))
+        links.append(_linked(stars.distinct(), source, known, text, join, estimate=True))
+        labels = _labels(links)
+        open_nodes, to = written(_unsettled(members, labels), "unsettled")
+        discard(spark, path)
+        large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
+        near = _compared(open_nodes.where(~large), known, join)
+        links.append(more := _linked(near, source, known, text, join, estimate=False))
+        settled = more.isEmpty()
+        branches = open_nodes.where(large)
+        if branches.isEmpty():
+            break
+        members, path = written(_met(_branched(branches, known, join)), "members")
+        discard(spark, to)
+    labels = labels if settled else _labels(links)
+    rooted = F.coalesce("root", "digest").alias("root")
+    result = looked_up(rows.select("doc_id", "mark", "n_shingles", "digest"), labels, ["digest"], "left")
+    firsts = looked_up(classes.select("digest", "first_id"), labels, ["digest"], "left")
+    return (
+        result.select("doc_id", "mark", "n_shingles", "digest", rooted),
+        firsts.groupBy(rooted).agg(F.min("first_id").alias("least_id")),
+    )
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", join: Join | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -362,50 +403,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", join: Join | None = Non
     is the smallest id they reach, or null. Rows that repeat an id are rows of their own, linked by their own
     texts. Other columns, of any name, are not read. An empty table gives an empty result.
     """
-    join, spark = join or Join(), docs.sparkSession
-    with splitting(spark):
-        rows, _ = written(signatures(docs, text, join), "signatures")
-        classes, _ = written(
-            rows.where("digest IS NOT NULL").groupBy("digest").agg(
-                F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("lanes", "nodes", "limit", "sample")]
-            ),
-            "classes",
-        )
-        # Sets all of whose rows lack an id can't be fetched by it; null ids are joined as a value of their own.
-        source = docs.select(_id("doc_id", docs), F.col(text))
-        known = classes.withColumn("first_id", _id("first_id", docs))
-        links, labels = [], spark.createDataFrame([], "digest binary, root binary")
-        members, path = written(_met(known.select("digest", F.explode("nodes").alias("node"))), "members")
-        for step in range(2, join.depth + 1):
-            stars = members.where("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))
-            links.append(_linked(stars.distinct(), source, known, text, join, estimate=True))
-            labels = _labels(links)
-            open_nodes, to = written(_unsettled(members, labels), "unsettled")
-            discard(spark, path)
-            large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
-            near = _compared(open_nodes.where(~large), known, join)
-            links.append(more := _linked(near, source, known, text, join, estimate=False))
-            settled = more.isEmpty()
-            branches = open_nodes.where(large)
-            if branches.isEmpty():
-                break
-            members, path = written(_met(_branched(branches, known, join)), "members")
-            discard(spark, to)
-        labels = labels if settled else _labels(links)
-        result = looked_up(rows.select("doc_id", "n_shingles", "digest"), labels, ["digest"], "left")
-        result = result.withColumn("root", F.coalesce("root", "digest"))
-        firsts = (
-            looked_up(classes.select("digest", "first_id"), labels, ["digest"], "left")
-            .groupBy(F.coalesce("root", "digest").alias("root"))
-            .agg(F.min("first_id").alias("least_id"))
-        )
+    with splitting(docs.sparkSession):
+        rows, firsts = _grouped(docs, text, join or Join())
         own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-        return looked_up(result, firsts, ["root"], "left").select(
+        return looked_up(rows, firsts, ["root"], "left").select(
             "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
         )
 
 
-def _id(name: str, docs: DataFrame):
+def deduplicated(docs: DataFrame, text: str = "text", join: Join | None = None) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of ``docs``: that of the smallest id, null last.
+    Rows without shingles all stay."""
+    with splitting(docs.sparkSession):
+        rows, _ = _grouped(docs, text, join or Join())
+        rows, _ = written(rows.select("doc_id", "mark", "root"), "groups")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
+        kept = rows.where("root IS NOT NULL").groupBy("root").agg(first).select(
+            F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), F.lit(True).alias("once")
+        )
+        kept = kept.union(rows.where("root IS NULL").select("doc_id", "mark", F.lit(False).alias("once")).distinct())
+        kept = kept.select(_id("doc_id").alias("_id"), F.col("mark").alias("_mark"), "once")
+        names = docs.columns
+        marked = docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _id("doc_id").alias("_id"), F.xxhash64(text).alias("_mark")
+        )
+        found = looked_up(marked, kept, ["_id", "_mark"])
+        # Only a row that is there twice with the same id and text can come up twice.
+        twice = rows.where("root IS NOT NULL").groupBy("doc_id", "mark").count().where("count > 1")
+        if not twice.isEmpty():
+            again = found.where("once").dropDuplicates(["_id", "_mark"])
+            found = again.unionByName(found.where("NOT once"))
+        return found.select("row.*")
+
+
+def _id(name: str) -> Column:
     """The id as text, with null as a value that a join finds."""
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias(name)
 

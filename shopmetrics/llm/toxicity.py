@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", settings: Settin
         scores, slope, level = train([(r[1] or "").encode() for r in rows], y, weights, s)
         return pa.table({"scores": [scores.tobytes()], "slope": [slope], "level": [level]})
 
-    trained = sample.groupBy(F.lit(0)).applyInArrow(run, "scores binary, slope double, level double").collect()
+    trained = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "scores binary, slope double, level double").collect()
     if not trained:
         return blank
     return Model(np.frombuffer(trained[0]["scores"], np.float32), trained[0]["slope"], trained[0]["level"], prior, s)
