@@ -2,9 +2,8 @@
 
 Each document becomes the set of its word shingles, and each distinct set a vector of minwise values. Every
 tree sends a set down paths: at a node, some positions of the vector are chosen by the node, and the values
-there name the children. Sets of similarity s share a child with probability s per position, so paths of two
-steps part nearly all sets that are unlike, and independent trees bring the chance that a linked pair never
-meets below one in a million.
+there name the children. Sets of similarity s share a child with probability s per position, so paths of three
+steps part nearly all sets that are unlike, and independent trees make it unlikely that a linked pair never meets.
 
 Small nodes are compared exhaustively. A large node either holds a few sets apart from one big known group, and
 those are compared with all of it in chunks, or it branches again. Candidates pass an estimate, from the vectors or
@@ -35,18 +34,19 @@ KNOWN_WORDS = 1_000_000
 
 @dataclass(frozen=True)
 class Join:
-    """Parameters of the join. A pair of similarity s is missed with probability
-    (1 - s * (1 - (1 - s) ** children)) ** trees: 4.5e-7 for s = 0.8 and the numbers below."""
+    """Parameters of the join. Let a pair of similarity s share a path of one step with probability p1 = s, and of k
+    more steps with p(k + 1) = s * (1 - (1 - p(k)) ** children); it is missed with probability (1 - p3) ** trees:
+    1.2e-5 for s = 0.8 and the numbers below, 8e-7 for 0.85."""
 
     words: int = 2
     #: Link where 100 * common >= percent * union.
     percent: int = 80
-    trees: int = 10
+    trees: int = 8
     children: int = 2
     #: Members of a node that are compared in one task; larger nodes branch or are cut in chunks.
     small: int = 1024
     #: Steps of the longest path; beyond it, nodes are compared chunk by chunk.
-    depth: int = 6
+    depth: int = 7
     #: Standard deviations of the estimate that a candidate may lie under the threshold.
     slack: float = 5.0
     seed: int = 20_240_501
@@ -137,19 +137,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, text: str, join: Join) -> DataFrame:
     """Per row of ``docs``: its ``doc_id``, ``mark`` (a hash of the text) and ``n_shingles``, ``digest`` (16 bytes, equal for equal sets),
-    ``lanes`` (the vector, 16 bits each), ``nodes`` (the paths of two steps in all trees), and ``limit`` and ``sample``
-    of the set."""
+    ``lanes`` (the vector, 16 bits each) and ``nodes`` (the paths of three steps in all trees)."""
     each_tree, by = np.arange(1, join.trees + 1, dtype=np.uint64), _multipliers(join.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            ids, sizes, digests, lanes, nodes, limits, samples = batch.column(0), [], [], [], [], [], []
+            ids, sizes, digests, lanes, nodes = batch.column(0), [], [], [], []
             for value in batch.column(1):
                 full = shingles(value.as_py(), join.words, known)
                 sizes.append(len(full))
                 if not len(full):
-                    for column in (digests, lanes, nodes, limits, samples):
+                    for column in (digests, lanes, nodes):
                         column.append(None)
                     continue
                 least = minwise(full, by)
@@ -158,22 +157,20 @@ def signatures(docs: DataFrame, text: str, join: Join) -> DataFrame:
                 roots = _mix(each_tree + np.uint64(join.seed))
                 at = (roots % np.uint64(LANES)).astype(np.int64)
                 first = _mix(roots ^ _mix(least[at].astype(np.uint64)))
-                nodes.append(_signed(_children(first, least, join.children)))
-                limit, part = sample(full)
-                limits.append(limit)
-                samples.append(part.tobytes())
+                second = _children(first, least, join.children)
+                nodes.append(_signed(np.unique(_children(second, least, join.children))))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(lanes, pa.binary()),
-                    pa.array(nodes, pa.list_(pa.int64())), pa.array(limits, pa.int64()), pa.array(samples, pa.binary()),
+                    pa.array(nodes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "mark", "n_shingles", "digest", "lanes", "nodes", "limit", "sample"],
+                names=["doc_id", "mark", "n_shingles", "digest", "lanes", "nodes"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).cast("binary"), F.xxhash64(text)).mapInArrow(
         run,
-        f"doc_id {kind}, mark long, n_shingles long, digest binary, lanes binary, nodes array<long>, limit long, sample binary",
+        f"doc_id {kind}, mark long, n_shingles long, digest binary, lanes binary, nodes array<long>",
     )
 
 
@@ -182,10 +179,10 @@ def _equal_lanes(pairs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (_matrix(batch.column(k)) for k in ("lanes_a", "lanes_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((left == right).sum(axis=1) >= least))
+            left, right = (_matrix(batch.column(k)) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((left == right).sum(axis=1) >= least))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "lanes_a", "lanes_b").mapInArrow(run, "a long, b long")
 
 
 def _matrix(lanes: pa.Array) -> np.ndarray:
@@ -193,59 +190,72 @@ def _matrix(lanes: pa.Array) -> np.ndarray:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    lanes = classes.select("digest", "lanes")
+    lanes = classes.select("cls", "lanes")
     for side in ("a", "b"):
         pairs = looked_up(pairs, lanes.toDF(side, f"lanes_{side}"), [side])
     return _equal_lanes(pairs, least)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, join: Join) -> DataFrame:
-    """The pairs ``a, b`` of digests whose full sets are as similar as asked for.
+def _texts(docs: DataFrame, wanted: DataFrame, text: str, join: Join) -> DataFrame:
+    """``cls, text, limit, sample`` of the wanted classes: the text of one of their documents, and its sample."""
+    named = docs.select(_id("doc_id").alias("first"), F.col(text).cast("binary").alias("text"))
+    found = looked_up(named, wanted.select(_id("first_id").alias("first")).distinct(), ["first"]).select("text")
+    words = join.words
 
-    One document per set in question gives its text, and both texts are cut into shingles again: texts are
-    shorter than their sets of hashes.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    chosen = looked_up(classes.select("digest", "first_id"), wanted, ["digest"])
-    texts = looked_up(
-        docs.select(F.col("doc_id").alias("first_id"), F.col(text).cast("binary").alias("text")),
-        chosen.select("first_id").distinct(), ["first_id"],
-    )
-    words, percent = join.words, join.percent
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            own = [
-                xxhash.xxh3_128_digest(full.tobytes()) if len(full := shingles(t.as_py(), words, known)) else None
-                for t in batch.column(0)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(0)], names=["digest", "text"])
+            own = [shingles(t.as_py(), words, known) for t in batch.column(0)]
+            parts = [sample(full) for full in own]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary()),
+                    batch.column(0), pa.array([p[0] for p in parts], pa.int64()),
+                    pa.array([p[1].tobytes() for p in parts], pa.binary()),
+                ],
+                names=["digest", "text", "limit", "sample"],
+            )
 
-    # Rows that share an id may hold other texts; those are known by their digests.
-    texts = texts.select("text").mapInArrow(digests, "digest binary, text binary").dropDuplicates(["digest"])
+    # Rows that share an id may hold other texts, and copies may share id and text.
+    cut = found.mapInArrow(run, "digest binary, text binary, limit long, sample binary")
+    return looked_up(cut, wanted.select("digest", "cls"), ["digest"]).drop("digest").dropDuplicates(["cls"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The pairs ``a, b`` of classes whose full sets are as similar as asked for. Texts travel and are cut into
+    shingles again: they are shorter than their sets of hashes."""
+    words, percent = join.words, join.percent
     for side in ("a", "b"):
-        pairs = looked_up(pairs, texts.toDF(side, f"text_{side}"), [side])
+        pairs = looked_up(pairs, texts.select("cls", "text").toDF(side, f"text_{side}"), [side])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, recent = _Hashes(), OrderedDict()
 
-        def full(digest: bytes, value: pa.Scalar) -> np.ndarray:
-            if digest not in recent:
-                recent[digest] = shingles(value.as_py(), words, known)
+        def full(cls: int, value: pa.Scalar) -> np.ndarray:
+            if cls not in recent:
+                recent[cls] = shingles(value.as_py(), words, known)
                 if len(recent) > 64:
                     recent.popitem(last=False)
-            return recent[digest]
+            return recent[cls]
 
         for batch in batches:
             linked = []
-            for a, b, text_a, text_b in zip(*(batch.column(k) for k in ("a", "b", "text_a", "text_b"))):
+            for a, b, text_a, text_b in zip(*batch.columns):
                 left, right = full(a.as_py(), text_a), full(b.as_py(), text_b)
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 linked.append(100 * common >= percent * (len(left) + len(right) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _near_labels(links: DataFrame) -> DataFrame:
+    """``cls, root``: classes with one root are connected. Two steps towards the least neighbour, so that connected
+    classes may still have different roots, which costs comparisons and loses nothing."""
+    both = links.union(links.select("b", "a")).toDF("cls", "other")
+    least = both.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("root"))
+    onward = least.toDF("root", "onward")
+    return looked_up(least, onward, ["root"], "left").select("cls", F.coalesce("onward", "root").alias("root"))
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,8 +263,8 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     node's largest (``major``), and the node's counts ``m`` of members and ``r`` of members under other labels.
 
     A node's pivot has been compared with all its members already, and is left out."""
-    rest = members.where("digest <> pivot AND n > 2").select("node", "digest")
-    labelled = looked_up(rest, labels, ["digest"], "left").withColumn("label", F.coalesce("root", "digest"))
+    rest = members.where("cls <> pivot AND n > 2").select("node", "cls")
+    labelled = looked_up(rest, labels, ["cls"], "left").withColumn("label", F.coalesce("root", "cls"))
     per_label = labelled.groupBy("node", "label").agg(F.count("*").alias("n"))
     nodes = per_label.groupBy("node").agg(
         F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")
@@ -268,8 +278,9 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, join: Join) -> Iterator[tuple]:
-    """For each index in ``asks``, it and the indices of the sets whose similarity to it may reach the threshold,
-    by their samples: exactly where both are whole sets, else within ``join.slack`` standard deviations."""
+    """For each index in ``asks``: it, the indices of the sets whose similarity to it may reach the threshold by their
+    samples, these similarities, and whether each is exact, as it is where both samples are whole sets. The others
+    lie within ``join.slack`` standard deviations."""
     values, starts = np.concatenate(samples), np.cumsum([0, *map(len, samples)])[:-1]
     ids = np.unique(values, return_inverse=True)[1]
     share = join.percent / 100
@@ -279,73 +290,78 @@ def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, jo
         below = values <= np.uint32(limits[i] - 1)
         common = np.add.reduceat((own[ids] & below).astype(np.int64), starts)
         theirs = np.add.reduceat(below.astype(np.int64), starts)
-        union = theirs + np.searchsorted(samples[i], (np.minimum(limits, limits[i]) - 1).astype(np.uint32), "right") - common
-        sampled = np.minimum(limits, limits[i]) < 1 << 32
+        limit = np.minimum(limits, limits[i])
+        union = theirs + np.searchsorted(samples[i], (limit - 1).astype(np.uint32), "right") - common
+        whole = limit == 1 << 32
         # One hash more or less in common: upper halves of different hashes may be equal.
-        least = share * (union - 1) - 1 - sampled * join.slack * np.sqrt(share * (1 - share) * union)
-        yield i, np.flatnonzero(common >= least)
+        least = share * (union - 1) - 1 - ~whole * join.slack * np.sqrt(share * (1 - share) * union)
+        near = np.flatnonzero(common >= least)
+        yield i, near, common[near] / np.maximum(union[near], 1), whole[near]
 
 
-def _compared(members: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+def _compared(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """Pairs ``a, b`` of members of one node with different labels whose samples agree enough.
 
     Members outside a node's largest label meet all its members. Both sides are cut in chunks of at most about
-    ``join.small``, so that no task holds a whole node.
+    ``join.small``, so that no task holds a whole node. Of the members of one label whose similarity to a member is
+    known exactly, the nearest stands for all: one link joins the label.
     """
-    chunk = lambda n, salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.ceil(F.col(n) / join.small).cast("long"))
+    chunk = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col(n) / join.small).cast("long"))
     pieces = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / join.small).cast("int") - 1)
     every = members.select(
-        "node", F.lit(False).alias("asks"), "digest", "label", chunk("m", 1).cast("int").alias("part"),
+        "node", F.lit(False).alias("asks"), "cls", "label", chunk("m", 1).cast("int").alias("part"),
         F.explode(pieces("r")).alias("askers"),
     )
     asking = members.where("NOT major").select(
-        "node", F.lit(True).alias("asks"), "digest", "label", F.explode(pieces("m")).alias("part"),
+        "node", F.lit(True).alias("asks"), "cls", "label", F.explode(pieces("m")).alias("part"),
         chunk("r", 2).cast("int").alias("askers"),
     )
-    rows = looked_up(every.unionByName(asking), classes.select("digest", "limit", "sample"), ["digest"])
+    rows = looked_up(every.unionByName(asking), texts.select("cls", "limit", "sample"), ["cls"])
 
     def run(group: pa.Table) -> pa.Table:
-        own, found = group.column("digest").to_pylist(), set()
-        label = np.unique(group.column("label").to_pylist(), return_inverse=True)[1]
-        asks = np.array(group.column("asks").to_pylist(), bool)
+        own, label = group.column("cls").to_numpy(), group.column("label").to_numpy()
+        asks = group.column("asks").to_numpy()
         samples = [np.frombuffer(x, np.uint32) for x in group.column("sample").to_pylist()]
-        limits = group.column("limit").to_numpy().astype(np.int64)
-        for i, near in _similar(limits, samples, np.flatnonzero(asks), join):
-            for j in near[~asks[near] & (label[near] != label[i])]:
-                found.add((min(own[i], own[j]), max(own[i], own[j])))
-        pairs = sorted(found)
-        return pa.table(
-            {"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())}
-        )
-
-    return rows.groupBy("node", "part", "askers").applyInArrow(run, "a binary, b binary").distinct()
+        found = set()
+        for i, near, share, exact in _similar(group.column("limit").to_numpy(), samples, np.flatnonzero(asks), join):
+            other = ~asks[near] & (label[near] != label[i])
+            near, share, exact = near[other], share[other], exact[other]
+            best: dict[int, tuple] = {}
+            for j, similar, sure in zip(near.tolist(), share.tolist(), exact.tolist()):
+                if sure:
+                    best[label[j]] = max(best.get(label[j], (-1.0, 0)), (similar, j))
+                else:
+                    found.add((min(own[i], own[j]), max(own[i], own[j])))
+            found.update((min(own[i], own[j]), max(own[i], own[j])) for _, j in best.values())
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return rows.groupBy("node", "part", "askers").applyInArrow(run, "a long, b long").distinct()
 
 
 def _branched(members: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """The members one step further down their paths. A set's nodes are gathered per set, and are few: at most
     trees * children ** depth."""
-    nodes = members.groupBy("digest").agg(F.collect_set("node").alias("nodes"))
+    nodes = members.groupBy("cls").agg(F.collect_set("node").alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _matrix(batch.column("lanes"))
             paths = [
                 np.unique(_children(np.array(n, np.int64).view(np.uint64), v, join.children))
-                for n, v in zip(batch.column("nodes").to_pylist(), vectors)
+                for n, v in zip(batch.column(1).to_pylist(), _matrix(batch.column(2)))
             ]
             sizes = [len(p) for p in paths]
             own = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(paths))), batch.column("digest").take(own)], names=["node", "digest"]
+                [pa.array(_signed(np.concatenate(paths))), batch.column(0).take(own)], names=["node", "cls"]
             )
 
-    rows = looked_up(nodes, classes.select("digest", "lanes"), ["digest"])
-    return rows.mapInArrow(run, "node long, digest binary")
+    rows = looked_up(nodes, classes.select("cls", "lanes"), ["cls"])
+    return rows.select("cls", "nodes", "lanes").mapInArrow(run, "node long, cls long")
 
 
 def _met(members: DataFrame) -> DataFrame:
     """Members of nodes of two sets or more."""
-    nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("digest").alias("pivot"))
+    nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("pivot"))
     return looked_up(members, nodes.where("n > 1"), ["node"])
 
 
@@ -353,41 +369,37 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     """``doc_id, mark, n_shingles, digest, root`` per row, rows with one ``root`` being a group; and per root the
     smallest id, ``least_id``."""
     spark = docs.sparkSession
-    rows, _ = written(signatures(docs, text, join), "signatures")
-    classes, _ = written(
-        rows.where("digest IS NOT NULL").groupBy("digest").agg(
-            F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("lanes", "nodes", "limit", "sample")]
-        ),
-        "classes",
-    )
-    # Sets all of whose rows lack an id can't be fetched by it; null ids are joined as a value of their own.
-    source = docs.select(_id("doc_id"), F.col(text))
-    known = classes.withColumn("first_id", _id("first_id"))
-    links, labels = [], spark.createDataFrame([], "digest binary, root binary")
-    members, path = written(_met(known.select("digest", F.explode("nodes").alias("node"))), "members")
-    for step in range(2, join.depth + 1):
-        stars = members.where("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))
-        links.append(_linked(stars.distinct(), source, known, text, join, estimate=True))
-        labels = _labels(links)
-        open_nodes, to = written(_unsettled(members, labels), "unsettled")
+    signed, full = written(signatures(docs, text, join), "signatures")
+    per_set = signed.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"), F.first("lanes").alias("lanes"), F.first("nodes").alias("nodes")
+    )
+    classes, _ = written(per_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    rows, _ = written(signed.select("doc_id", "mark", "n_shingles", "digest"), "rows")
+    discard(spark, full)
+    members, path = written(_met(classes.select("cls", F.explode("nodes").alias("node"))), "members")
+    wanted = looked_up(classes.select("cls", "digest", "first_id"), members.select("cls").distinct(), ["cls"])
+    texts, _ = written(_texts(docs, wanted, text, join), "texts")
+    links: DataFrame | None = None
+    for step in range(3, join.depth + 1):
+        stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+        near = _estimated(stars, classes, join.least_equal)
+        found, _ = written(_confirmed(near, texts, join), "links")
+        links = found if links is None else links.union(found)
+        open_nodes, to = written(_unsettled(members, _near_labels(links)), "unsettled")
         discard(spark, path)
         large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
-        near = _compared(open_nodes.where(~large), known, join)
-        links.append(more := _linked(near, source, known, text, join, estimate=False))
-        settled = more.isEmpty()
+        found, _ = written(_confirmed(_compared(open_nodes.where(~large), texts, join), texts, join), "links")
+        links = links.union(found)
         branches = open_nodes.where(large)
         if branches.isEmpty():
             break
-        members, path = written(_met(_branched(branches, known, join)), "members")
+        members, path = written(_met(_branched(branches, classes, join)), "members")
         discard(spark, to)
-    labels = labels if settled else _labels(links)
-    rooted = F.coalesce("root", "digest").alias("root")
-    result = looked_up(rows.select("doc_id", "mark", "n_shingles", "digest"), labels, ["digest"], "left")
-    firsts = looked_up(classes.select("digest", "first_id"), labels, ["digest"], "left")
-    return (
-        result.select("doc_id", "mark", "n_shingles", "digest", rooted),
-        firsts.groupBy(rooted).agg(F.min("first_id").alias("least_id")),
-    )
+    labels = components(links).toDF("cls", "root")
+    named = looked_up(classes.select("cls", "digest", "first_id"), labels, ["cls"], "left")
+    named, _ = written(named.select("digest", "first_id", F.coalesce("root", "cls").alias("root")), "groups")
+    firsts = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    return looked_up(rows, named.select("digest", "root"), ["digest"], "left"), firsts
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", join: Join | None = None) -> DataFrame:
@@ -439,20 +451,3 @@ def deduplicated(docs: DataFrame, text: str = "text", join: Join | None = None)
 def _id(name: str) -> Column:
     """The id as text, with null as a value that a join finds."""
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias(name)
-
-
-def _linked(pairs: DataFrame, source, classes: DataFrame, text: str, join: Join, estimate: bool) -> DataFrame:
-    """Confirmed pairs, stored."""
-    if estimate:
-        pairs = _estimated(pairs, classes, join.least_equal)
-    near, path = written(pairs, "candidates")
-    links, _ = written(_confirmed(near, source, classes, text, join), "links")
-    discard(pairs.sparkSession, path)
-    return links
-
-
-def _labels(links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    return components(edges).toDF("digest", "root")
