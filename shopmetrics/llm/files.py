@@ -21,7 +21,7 @@ class Committed:
         self.path = f"{path}/{name}"
         self.temporary = f"{path}/_temporary-{uuid.uuid4().hex}-{name}"
         self.fs.create_dir(path, recursive=True)
-        self.stream = self.fs.open_output_stream(self.temporary)
+        self.stream = self.fs.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from shopmetrics.llm.common import ship, table
 from shopmetrics.llm.decontamination import contaminated
 from shopmetrics.llm.mixing import mixed
+from shopmetrics.llm.multi_index import nearest
 from shopmetrics.llm.near_duplicates import near_duplicates
 from shopmetrics.llm.token_shards import Layout, materialise
 from shopmetrics.llm.toxicity import toxicity
+from shopmetrics.llm.warc import read_archives, write_archives
 
 
 #: A vocabulary of many languages; the same path on all machines.
@@ -30,10 +32,19 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(*write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +59,23 @@ def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: _query(build)
-    for build in (op1_token_shards, op3_toxicity, op5_near_duplicates, op7_source_mix, op9_decontamination)
+    for build in (
+        op1_token_shards, op3_toxicity, op5_near_duplicates, op6_multi_index, op7_source_mix, op8_warc, op9_decontamination,
+    )
+}
+
+ORACLE: dict[str, str] = {
+    "op8_warc": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ),
+        holders AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes)
+                      ELSE page_id END AS holder
+            FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN holder <> page_id THEN holder END AS refers_to
+        FROM holders
+    """,
 }
-
-ORACLE: dict[str, str] = {}
