@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import ship, table
 from shopmetrics.llm.decontamination import contaminated
+from shopmetrics.llm.licenses import license_names
 from shopmetrics.llm.mixing import mixed
 from shopmetrics.llm.multi_index import nearest
 from shopmetrics.llm.near_duplicates import near_duplicates
+from shopmetrics.llm.quality import quality
 from shopmetrics.llm.token_shards import Layout, materialise
 from shopmetrics.llm.toxicity import toxicity
 from shopmetrics.llm.warc import read_archives, write_archives
@@ -24,6 +27,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(table(spark, sf_dir, "documents"), Layout(TOKENIZER))[0]
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_names(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +56,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is a document's host, its language the path in it."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -60,7 +72,8 @@ def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: _query(build)
     for build in (
-        op1_token_shards, op3_toxicity, op5_near_duplicates, op6_multi_index, op7_source_mix, op8_warc, op9_decontamination,
+        op1_token_shards, op2_license_scan, op3_toxicity, op5_near_duplicates, op6_multi_index, op7_source_mix, op8_warc,
+        op9_decontamination, op10_quality,
     )
 }
 
