@@ -198,8 +198,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, join: Join) -> DataFrame:
     """``cls, text, limit, sample`` of the wanted classes: the text of one of their documents, and its sample."""
-    named = docs.select(_id("doc_id").alias("first"), F.col(text).cast("binary").alias("text"))
-    found = looked_up(named, wanted.select(_id("first_id").alias("first")).distinct(), ["first"]).select("text")
+    named = docs.select(id_text("doc_id").alias("first"), F.col(text).cast("binary").alias("text"))
+    found = looked_up(named, wanted.select(id_text("first_id").alias("first")).distinct(), ["first"]).select("text")
     words = join.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _near_labels(links: DataFrame) -> DataFrame:
+def near_labels(links: DataFrame) -> DataFrame:
     """``cls, root``: classes with one root are connected. Two steps towards the least neighbour, so that connected
     classes may still have different roots, which costs comparisons and loses nothing."""
     both = links.union(links.select("b", "a")).toDF("cls", "other")
@@ -258,7 +258,7 @@ def _near_labels(links: DataFrame) -> DataFrame:
     return looked_up(least, onward, ["root"], "left").select("cls", F.coalesce("onward", "root").alias("root"))
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the nodes that hold sets not known to be connected, with ``label``, whether the label is the
     node's largest (``major``), and the node's counts ``m`` of members and ``r`` of members under other labels.
 
@@ -299,24 +299,27 @@ def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, jo
         yield i, near, common[near] / np.maximum(union[near], 1), whole[near]
 
 
+def chunked(members: DataFrame, small: int) -> DataFrame:
+    """Groups ``node, part, askers`` in which members outside a node's largest label (``asks``) meet all its members.
+    Both sides are cut in chunks of at most about ``small``, so that no task holds a whole node."""
+    chunk = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col(n) / small).cast("long")).cast("int")
+    pieces = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / small).cast("int") - 1))
+    every = members.select(
+        "node", F.lit(False).alias("asks"), "cls", "label", chunk("m", 1).alias("part"), pieces("r").alias("askers")
+    )
+    asking = members.where("NOT major").select(
+        "node", F.lit(True).alias("asks"), "cls", "label", pieces("m").alias("part"), chunk("r", 2).alias("askers")
+    )
+    return every.unionByName(asking)
+
+
 def _compared(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """Pairs ``a, b`` of members of one node with different labels whose samples agree enough.
 
-    Members outside a node's largest label meet all its members. Both sides are cut in chunks of at most about
-    ``join.small``, so that no task holds a whole node. Of the members of one label whose similarity to a member is
+    Members outside a node's largest label meet all its members. Of the members of one label whose similarity to a member is
     known exactly, the nearest stands for all: one link joins the label.
     """
-    chunk = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col(n) / join.small).cast("long"))
-    pieces = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / join.small).cast("int") - 1)
-    every = members.select(
-        "node", F.lit(False).alias("asks"), "cls", "label", chunk("m", 1).cast("int").alias("part"),
-        F.explode(pieces("r")).alias("askers"),
-    )
-    asking = members.where("NOT major").select(
-        "node", F.lit(True).alias("asks"), "cls", "label", F.explode(pieces("m")).alias("part"),
-        chunk("r", 2).cast("int").alias("askers"),
-    )
-    rows = looked_up(every.unionByName(asking), texts.select("cls", "limit", "sample"), ["cls"])
+    rows = looked_up(chunked(members, join.small), texts.select("cls", "limit", "sample"), ["cls"])
 
     def run(group: pa.Table) -> pa.Table:
         own, label = group.column("cls").to_numpy(), group.column("label").to_numpy()
@@ -359,7 +362,7 @@ def _branched(members: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     return rows.select("cls", "nodes", "lanes").mapInArrow(run, "node long, cls long")
 
 
-def _met(members: DataFrame) -> DataFrame:
+def met(members: DataFrame) -> DataFrame:
     """Members of nodes of two sets or more."""
     nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("pivot"))
     return looked_up(members, nodes.where("n > 1"), ["node"])
@@ -376,7 +379,7 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     classes, _ = written(per_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows, _ = written(signed.select("doc_id", "mark", "n_shingles", "digest"), "rows")
     discard(spark, full)
-    members, path = written(_met(classes.select("cls", F.explode("nodes").alias("node"))), "members")
+    members, path = written(met(classes.select("cls", F.explode("nodes").alias("node"))), "members")
     wanted = looked_up(classes.select("cls", "digest", "first_id"), members.select("cls").distinct(), ["cls"])
     texts, _ = written(_texts(docs, wanted, text, join), "texts")
     links: DataFrame | None = None
@@ -385,7 +388,7 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
         near = _estimated(stars, classes, join.least_equal)
         found, _ = written(_confirmed(near, texts, join), "links")
         links = found if links is None else links.union(found)
-        open_nodes, to = written(_unsettled(members, _near_labels(links)), "unsettled")
+        open_nodes, to = written(unsettled(members, near_labels(links)), "unsettled")
         discard(spark, path)
         large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
         found, _ = written(_confirmed(_compared(open_nodes.where(~large), texts, join), texts, join), "links")
@@ -393,7 +396,7 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
         branches = open_nodes.where(large)
         if branches.isEmpty():
             break
-        members, path = written(_met(_branched(branches, classes, join)), "members")
+        members, path = written(met(_branched(branches, classes, join)), "members")
         discard(spark, to)
     labels = components(links).toDF("cls", "root")
     named = looked_up(classes.select("cls", "digest", "first_id"), labels, ["cls"], "left")
@@ -434,10 +437,10 @@ def deduplicated(docs: DataFrame, text: str = "text", join: Join | None = None)
             F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), F.lit(True).alias("once")
         )
         kept = kept.union(rows.where("root IS NULL").select("doc_id", "mark", F.lit(False).alias("once")).distinct())
-        kept = kept.select(_id("doc_id").alias("_id"), F.col("mark").alias("_mark"), "once")
+        kept = kept.select(id_text("doc_id").alias("_id"), F.col("mark").alias("_mark"), "once")
         names = docs.columns
         marked = docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _id("doc_id").alias("_id"), F.xxhash64(text).alias("_mark")
+            F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), id_text("doc_id").alias("_id"), F.xxhash64(text).alias("_mark")
         )
         found = looked_up(marked, kept, ["_id", "_mark"])
         # Only a row that is there twice with the same id and text can come up twice.
@@ -448,6 +451,6 @@ def deduplicated(docs: DataFrame, text: str = "text", join: Join | None = None)
         return found.select("row.*")
 
 
-def _id(name: str) -> Column:
+def id_text(name: str) -> Column:
     """The id as text, with null as a value that a join finds."""
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")).alias(name)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.llm.common import ship, table
 from shopmetrics.llm.decontamination import contaminated
+from shopmetrics.llm.fuzzy_lines import fuzzy_lines
 from shopmetrics.llm.licenses import license_names
 from shopmetrics.llm.mixing import mixed
 from shopmetrics.llm.multi_index import nearest
@@ -35,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,8 +77,8 @@ def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: _query(build)
     for build in (
-        op1_token_shards, op2_license_scan, op3_toxicity, op5_near_duplicates, op6_multi_index, op7_source_mix, op8_warc,
-        op9_decontamination, op10_quality,
+        op1_token_shards, op2_license_scan, op3_toxicity, op4_fuzzy_lines, op5_near_duplicates, op6_multi_index,
+        op7_source_mix, op8_warc, op9_decontamination, op10_quality,
     )
 }
 
