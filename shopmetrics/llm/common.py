@@ -90,6 +90,14 @@ def splitting(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
+from shopmetrics.llm.common import unused
+
 Q = 7
 MASK = np.uint64((1 << 8 * Q) - 1)
 #: Sizes (as powers of two) of the tables that say whether a q-gram may be known, and where it probably is.
@@ -202,18 +204,19 @@ LEAKS = ArrayType(
 )
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", budget: Budget | None = None) -> DataFrame:
-    """``docs`` with ``leaks``, an array of ``item_id, edits, end``: the benchmark passages (or pieces of long ones)
+def with_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", budget: Budget | None = None, name: str = "leaks"
+) -> DataFrame:
+    """``docs`` with ``name``, an array of ``item_id, edits, end``: the benchmark passages (or pieces of long ones)
     that occur in the whole text within the budget of edits, by item, each where it is found first; ``end`` is a
     place in the normalised text.
 
     The benchmark is a set of queries: it is looked up in blocks of bounded size, each in one narrow pass over the
     documents, whose number grows with the benchmark and not with the documents. Null and empty texts have no leaks;
-    null passages or ids find none; repeated rows are each answered. A column ``leaks`` of ``docs`` is replaced.
+    null passages or ids find none; repeated rows are each answered. ``docs`` may not have a column ``name`` yet.
     """
     budget, spark = budget or Budget(), docs.sparkSession
-    rows = docs.drop("leaks") if "leaks" in docs.columns else docs
-    rows = rows.withColumn("leaks", F.lit(None).cast(LEAKS))
+    rows = docs.withColumn(name, F.lit(None).cast(LEAKS))
     at, kind = rows.columns.index(text), rows.schema
     for block in _item_blocks(benchmark, budget):
         shared = spark.sparkContext.broadcast(Index(block, budget))
@@ -230,7 +233,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", budget
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=batch.schema.names)
 
         rows = rows.mapInArrow(run, kind)
-    return rows.withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS)))
+    return rows.withColumn(name, F.coalesce(name, F.array().cast(LEAKS)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", budget: Budget | None = None) -> DataFrame:
@@ -246,4 +249,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", budg
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", budget: Budget | None = None) -> DataFrame:
     """The rows of ``docs`` without benchmark passages, with their columns."""
-    return with_leaks(docs, benchmark, text, budget).where(F.size("leaks") == 0).select(*docs.columns)
+    name = unused(docs, "leaks")
+    return with_leaks(docs, benchmark, text, budget, name).where(F.size(name) == 0).drop(name)

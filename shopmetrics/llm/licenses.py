@@ -69,8 +69,10 @@ class Scan:
     most_foreign: float = 0.2
     #: Words of the longest run that block and template share, at least.
     least_run: int = 3
-    #: Words of a block. Lines are cut into overlapping blocks of this length.
+    #: Words of a block at most: longer sentences are cut to ``lead`` words before the word of the subject and half a
+    #: block from it on.
     block: int = 64
+    lead: int = 6
     level: int = 6
 
 
@@ -111,21 +113,25 @@ class _Scanner:
         return None
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """Line numbers and blocks that hold a word of the subject."""
+        """Line numbers and blocks that hold a word of the subject: its sentence, or of a long sentence the words
+        around it."""
         for number, line in enumerate(text.split("\n")):
-            data = line.encode("utf-8", "replace")
-            last = -1
+            data, last = line.encode("utf-8", "replace"), 0
             for hit in SUBJECT.finditer(data):
                 if hit.start() < last:
                     continue
-                # The sentence or so around the hit: the words of the block before and after it.
-                before, after = data[: hit.start()].split(), data[hit.start() :].split()
-                if len(before) + len(after) <= self.scan.block:
-                    yield number, line
-                    break
-                piece = before[-self.scan.block // 4 :] + after[: self.scan.block // 2]
-                last = hit.start() + len(b" ".join(after[: self.scan.block // 2]))
-                yield number, b" ".join(piece).decode("utf-8", "replace")
+                stop = data.rfind(b". ", last, hit.start())
+                before = data[last if stop < 0 else stop + 2 : hit.start()]
+                stop = data.find(b". ", hit.end())
+                last = len(data) if stop < 0 else stop + 1
+                after = data[hit.start() : last]
+                if len(before.split()) + len(after.split()) > self.scan.block:
+                    before = b" ".join(before.split()[-self.scan.lead :] + [b""])
+                    words = after.split(None, self.scan.block // 2)
+                    if len(words) > self.scan.block // 2:
+                        last -= len(words[-1])
+                        after = data[hit.start() : last]
+                yield number, (before + after).decode("utf-8", "replace").strip()
 
     def scan_text(self, text: str | None) -> list[dict]:
         found = []
@@ -155,7 +161,7 @@ def licenses(docs: DataFrame, text: str = "text", scan: Scan | None = None) -> D
     rows are each answered. Other columns, of any name, are not read. An empty table gives an empty result.
     """
     scan = scan or Scan()
-    key = (scan.least_saved, scan.most_foreign, scan.least_run, scan.block, scan.level)
+    key = (scan.least_saved, scan.most_foreign, scan.least_run, scan.block, scan.lead, scan.level)
     items = tuple(sorted(scan.templates.items()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     inner = pa.list_(

@@ -48,6 +48,8 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int, pick: np.random.Generator) -> np.ndarray:
+    if not points.shape[1]:  # the second half of vectors with one component
+        return np.zeros((1, 0))
     centres = points[np.sort(pick.choice(len(points), min(k, len(points)), replace=False))].copy()
     for _ in range(rounds):
         near = _nearest(points, centres)

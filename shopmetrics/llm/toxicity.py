@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from shopmetrics.llm.common import held_out
+from shopmetrics.llm.common import held_out, unused
 
 #: Bytes of a cell; two neighbouring cells are a passage.
 CELL = 16
@@ -248,8 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", settings: Settin
     return Model(np.frombuffer(trained[0]["scores"], np.float32), trained[0]["slope"], trained[0]["level"], prior, s)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, whole texts read once."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, whole texts read once."""
     names = docs.columns
     carried = docs.select(*[F.col(c) for c in names], F.col(text).cast("binary").alias("_bytes"))
 
@@ -257,9 +257,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             scores = [score_text(t.as_py(), model) for t in batch.column(batch.num_columns - 1)]
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, name])
 
-    return carried.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return carried.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -292,5 +292,6 @@ def _scores_only(docs: DataFrame, model: Model) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, with their columns."""
     s = settings or Settings()
-    found = scored(docs, fit(docs, labels, text, s), text)
-    return found.where(F.col("score") < s.threshold).select(*docs.columns)
+    own = unused(docs, "toxicity")
+    found = scored(docs, fit(docs, labels, text, s), text, own)
+    return found.where(F.col(own) < s.threshold).drop(own)
