@@ -44,7 +44,7 @@ class Join:
     trees: int = 8
     children: int = 2
     #: Members of a node that are compared in one task; larger nodes branch or are cut in chunks.
-    small: int = 1024
+    small: int = 2048
     #: Steps of the longest path; beyond it, nodes are compared chunk by chunk.
     depth: int = 7
     #: Standard deviations of the estimate that a candidate may lie under the threshold.
@@ -57,6 +57,13 @@ class Join:
         s = self.percent / 100
         return int(LANES * max(0.0, s - self.slack * (s * (1 - s) / LANES) ** 0.5))
 
+    @property
+    def most_apart(self) -> int:
+        """Different low bits of the lanes of a pair that goes on to the lanes: lanes that differ have equal low bits
+        half of the time."""
+        d = (1 - self.percent / 100) / 2
+        return int(LANES * min(1.0, d + self.slack * (d * (1 - d) / LANES) ** 0.5)) + 1
+
 
 class _Hashes(dict):
     """Hash of each word, worked out once."""
@@ -137,23 +144,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, text: str, join: Join) -> DataFrame:
     """Per row of ``docs``: its ``doc_id``, ``mark`` (a hash of the text) and ``n_shingles``, ``digest`` (16 bytes, equal for equal sets),
-    ``lanes`` (the vector, 16 bits each) and ``nodes`` (the paths of three steps in all trees)."""
+    ``lanes`` (the vector, 16 bits each), their lowest bits in ``bits_1`` and ``bits_2``, and ``nodes`` (the paths of
+    three steps in all trees)."""
     each_tree, by = np.arange(1, join.trees + 1, dtype=np.uint64), _multipliers(join.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            ids, sizes, digests, lanes, nodes = batch.column(0), [], [], [], []
+            ids, sizes, digests, lanes, nodes, bits = batch.column(0), [], [], [], [], ([], [])
             for value in batch.column(1):
                 full = shingles(value.as_py(), join.words, known)
                 sizes.append(len(full))
                 if not len(full):
-                    for column in (digests, lanes, nodes):
+                    for column in (digests, lanes, nodes, *bits):
                         column.append(None)
                     continue
                 least = minwise(full, by)
                 digests.append(xxhash.xxh3_128_digest(full.tobytes()))
                 lanes.append(least.astype(np.uint16).tobytes())
+                for column, word in zip(bits, np.packbits((least & 1).astype(np.uint8)).view(np.int64).tolist()):
+                    column.append(word)
                 roots = _mix(each_tree + np.uint64(join.seed))
                 at = (roots % np.uint64(LANES)).astype(np.int64)
                 first = _mix(roots ^ _mix(least[at].astype(np.uint64)))
@@ -162,15 +172,15 @@ def signatures(docs: DataFrame, text: str, join: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(lanes, pa.binary()),
-                    pa.array(nodes, pa.list_(pa.int64())),
+                    pa.array(nodes, pa.list_(pa.int64())), *[pa.array(b, pa.int64()) for b in bits],
                 ],
-                names=["doc_id", "mark", "n_shingles", "digest", "lanes", "nodes"],
+                names=["doc_id", "mark", "n_shingles", "digest", "lanes", "nodes", "bits_1", "bits_2"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).cast("binary"), F.xxhash64(text)).mapInArrow(
         run,
-        f"doc_id {kind}, mark long, n_shingles long, digest binary, lanes binary, nodes array<long>",
+        f"doc_id {kind}, mark long, n_shingles long, digest binary, lanes binary, nodes array<long>, bits_1 long, bits_2 long",
     )
 
 
@@ -189,11 +199,15 @@ def _matrix(lanes: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(lanes.to_pylist()), np.uint16).reshape(-1, LANES)
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    lanes = classes.select("cls", "lanes")
+def _estimated(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Pairs near enough by the lowest bits of their lanes, and then by their lanes."""
+    for side in ("a", "b"):
+        pairs = looked_up(pairs, classes.select("cls", "bits_1", "bits_2").toDF(side, f"{side}_1", f"{side}_2"), [side])
+    apart = F.bit_count(F.col("a_1").bitwiseXOR(F.col("b_1"))) + F.bit_count(F.col("a_2").bitwiseXOR(F.col("b_2")))
+    pairs = pairs.where(apart <= join.most_apart).select("a", "b")
     for side in ("a", "b"):
-        pairs = looked_up(pairs, lanes.toDF(side, f"lanes_{side}"), [side])
-    return _equal_lanes(pairs, least)
+        pairs = looked_up(pairs, classes.select("cls", "lanes").toDF(side, f"lanes_{side}"), [side])
+    return _equal_lanes(pairs, join.least_equal)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, join: Join) -> DataFrame:
@@ -250,12 +264,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
 
 
 def near_labels(links: DataFrame) -> DataFrame:
-    """``cls, root``: classes with one root are connected. Two steps towards the least neighbour, so that connected
-    classes may still have different roots, which costs comparisons and loses nothing."""
+    """``cls, root``: classes with one root are connected. Two steps to the least neighbour and a jump to its root:
+    connected classes may still have different roots, which costs comparisons and loses nothing."""
     both = links.union(links.select("b", "a")).toDF("cls", "other")
-    least = both.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("root"))
-    onward = least.toDF("root", "onward")
-    return looked_up(least, onward, ["root"], "left").select("cls", F.coalesce("onward", "root").alias("root"))
+    first = both.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("root"))
+    beyond = looked_up(both, first.toDF("other", "root"), ["other"])
+    second = beyond.groupBy("cls").agg(F.least(F.col("cls"), F.min("other"), F.min("root")).alias("root"))
+    return looked_up(second, second.toDF("root", "onward"), ["root"], "left").select("cls", F.coalesce("onward", "root").alias("root"))
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -279,8 +294,8 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, join: Join) -> Iterator[tuple]:
     """For each index in ``asks``: it, the indices of the sets whose similarity to it may reach the threshold by their
-    samples, these similarities, and whether each is exact, as it is where both samples are whole sets. The others
-    lie within ``join.slack`` standard deviations."""
+    samples, within ``join.slack`` standard deviations, and whether each surely reaches it, above by as much. Samples
+    that are whole sets deviate by two hashes at most."""
     values, starts = np.concatenate(samples), np.cumsum([0, *map(len, samples)])[:-1]
     ids = np.unique(values, return_inverse=True)[1]
     share = join.percent / 100
@@ -294,9 +309,9 @@ def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, jo
         union = theirs + np.searchsorted(samples[i], (limit - 1).astype(np.uint32), "right") - common
         whole = limit == 1 << 32
         # One hash more or less in common: upper halves of different hashes may be equal.
-        least = share * (union - 1) - 1 - ~whole * join.slack * np.sqrt(share * (1 - share) * union)
-        near = np.flatnonzero(common >= least)
-        yield i, near, common[near] / np.maximum(union[near], 1), whole[near]
+        room = 2 + ~whole * join.slack * np.sqrt(share * (1 - share) * union)
+        near = np.flatnonzero(common >= share * union - room)
+        yield i, near, common[near] >= share * union[near] + room[near]
 
 
 def chunked(members: DataFrame, small: int) -> DataFrame:
@@ -313,11 +328,32 @@ def chunked(members: DataFrame, small: int) -> DataFrame:
     return every.unionByName(asking)
 
 
+def _alike(members: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The members that have one of another label near them in their node by the lowest bits of the lanes. Sets that
+    came to a node by chance go no further."""
+    most = join.most_apart
+
+    def run(group: pa.Table) -> pa.Table:
+        label, asks = group.column("label").to_numpy(), group.column("asks").to_numpy()
+        bits = [group.column(c).to_numpy() for c in ("bits_1", "bits_2")]
+        held = np.zeros(len(label), bool)
+        for i in np.flatnonzero(asks):
+            apart = sum(np.bitwise_count((b ^ b[i]).view(np.uint64)) for b in bits)
+            near = (apart <= most) & ~asks & (label != label[i])
+            held |= near
+            held[i] = near.any()
+        return group.select(["node", "cls"]).filter(pa.array(held))
+
+    rows = looked_up(chunked(members, join.small), classes.select("cls", "bits_1", "bits_2"), ["cls"])
+    near = rows.groupBy("node", "part", "askers").applyInArrow(run, "node long, cls long").distinct()
+    return looked_up(members, near, ["node", "cls"])
+
+
 def _compared(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """Pairs ``a, b`` of members of one node with different labels whose samples agree enough.
 
-    Members outside a node's largest label meet all its members. Of the members of one label whose similarity to a member is
-    known exactly, the nearest stands for all: one link joins the label.
+    Members outside a node's largest label meet all its members. Pairs that surely link join their labels, and pairs
+    within one joined label are not asked for again.
     """
     rows = looked_up(chunked(members, join.small), texts.select("cls", "limit", "sample"), ["cls"])
 
@@ -325,17 +361,20 @@ def _compared(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
         own, label = group.column("cls").to_numpy(), group.column("label").to_numpy()
         asks = group.column("asks").to_numpy()
         samples = [np.frombuffer(x, np.uint32) for x in group.column("sample").to_pylist()]
-        found = set()
-        for i, near, share, exact in _similar(group.column("limit").to_numpy(), samples, np.flatnonzero(asks), join):
+        found, root = set(), {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, near, sure in _similar(group.column("limit").to_numpy(), samples, np.flatnonzero(asks), join):
             other = ~asks[near] & (label[near] != label[i])
-            near, share, exact = near[other], share[other], exact[other]
-            best: dict[int, tuple] = {}
-            for j, similar, sure in zip(near.tolist(), share.tolist(), exact.tolist()):
-                if sure:
-                    best[label[j]] = max(best.get(label[j], (-1.0, 0)), (similar, j))
-                else:
+            for unsure, j in sorted(zip((~sure[other]).tolist(), near[other].tolist())):
+                if (a := find(int(label[i]))) != (b := find(int(label[j]))):
                     found.add((min(own[i], own[j]), max(own[i], own[j])))
-            found.update((min(own[i], own[j]), max(own[i], own[j])) for _, j in best.values())
+                    if not unsure:
+                        root[a] = b
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return rows.groupBy("node", "part", "askers").applyInArrow(run, "a long, b long").distinct()
@@ -374,7 +413,7 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     signed, full = written(signatures(docs, text, join), "signatures")
     per_set = signed.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.first("lanes").alias("lanes"), F.first("nodes").alias("nodes")
+        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("lanes", "nodes", "bits_1", "bits_2")]
     )
     classes, _ = written(per_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows, _ = written(signed.select("doc_id", "mark", "n_shingles", "digest"), "rows")
@@ -385,13 +424,15 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     links: DataFrame | None = None
     for step in range(3, join.depth + 1):
         stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = _estimated(stars, classes, join.least_equal)
+        near = _estimated(stars, classes, join)
         found, _ = written(_confirmed(near, texts, join), "links")
         links = found if links is None else links.union(found)
         open_nodes, to = written(unsettled(members, near_labels(links)), "unsettled")
         discard(spark, path)
         large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
-        found, _ = written(_confirmed(_compared(open_nodes.where(~large), texts, join), texts, join), "links")
+        alike, rest = written(_alike(open_nodes.where(~large), classes, join), "alike")
+        found, _ = written(_confirmed(_compared(alike, texts, join), texts, join), "links")
+        discard(spark, rest)
         links = links.union(found)
         branches = open_nodes.where(large)
         if branches.isEmpty():

@@ -89,7 +89,7 @@ def test_hot_family_branches_and_chunks(make_docs):
 
 
 def test_five_words_and_one_of_each_group_stays(make_docs):
-    rows = corpus(4, 10, 6, 2) + [(900, None), (901, ""), (3, "a b c d e f"), (3, "a b c d e f")]
+    rows = corpus(4, 10, 6, 2) + [(900, None), (901, ""), (950, "a b c d e f"), (950, "a b c d e f")]
     docs = make_docs(rows)
     kept = nd.deduplicated(docs, join=nd.Join(words=5))
     assert kept.columns == docs.columns
