@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from shopmetrics.functions import dates, labels, money, parsing
 from shopmetrics.operators import ledger, rollup, tills
 from shopmetrics.plans import backoffice, finance, sales, stock
-from shopmetrics.session import tuned
+from shopmetrics.session import input_bytes, tuned
 from shopmetrics.sources.imports import conform, load_dedup, load_hotel_table
 from shopmetrics.sources.readers import explode_businesses
 from shopmetrics.sources.sinks import append_activity
@@ -176,7 +176,7 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "revenue_by_category": lambda s: sales.revenue_by_category(_headers(s), s.sale_items, s.products, "subtotal"),
     "tx_by_cashier": lambda s: sales.tx_by_cashier(sales.sold_headers(_headers(s), s.sale_items, s.products)),
     "tx_by_hour": lambda s: sales.tx_by_hour(s.visits),
-    "reorder_alert": lambda s: stock.reorder_alert(s.branch_inventory, s.products, s.regions),
+    "reorder_alert": lambda s: stock.reorder_alert(s.branch_inventory, s.products, s.branches),
     # sales dashboard
     "sales_list": lambda s: sales.sales_list(s.sales, s.users),
     "sales_kpis_today": _kpis("today"),
@@ -281,7 +281,12 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
 
 
 def _query(build: Callable[[Shop], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: shown(build(Shop(tuned(spark), directory)))
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        result = shown(build(Shop(tuned(spark), directory)))
+        tuned(spark, input_bytes(result))
+        return result
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes the shuffles, turns a join into a broadcast only on a measured size, and
 # splits a join partition that one key fills. "Force" lets it split also where a later join on the
@@ -14,29 +14,36 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.session.timeZone": "UTC",
 }
 
 
 # One shuffle task per this many bytes to begin with; adaptive execution merges small ones.
 BYTES_PER_TASK = 256 * 1024 * 1024
-MOST_TASKS = 50_000
 
 
-def shuffle_tasks(shuffled_bytes: int) -> int:
+def shuffle_tasks(shuffled_bytes: int, least: int = 200) -> int:
     """Number of shuffle partitions to begin with for a shuffle of this size."""
-    return max(200, min(MOST_TASKS, shuffled_bytes // BYTES_PER_TASK))
+    return max(least, shuffled_bytes // BYTES_PER_TASK)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that a frame reads, as Spark knows it without running anything."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def tuned(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
     """The session with ``SETTINGS`` in place.
 
-    ``shuffled_bytes``, the size of the largest table a job moves, sets the number of partitions its
-    shuffles begin with; without it the cluster's own setting stays.
+    ``shuffled_bytes``, the size of what a job reads (``input_bytes``), sets the number of partitions its
+    shuffles begin with, at least the cluster's own setting; without it that setting stays.
     """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     if shuffled_bytes is not None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.conf.set(
-            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_tasks(shuffled_bytes))
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_tasks(shuffled_bytes, least))
         )
     return spark

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -65,15 +66,16 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """A frame that several outputs share, worked out once and read back from shared storage.
+def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """A frame that several outputs share, worked out once, stored as Parquet and read back by its columns.
 
-    Stored in the folder the cluster names in ``spark.checkpoint.dir``, where it outlives executors.
+    ``folder`` is one that every executor can reach, by default that of ``spark.checkpoint.dir``. The
+    caller removes what it no longer needs.
     """
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if folder is None:
-            raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -58,12 +58,6 @@ class Shop:
             F.col("n_nationkey").alias("branch_id"), F.col("n_name").alias("branch_name")
         )
 
-    @property
-    def regions(self) -> DataFrame:
-        return self.table("region").select(
-            F.col("r_regionkey").alias("branch_id"), F.col("r_name").alias("branch_name")
-        )
-
     @property
     def customers(self) -> DataFrame:
         return self.table("customer").select(
@@ -109,11 +103,17 @@ class Shop:
 
     @property
     def branch_inventory(self) -> DataFrame:
-        """Every product in each of the five regions."""
-        return self.table("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.explode(F.sequence(F.lit(0), F.lit(4))).alias("branch_id"),
-        ).withColumn("quantity", ((F.col("product_id") + F.col("branch_id") * 7) % 60).cast("int"))
+        """What the suppliers of each nation have delivered of each product."""
+        suppliers = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+        lines = self.table("lineitem").select(
+            "l_partkey", "l_suppkey", F.floor("l_quantity").cast("bigint").alias("quantity")
+        )
+        per_supplier = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("quantity").alias("quantity"))
+        return (
+            per_supplier.join(suppliers, "l_suppkey")
+            .groupBy(F.col("l_partkey").alias("product_id"), F.col("s_nationkey").alias("branch_id"))
+            .agg(F.sum("quantity").alias("quantity"))
+        )
 
     @property
     def sales(self) -> DataFrame:

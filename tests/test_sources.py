@@ -141,7 +141,8 @@ def test_monthly_table_reads_only_the_months_asked_for(spark, tmp_path):
 def test_shuffles_begin_with_enough_tasks():
     assert shuffle_tasks(0) == 200
     assert shuffle_tasks(1 << 40) == 4096
-    assert shuffle_tasks(100 << 40) == 50_000
+    assert shuffle_tasks(100 << 40) == 409_600
+    assert shuffle_tasks(0, least=8) == 8
 
 
 def test_staged_frames_are_worked_out_once(spark):
