@@ -86,10 +86,15 @@ TABLES = {
         CASE WHEN event_type = 'signup' THEN 'Staff ' || user_id END AS full_name,
         CASE WHEN value >= 100 THEN 'c' || event_id END AS code, event_type AS role,
         CASE event_type WHEN 'error' THEN FALSE WHEN 'purchase' THEN TRUE END AS is_active FROM events""",
-    "staff_last": """SELECT user_id, MAX(full_name) AS full_name,
-        MAX_BY(code, CASE WHEN code IS NOT NULL THEN seq END) AS code, MAX_BY(role, seq) AS role,
-        MAX_BY(is_active, CASE WHEN is_active IS NOT NULL THEN seq END) AS is_active, MIN(ts) AS created_at
-        FROM staff GROUP BY user_id""",
+    # one request after the other: the first with name and code adds an unknown user, all later ones change one
+    "staff_first": """SELECT * FROM staff s WHERE full_name IS NOT NULL AND code IS NOT NULL
+        AND user_id NOT IN (SELECT user_id FROM users) AND NOT EXISTS (SELECT 1 FROM staff e WHERE e.user_id = s.user_id
+        AND e.full_name IS NOT NULL AND e.code IS NOT NULL AND e.seq < s.seq)""",
+    "staff_changes": """SELECT s.*, u.full_name AS person FROM staff s JOIN users u ON s.user_id = u.user_id
+        UNION ALL SELECT s.*, f.full_name FROM staff s JOIN staff_first f ON s.user_id = f.user_id WHERE s.seq > f.seq""",
+    "staff_last": """SELECT user_id, MAX_BY(code, CASE WHEN code IS NOT NULL THEN seq END) AS code,
+        MAX_BY(is_active, CASE WHEN is_active IS NOT NULL THEN seq END) AS is_active
+        FROM staff_changes GROUP BY user_id""",
     # tills
     "declared": """SELECT o_custkey AS cashier_id, CAST(o_orderdate AS DATE) AS recon_date,
         CAST(COALESCE(SUM(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END), 0)
@@ -188,10 +193,12 @@ ORACLE: dict[str, str] = {
         WHEN date_part('hour', ts) = 12 THEN '12:00 PM'
         ELSE lpad(CAST(date_part('hour', ts) - 12 AS VARCHAR), 2, '0') || ':00 PM' END AS label
         FROM events GROUP BY 1, 3""",
-    "reorder_alert": """SELECT p.p_name AS product_name, p.p_type AS category,
-        CAST((p.p_partkey + r.r_regionkey * 7) % 60 AS INTEGER) AS current_stock, p.p_size AS reorder_level,
-        r.r_name AS branch_name FROM part p JOIN region r ON r.r_regionkey BETWEEN 0 AND 4
-        WHERE (p.p_partkey + r.r_regionkey * 7) % 60 <= p.p_size""",
+    "reorder_alert": """SELECT p.p_name AS product_name, p.p_type AS category, s.quantity AS current_stock,
+        p.p_size AS reorder_level, n.n_name AS branch_name
+        FROM (SELECT l_partkey, s_nationkey, CAST(SUM(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS quantity
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) s
+        JOIN part p ON s.l_partkey = p.p_partkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+        WHERE s.quantity <= p.p_size""",
     "sales_list": _sql(
         "users sales",
         """SELECT s.sale_id, s.sale_date, s.sale_time, u.full_name AS cashier, s.payment_method,
@@ -478,7 +485,7 @@ ORACLE: dict[str, str] = {
         """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS BIGINT) AS quantity FROM inventory i
         LEFT JOIN (SELECT user_id, SUM(CASE WHEN event_type = 'purchase' THEN floor(value)
         WHEN event_type IN ('click', 'error') THEN -floor(value) ELSE 0 END) AS d FROM events WHERE value >= 1
-        GROUP BY 1) m ON i.product_id = m.user_id""",
+        AND user_id IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') GROUP BY 1) m ON i.product_id = m.user_id""",
     ),
     "apply_movements_activity": _sql(
         "products",
@@ -486,7 +493,8 @@ ORACLE: dict[str, str] = {
         WHEN 'click' THEN 'adjustment' ELSE 'damaged' END || ' - ' || CAST(floor(e.value) AS INTEGER)
         || ' units of ' || p.product_name AS details, e.ts AS logged_at
         FROM events e JOIN products p ON e.user_id = p.product_id
-        WHERE e.value >= 1 AND e.event_type IN ('purchase', 'click', 'error')""",
+        WHERE e.value >= 1 AND e.event_type IN ('purchase', 'click', 'error')
+        AND e.user_id IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')""",
     ),
     "void_sales": _sql(
         "sales void_requests last_void voids",
@@ -559,20 +567,18 @@ ORACLE: dict[str, str] = {
         AS is_active FROM events GROUP BY user_id) e ON p.product_id = e.user_id""",
     ),
     "upsert_staff": _sql(
-        "users staff staff_last",
-        """SELECT u.user_id, u.full_name, COALESCE(l.code, u.code) AS code, u.role,
-        COALESCE(l.is_active, u.is_active) AS is_active, CAST(NULL AS TIMESTAMP) AS created_at
-        FROM users u LEFT JOIN staff_last l ON u.user_id = l.user_id
-        UNION ALL SELECT l.user_id, l.full_name, l.code, l.role, COALESCE(l.is_active, TRUE), l.created_at
-        FROM staff_last l WHERE l.full_name IS NOT NULL AND l.code IS NOT NULL
-        AND l.user_id NOT IN (SELECT user_id FROM users)""",
+        "users staff staff_first staff_changes staff_last",
+        """SELECT p.user_id, p.full_name, COALESCE(l.code, p.code) AS code, p.role,
+        COALESCE(l.is_active, p.is_active) AS is_active, p.created_at FROM (
+        SELECT user_id, full_name, code, role, is_active, CAST(NULL AS TIMESTAMP) AS created_at FROM users
+        UNION ALL SELECT user_id, full_name, code, role, TRUE, ts FROM staff_first) p
+        LEFT JOIN staff_last l ON p.user_id = l.user_id""",
     ),
     "upsert_staff_activity": _sql(
-        "users staff staff_last",
-        """SELECT s.asked_by AS user_id, 'UPDATE STAFF' AS action, 'Updated ' || u.full_name AS details,
-        s.ts AS logged_at FROM staff s JOIN users u ON s.user_id = u.user_id
-        UNION ALL SELECT s.asked_by, 'ADD STAFF', 'Added ' || s.full_name || ' as ' || s.role, s.ts FROM staff s
-        WHERE s.full_name IS NOT NULL AND s.code IS NOT NULL AND s.user_id NOT IN (SELECT user_id FROM users)""",
+        "users staff staff_first staff_changes",
+        """SELECT asked_by AS user_id, 'UPDATE STAFF' AS action, 'Updated ' || person AS details, ts AS logged_at
+        FROM staff_changes
+        UNION ALL SELECT asked_by, 'ADD STAFF', 'Added ' || full_name || ' as ' || role, ts FROM staff_first""",
     ),
     "record_expenses": _sql(
         "expenses",
@@ -612,12 +618,13 @@ ORACLE: dict[str, str] = {
     "receive_stock": _sql(
         "inventory",
         """SELECT i.product_id, CAST(i.quantity + COALESCE(m.d, 0) AS BIGINT) AS quantity FROM inventory i
-        LEFT JOIN (SELECT user_id, SUM(floor(value)) AS d FROM events GROUP BY 1) m ON i.product_id = m.user_id""",
+        LEFT JOIN (SELECT user_id, SUM(floor(value)) AS d FROM events
+        WHERE user_id IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO') GROUP BY 1) m ON i.product_id = m.user_id""",
     ),
     "receive_stock_activity": _sql(
         "products",
         """SELECT e.user_id, 'STOCK IN' AS action, CAST(floor(e.value) AS INTEGER) || ' units of ' || p.product_name
         || ' recorded' AS details, e.ts AS logged_at FROM events e JOIN products p ON e.user_id = p.product_id
-        WHERE e.value >= 1""",
+        WHERE e.value >= 1 AND e.user_id IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')""",
     ),
 }

@@ -74,11 +74,12 @@ def margin_band(margin: ColumnOrName) -> Column:
 
 
 def discount_amount(subtotal: ColumnOrName, kind: ColumnOrName, value: ColumnOrName) -> Column:
-    """P18, first half: the discount, never above the subtotal, rounded to the cent as stored.
+    """P18, first half: the discount, from zero to the subtotal, rounded to the cent as stored.
 
-    ``kind`` is ``fixed`` or ``percent``; anything else, NULL included, means no discount.
+    ``kind`` is ``fixed`` or ``percent``; anything else, NULL included, means no discount, as does a NULL value.
     """
-    subtotal, kind, value = as_total(subtotal), col(kind), col(value)
+    subtotal, kind = as_total(subtotal), col(kind)
+    value = F.greatest(F.coalesce(col(value), F.lit(0)), F.lit(0))
     percent = as_total(value / 100 * subtotal)
     return F.coalesce(
         F.when(kind == "fixed", F.least(as_total(value), subtotal)).when(

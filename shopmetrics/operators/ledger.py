@@ -73,11 +73,13 @@ def post_sales(
     """W1. Turn carts into sales.
 
     ``carts``: ``cart_id, cashier_id, payment_method, discount_type, discount_value, sold_at``.
-    ``lines``: as for ``merge_cart_lines``. The cart id becomes the sale id. A cart without lines
-    is not a sale; lines without a cart are not sold.
+    ``lines``: as for ``merge_cart_lines``; lines of less than one unit are not sold and come back as
+    ``rejected_lines``. The cart id becomes the sale id. A cart without lines is not a sale; lines
+    without a cart are not sold. A discount below zero is none.
     """
     buyer = carts.select("cart_id", "cashier_id", "sold_at")
-    merged = stage(merge_cart_lines(lines))
+    wanted = F.coalesce(F.col("quantity") >= 1, F.lit(False))
+    merged = stage(merge_cart_lines(lines.filter(wanted)))
     sold = merged.join(buyer, "cart_id")
     priced = carts.join(cart_totals(merged), "cart_id").withColumn(
         "discount_amount", discount_amount("subtotal", "discount_type", "discount_value")
@@ -112,6 +114,7 @@ def post_sales(
             sold.select("product_id", (-F.col("quantity")).alias("delta"), F.col("sold_at").alias("changed_at")),
         ),
         "activity": log_rows(sales, "SALE", "_by", "_at", "sale_id", F.lit(currency), "total_amount"),
+        "rejected_lines": lines.filter(~wanted),
     }
 
 
@@ -122,17 +125,23 @@ def apply_movements(
 
     ``movements``: ``product_id, movement_type, quantity, reason, recorded_by, movement_date``.
     Other movement types come from sales and returns and are not accepted here, nor are
-    quantities below one.
+    quantities below one, nor products that are unknown, inactive or without a stock row.
+    ``rejected`` holds the movements that were not accepted.
     """
-    accepted = movements.filter(
-        F.col("movement_type").isin(*RECORDABLE_MOVEMENTS) & (F.col("quantity") >= 1)
+    sold = products.filter("is_active").select("product_id").distinct()
+    stocked = sold.join(inventory.select("product_id").distinct(), "product_id").withColumn("_stocked", F.lit(True))
+    right = F.col("movement_type").isin(*RECORDABLE_MOVEMENTS) & (F.col("quantity") >= 1)
+    judged = joined_in_splits(movements, stocked, ["product_id"], "left").withColumn(
+        "_right", F.coalesce(right & F.col("_stocked"), F.lit(False))
     )
+    accepted = judged.filter("_right").select(*movements.columns)
     signed = F.when(F.col("movement_type") == STOCK_IN, F.col("quantity")).otherwise(-F.col("quantity"))
     changes = accepted.select("product_id", signed.alias("delta"), F.col("movement_date").alias("changed_at"))
     named = accepted.join(products.select("product_id", "product_name"), "product_id")
     return {
         "inventory": with_stock_changes(inventory, changes),
         "stock_movements": accepted,
+        "rejected": judged.filter("NOT _right").select(*movements.columns),
         "activity": log_rows(
             named, "STOCK MOVEMENT", "recorded_by", "movement_date", "movement_type", "quantity", "product_name"
         ),
@@ -181,17 +190,24 @@ def process_returns(
 ) -> dict[str, DataFrame]:
     """W4. Take goods back: a refund row, the stock, and a ``return`` movement. The sale is not changed.
 
-    ``requests``: ``sale_id, product_id, quantity, reason, processed_by, returned_at``;
-    ``items``: one line per sale and product. A request needs a reason and a quantity from one to
-    what that line sold. Earlier returns of the line are not counted.
+    ``requests``: ``sale_id, product_id, quantity, reason, processed_by, returned_at``. A request
+    needs a reason and a quantity from one to what the sale's lines of that product sold at one price.
+    Lines of one product at several prices make a request by product ambiguous, and it is refused.
+    Earlier returns are not counted. ``rejected`` holds the requests that were refused.
     """
-    wanted = requests.filter(filled("reason") & (F.col("quantity") >= 1))
-    line = items.select("sale_id", "product_id", F.col("quantity").alias("_sold"), "unit_price")
-    accepted = stage(
-        joined_in_splits(wanted, line, ["sale_id", "product_id"])
-        .filter(F.col("quantity") <= F.col("_sold"))
+    line = (
+        items.groupBy("sale_id", "product_id")
+        .agg(F.sum("quantity").alias("_sold"), F.min("unit_price").alias("unit_price"), F.max("unit_price").alias("_dearest"))
+        .filter(F.col("unit_price") == F.col("_dearest"))
+        .drop("_dearest")
+    )
+    right = filled("reason") & (F.col("quantity") >= 1) & (F.col("quantity") <= F.col("_sold"))
+    judged = stage(
+        joined_in_splits(requests, line, ["sale_id", "product_id"], "left")
         .withColumn("refund_amount", refund_amount("quantity", "unit_price"))
+        .withColumn("_right", F.coalesce(right, F.lit(False)))
     )
+    accepted = judged.filter("_right")
     named = accepted.join(products.select("product_id", "product_name"), "product_id")
     return {
         "returns": accepted.select(
@@ -214,6 +230,7 @@ def process_returns(
             named, "RETURN", "processed_by", "returned_at",
             "sale_id", "product_name", "quantity", F.lit(currency), "refund_amount",
         ),
+        "rejected": judged.filter("NOT _right").select(*requests.columns),
     }
 
 
@@ -246,9 +263,10 @@ def add_products(products: DataFrame, inventory: DataFrame, new: DataFrame) -> d
     }
 
 
-# Bits of the request number that one level of the fold covers: 4096 steps at most in one group.
+# Bits of the request number that one level of the fold covers: 4096 steps at most in one group. The levels
+# cover 60 bits, so at most 16 chunks of a product are left for any 64-bit number.
 _CHUNK_BITS = 12
-_LEVELS = 3
+_LEVELS = 5
 
 
 def _composed(steps: Column) -> Column:
@@ -337,8 +355,10 @@ def edit_products(products: DataFrame, inventory: DataFrame, edits: DataFrame) -
 def set_active(products: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     """W7. Deactivate or reactivate products; the last request per product wins.
 
-    ``requests``: ``seq, product_id, is_active, requested_by, requested_at``.
+    ``requests``: ``seq, product_id, is_active, requested_by, requested_at``. A request without a
+    flag changes nothing and is not logged; one that sets what is set already is.
     """
+    requests = requests.filter(F.col("is_active").isNotNull())
     last = requests.groupBy("product_id").agg(_last("is_active")).withColumnRenamed("is_active", "_active")
     named = requests.join(products.select("product_id", "product_name"), "product_id")
     on, off = "REACTIVATE PRODUCT", "DEACTIVATE PRODUCT"
@@ -362,42 +382,38 @@ def set_active(products: DataFrame, requests: DataFrame) -> dict[str, DataFrame]
 
 
 def upsert_staff(users: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
-    """W8. Add staff, or change the sign-in code and status of staff who are there.
+    """W8. Add staff, or change the sign-in code and status of staff who are there, as if one request came after
+    the other.
 
     ``requests``: ``seq, user_id, full_name, code, role, is_active, requested_by, requested_at``.
-    A new user needs a name and a code, and is active unless the batch says otherwise. For a known
-    user a blank code keeps the old one, and name and role do not change. Last value wins.
+    The first request for an unknown user with both a name and a code adds that user, active; earlier
+    ones without are refused. Any request for a user who is there by then is a change: a blank code
+    keeps the old one, no status keeps the status, and name and role stay. Every add and change is logged.
     """
     given = requests.withColumn("code", F.when(filled("code"), F.col("code"))).withColumn(
         "full_name", F.when(filled("full_name"), F.col("full_name"))
     )
-    values = ["full_name", "code", "role", "is_active"]
-    last = (
-        given.groupBy("user_id")
-        .agg(*[_last(v) for v in values], F.min("requested_at").alias("created_at"))
-        .select("user_id", *[F.col(v).alias(f"_{v}") for v in [*values, "created_at"]])
-    )
-    known = F.col("_known").isNotNull()
-    both = users.withColumn("_known", F.lit(True)).join(last, "user_id", "full_outer")
-    merged = {
-        "full_name": F.when(known, F.col("full_name")).otherwise(F.col("_full_name")),
-        "role": F.when(known, F.col("role")).otherwise(F.col("_role")),
-        "code": F.coalesce("_code", "code"),
-        "is_active": F.when(known, F.coalesce("_is_active", "is_active")).otherwise(
-            F.coalesce("_is_active", F.lit(True))
-        ),
-        "created_at": F.when(known, F.col("created_at")).otherwise(F.col("_created_at")),
-    }
-    kept = both.filter(known | (F.col("_full_name").isNotNull() & F.col("_code").isNotNull()))
-    names = users.select("user_id", F.col("full_name").alias("_name"))
-    updates = given.join(names, "user_id")
-    adds = given.filter(F.col("full_name").isNotNull() & F.col("code").isNotNull()).join(
-        users.select("user_id"), "user_id", "left_anti"
+    add = F.struct("full_name", "code", "role", "seq", "requested_by", "requested_at")
+    added = (
+        given.filter(F.col("full_name").isNotNull() & F.col("code").isNotNull())
+        .groupBy("user_id")
+        .agg(F.min_by(add, "seq").alias("_add"))
+        .join(users.select("user_id"), "user_id", "left_anti")
+        .select("user_id", "_add.*")
     )
+    people = users.select("user_id", F.col("full_name").alias("_name"), F.lit(None).cast("bigint").alias("_since"))
+    people = people.union(added.select("user_id", "full_name", F.col("seq").cast("bigint")))
+    changes = joined_in_splits(given, people, ["user_id"]).filter(F.col("_since").isNull() | (F.col("seq") > F.col("_since")))
+    last = changes.groupBy("user_id").agg(_last("code").alias("_code"), _last("is_active").alias("_active"))
+    new = added.withColumns({"is_active": F.lit(True), "created_at": F.col("requested_at")})
+    after = users.unionByName(
+        new.select(*[c for c in users.columns if c in new.columns]), allowMissingColumns=True
+    ).join(last, "user_id", "left")
+    changed = {"code": F.coalesce("_code", "code"), "is_active": F.coalesce("_active", "is_active")}
     return {
-        "users": kept.select(*[merged.get(c, F.col(c)).alias(c) for c in users.columns]),
-        "activity": log_rows(updates, "UPDATE STAFF", "requested_by", "requested_at", "_name").unionByName(
-            log_rows(adds, "ADD STAFF", "requested_by", "requested_at", "full_name", "role")
+        "users": after.select(*[changed.get(c, F.col(c)).alias(c) for c in users.columns]),
+        "activity": log_rows(changes, "UPDATE STAFF", "requested_by", "requested_at", "_name").unionByName(
+            log_rows(added, "ADD STAFF", "requested_by", "requested_at", "full_name", "role")
         ),
     }
 

@@ -42,8 +42,8 @@ def sums_by_name(
     return sums_per_key(facts, key, dim, dim_key, names, sums).groupBy(*names).agg(*summed(sums))
 
 
-def joined_in_splits(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join of rows that may share a key with a frame that has one row per key.
+def joined_in_splits(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of rows that may share a key with a frame that has one row per key.
 
     Adaptive execution can split a hot key only where both sides come straight from a shuffle. If
     ``one`` was summed up by the same keys, Spark would leave its shuffle out; a hash of the keys as
@@ -51,10 +51,24 @@ def joined_in_splits(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> Da
     """
     tag = F.hash(*keys)
     return (
-        many.withColumn("_tag", tag).join(one.withColumn("_tag", tag), [*keys, "_tag"]).drop("_tag")
+        many.withColumn("_tag", tag).join(one.withColumn("_tag", tag), [*keys, "_tag"], how).drop("_tag")
     )
 
 
+def newest(
+    facts: DataFrame, key: str, order: Sequence[Column], sorted_by: Sequence[str], known: dict[str, DataFrame], k: int
+) -> DataFrame:
+    """The first ``k`` rows of ``facts`` in an order, of those whose columns in ``known`` are ids of the frames there.
+
+    Only the unique ``key``, the ``sorted_by`` columns and the ids go through the joins and the cut. The other columns,
+    texts among them, are fetched for the ``k`` rows that are left: a broadcast whose size the caller sets.
+    """
+    thin = facts.select(*dict.fromkeys([key, *sorted_by, *known]))
+    for column, ids in known.items():
+        thin = thin.join(ids.toDF(column), column, "left_semi")
+    return facts.join(F.broadcast(thin.orderBy(*order).limit(k).select(key)), key, "left_semi")
+
+
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     """One-row frames with different columns as a single row: a union of few rows, never a cross join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames)
