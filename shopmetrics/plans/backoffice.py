@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import days_before, on_day
 from shopmetrics.functions.predicates import not_voided
-from shopmetrics.operators.rollup import side_by_side
+from shopmetrics.operators.rollup import newest, side_by_side
 from shopmetrics.plans.stock import low_stock_count
 
 
@@ -23,10 +23,12 @@ def active_user(users: DataFrame, code: str) -> DataFrame:
 
 def activity_view(log: DataFrame, users: DataFrame, k: int = 100) -> DataFrame:
     """R13/J8. The newest log rows."""
+    order = [F.desc("logged_at"), F.desc("log_id")]
+    last = newest(log, "log_id", order, ["logged_at"], {"user_id": users.select("user_id")}, k)
     return (
-        log.join(users.select("user_id", "full_name", "role"), "user_id")
-        .orderBy(F.desc("logged_at"), F.desc("log_id"))
-        .limit(k)
+        users.select("user_id", "full_name", "role")
+        .join(F.broadcast(last), "user_id")
+        .orderBy(*order)
         .select("logged_at", "full_name", "role", "action", "details")
     )
 

@@ -18,7 +18,7 @@ from shopmetrics.functions.dates import (
 from shopmetrics.functions.labels import hour_label
 from shopmetrics.functions.money import ColumnOrName, change_from, col, line_total
 from shopmetrics.functions.predicates import not_voided
-from shopmetrics.operators.rollup import side_by_side, sums_by_name, sums_per_key
+from shopmetrics.operators.rollup import newest, side_by_side, sums_by_name, sums_per_key
 from shopmetrics.plans.stock import low_stock_count, low_stock_items
 
 DETAIL_COLUMNS = (
@@ -40,11 +40,13 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def sale_headers(sales: DataFrame, customers: DataFrame, cashiers: DataFrame, branches: DataFrame) -> DataFrame:
-    """J4 without the lines. Inner joins: a sale without customer, cashier or branch drops out."""
+    """J4 without the lines. Inner joins: a sale without customer, cashier or branch drops out.
+
+    The branches come last: sales laid out by customer stay so for the lookups by person."""
     return (
-        sales.join(branches.select("branch_id", "branch_name"), "branch_id")
-        .join(customers.select("customer_id", "customer_name"), "customer_id")
+        sales.join(customers.select("customer_id", "customer_name"), "customer_id")
         .join(cashiers.select("cashier_id", "cashier_name"), "cashier_id")
+        .join(branches.select("branch_id", "branch_name"), "branch_id")
     )
 
 
@@ -200,11 +202,14 @@ def voidable_sales(sales: DataFrame, users: DataFrame) -> DataFrame:
 
 def returnable_sales(sales: DataFrame, users: DataFrame, k: int = 100) -> DataFrame:
     """R17. The newest sales that goods can come back from."""
+    order = [F.desc("sale_date"), F.desc("sale_id")]
+    open_sales = sales.filter(not_voided())
+    last = newest(open_sales, "sale_id", order, ["sale_date"], {"cashier_id": users.select("user_id")}, k)
     return (
-        _with_cashier(sales.filter(not_voided()), users)
+        users.select(F.col("user_id").alias("cashier_id"), F.col("full_name").alias("cashier"))
+        .join(F.broadcast(last), "cashier_id")
+        .orderBy(*order)
         .select("sale_id", "sale_date", "cashier", "payment_method", "total_amount")
-        .orderBy(F.desc("sale_date"), F.desc("sale_id"))
-        .limit(k)
     )
 
 

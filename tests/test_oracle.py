@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_points
+from oracle_queries import ORACLE
+from shopmetrics.plans.catalog import QUERIES
 from shopmetrics.sources.star import STAR
 
 DIRECTORY = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
     "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
