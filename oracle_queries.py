@@ -9,6 +9,14 @@ from __future__ import annotations
 AS_OF = "DATE '2001-07-31'"
 COUNTS = "NOT is_voided"
 
+# Stock movements as events give them, and those of kinds that people record, on active products.
+_MOVEMENT = """event_id AS movement_id, user_id AS product_id, CASE event_type WHEN 'purchase' THEN 'stock_in'
+    WHEN 'view' THEN 'sale' WHEN 'click' THEN 'adjustment' WHEN 'error' THEN 'damaged' WHEN 'signup' THEN 'return' END
+    AS movement_type, CAST(floor(value) AS INTEGER) AS quantity, props AS reason, user_id AS recorded_by,
+    ts AS movement_date"""
+_MOVED = """event_type IN ('purchase', 'click', 'error') AND floor(value) >= 1
+    AND user_id IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')"""
+
 # The retail tables; each query lists the ones it reads.
 TABLES = {
     "users": """SELECT c_custkey AS user_id, c_name AS full_name, 'u' || c_custkey AS code,
@@ -496,6 +504,8 @@ ORACLE: dict[str, str] = {
         WHERE e.value >= 1 AND e.event_type IN ('purchase', 'click', 'error')
         AND e.user_id IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')""",
     ),
+    "apply_movements_movements": f"""SELECT {_MOVEMENT} FROM events WHERE {_MOVED}""",
+    "apply_movements_rejected": f"""SELECT {_MOVEMENT} FROM events WHERE NOT ({_MOVED})""",
     "void_sales": _sql(
         "sales void_requests last_void voids",
         """SELECT s.sale_id, s.customer_id, s.cashier_id, s.sale_date, s.payment_method,
@@ -524,6 +534,49 @@ ORACLE: dict[str, str] = {
         || ' x' || a.quantity || ' — GHS ' || CAST(a.refund AS DECIMAL(18,2)) AS details, a.returned_at AS logged_at
         FROM accepted a JOIN products p ON a.product_id = p.product_id""",
     ),
+    "process_returns_movements": _sql(
+        "items merged accepted",
+        """SELECT product_id, 'return' AS movement_type, quantity, 'Return from Sale #' || sale_id || ': ' || reason
+        AS reason, processed_by AS recorded_by, returned_at AS movement_date FROM accepted""",
+    ),
+    "process_returns_rejected": _sql(
+        "items merged",
+        """SELECT l.l_orderkey AS sale_id, l.l_partkey AS product_id, CAST(l.l_quantity AS INTEGER) AS quantity,
+        CASE l.l_returnflag WHEN 'R' THEN 'Damaged' WHEN 'A' THEN 'Wrong item' WHEN 'N' THEN '' END AS reason,
+        l.l_suppkey AS processed_by, l.l_shipdate AS returned_at FROM lineitem l
+        WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE l.l_orderkey = m.cart_id AND l.l_partkey = m.product_id
+        AND l.l_returnflag IN ('R', 'A') AND l.l_quantity >= 1 AND l.l_quantity <= m.quantity)""",
+    ),
+    "add_products_activity": _sql(
+        "requested added",
+        """SELECT seq AS user_id, 'ADD PRODUCT' AS action, 'Added ' || product_name AS details,
+        CAST(NULL AS TIMESTAMP) AS logged_at FROM added""",
+    ),
+    "set_active_activity": """SELECT e.user_id, CASE WHEN e.event_type IN ('purchase', 'view', 'signup')
+        THEN 'REACTIVATE PRODUCT' ELSE 'DEACTIVATE PRODUCT' END AS action,
+        CASE WHEN e.event_type IN ('purchase', 'view', 'signup') THEN 'Reactivated ' ELSE 'Deactivated ' END
+        || p.p_name AS details, e.ts AS logged_at FROM events e JOIN part p ON e.user_id = p.p_partkey""",
+    "reconcile_tills_activity": _sql(
+        "sales declared expected recon",
+        """SELECT submitted_by AS user_id, 'TILL RECONCILIATION' AS action, 'Date: ' || recon_date || ' | Expected: '
+        || expected_cash || ' | Declared: ' || declared_cash || ' | Diff: ' || difference AS details,
+        created_at AS logged_at FROM recon""",
+    ),
+    "one_sale": _sql(
+        "products items",
+        """SELECT i.sale_id, i.product_id, p.product_name, i.quantity, CAST(i.subtotal AS DOUBLE) AS unit_price,
+        CAST(i.subtotal AS DOUBLE) AS subtotal FROM items i JOIN products p ON i.product_id = p.product_id
+        WHERE i.sale_id = (SELECT CAST(7 AS BIGINT))""",
+    ),
+    "one_cashier": _sql(
+        "sales",
+        """SELECT cashier_id, sale_date, payment_method, CAST(SUM(total_amount) AS DOUBLE) AS total, COUNT(*) AS txns
+        FROM sales WHERE NOT is_voided AND cashier_id = 7 GROUP BY 1, 2, 3""",
+    ),
+    "active_user": _sql(
+        "users",
+        "SELECT user_id, full_name, role, is_active, CAST(NULL AS TIMESTAMP) AS created_at FROM users WHERE code = 'u7' AND is_active",
+    ),
     "add_products": _sql(
         "products requested added",
         f"""SELECT {_PRODUCT_COLUMNS} FROM products UNION ALL

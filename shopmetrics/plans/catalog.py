@@ -23,6 +23,8 @@ from shopmetrics.sources.star import STAR, Shop
 
 AS_OF = "2001-07-31"
 RANGE = ("1998-01-01", "1999-06-30")
+# The sale, and the cashier, of the lists for one.
+ONE_SALE, ONE_CASHIER = 7, 7
 CASH = "1-URGENT"
 CURRENCIES = ["NATION_1", "NATION_7", "NATION_20", "NOWHERE"]
 
@@ -232,6 +234,11 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "sale_item_list": lambda s: sales.sale_item_list(
         s.sale_items.withColumn("unit_price", F.col("subtotal")), s.products
     ),
+    "one_sale": lambda s: sales.sale_item_list(
+        s.sale_items.withColumn("unit_price", F.col("subtotal")), s.products, ONE_SALE
+    ),
+    "one_cashier": lambda s: tills.shift_breakdown(s.sales, ONE_CASHIER),
+    "active_user": lambda s: backoffice.active_user(s.users, f"u{ONE_CASHIER}"),
     "returns_history": lambda s: backoffice.returns_history(s.returns, s.products, s.users),
     "sales_alerts": lambda s: backoffice.sales_alerts(s.sales, s.products, s.inventory, AS_OF),
     # ledger
@@ -243,6 +250,10 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "post_sales_activity": lambda s: _posted(s)["activity"],
     "apply_movements": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["inventory"],
     "apply_movements_activity": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["activity"],
+    "apply_movements_movements": lambda s: ledger.apply_movements(
+        s.inventory, s.stock_movements, s.products
+    )["stock_movements"],
+    "apply_movements_rejected": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["rejected"],
     "receive_stock": lambda s: ledger.receive_stock(s.inventory, s.stock_movements, s.products)["inventory"],
     "receive_stock_activity": lambda s: ledger.receive_stock(s.inventory, s.stock_movements, s.products)["activity"],
     "void_sales": lambda s: ledger.void_sales(s.sales, s.void_requests)["sales"].drop("sale_time"),
@@ -250,12 +261,16 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "process_returns": lambda s: _returns(s)["returns"],
     "process_returns_inventory": lambda s: _returns(s)["inventory"],
     "process_returns_activity": lambda s: _returns(s)["activity"],
+    "process_returns_movements": lambda s: _returns(s)["stock_movements"],
+    "process_returns_rejected": lambda s: _returns(s)["rejected"],
     "add_products": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["products"],
     "add_products_inventory": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["inventory"],
+    "add_products_activity": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["activity"],
     "edit_products": lambda s: ledger.edit_products(s.products, s.inventory, s.product_edits)["products"],
     "edit_products_inventory": lambda s: ledger.edit_products(s.products, s.inventory, s.product_edits)["inventory"],
     "edit_products_activity": lambda s: ledger.edit_products(s.products, s.inventory, s.product_edits)["activity"],
     "set_active": lambda s: ledger.set_active(s.products, s.status_requests)["products"],
+    "set_active_activity": lambda s: ledger.set_active(s.products, s.status_requests)["activity"],
     "upsert_staff": lambda s: ledger.upsert_staff(s.users, s.staff_requests)["users"],
     "upsert_staff_activity": lambda s: ledger.upsert_staff(s.users, s.staff_requests)["activity"],
     "record_expenses": lambda s: ledger.record_expenses(
@@ -269,6 +284,7 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
         ),
     )["expenses"],
     "reconcile_tills": lambda s: tills.reconcile_tills(s.sales, s.declarations, CASH)["till_reconciliations"],
+    "reconcile_tills_activity": lambda s: tills.reconcile_tills(s.sales, s.declarations, CASH)["activity"],
     "till_verdicts": lambda s: tills.reconcile_tills(s.sales, s.declarations, CASH)["verdicts"],
     "append_activity": lambda s: append_activity(
         s.activity_log, ledger.void_sales(s.sales, s.void_requests)["activity"]
