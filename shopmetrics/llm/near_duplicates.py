@@ -263,16 +263,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_labels(links: DataFrame) -> DataFrame:
-    """``cls, root``: classes with one root are connected. Two steps to the least neighbour and a jump to its root:
-    connected classes may still have different roots, which costs comparisons and loses nothing."""
-    both = links.union(links.select("b", "a")).toDF("cls", "other")
-    first = both.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("root"))
-    beyond = looked_up(both, first.toDF("other", "root"), ["other"])
-    second = beyond.groupBy("cls").agg(F.least(F.col("cls"), F.min("other"), F.min("root")).alias("root"))
-    return looked_up(second, second.toDF("root", "onward"), ["root"], "left").select("cls", F.coalesce("onward", "root").alias("root"))
-
-
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the nodes that hold sets not known to be connected, with ``label``, whether the label is the
     node's largest (``major``), and the node's counts ``m`` of members and ``r`` of members under other labels.
@@ -295,7 +285,7 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, join: Join) -> Iterator[tuple]:
     """For each index in ``asks``: it, the indices of the sets whose similarity to it may reach the threshold by their
     samples, within ``join.slack`` standard deviations, and whether each surely reaches it, above by as much. Samples
-    that are whole sets deviate by two hashes at most."""
+    that are whole sets miss no common hash, and may count one too many where upper halves of different hashes agree."""
     values, starts = np.concatenate(samples), np.cumsum([0, *map(len, samples)])[:-1]
     ids = np.unique(values, return_inverse=True)[1]
     share = join.percent / 100
@@ -308,10 +298,9 @@ def _similar(limits: np.ndarray, samples: list[np.ndarray], asks: np.ndarray, jo
         limit = np.minimum(limits, limits[i])
         union = theirs + np.searchsorted(samples[i], (limit - 1).astype(np.uint32), "right") - common
         whole = limit == 1 << 32
-        # One hash more or less in common: upper halves of different hashes may be equal.
-        room = 2 + ~whole * join.slack * np.sqrt(share * (1 - share) * union)
-        near = np.flatnonzero(common >= share * union - room)
-        yield i, near, common[near] >= share * union[near] + room[near]
+        room = ~whole * join.slack * np.sqrt(share * (1 - share) * union)
+        near = np.flatnonzero(common >= share * union - room - 1e-9)
+        yield i, near, common[near] - 1 >= share * (union[near] + 1) + room[near]
 
 
 def chunked(members: DataFrame, small: int) -> DataFrame:
@@ -421,25 +410,26 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     members, path = written(met(classes.select("cls", F.explode("nodes").alias("node"))), "members")
     wanted = looked_up(classes.select("cls", "digest", "first_id"), members.select("cls").distinct(), ["cls"])
     texts, _ = written(_texts(docs, wanted, text, join), "texts")
-    links: DataFrame | None = None
+    labels = spark.createDataFrame([], "cls long, root long")
     for step in range(3, join.depth + 1):
         stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
         near = _estimated(stars, classes, join)
         found, _ = written(_confirmed(near, texts, join), "links")
-        links = found if links is None else links.union(found)
-        open_nodes, to = written(unsettled(members, near_labels(links)), "unsettled")
+        # What is connected by now needs no comparison.
+        labels = components(found.union(labels)).toDF("cls", "root")
+        open_nodes, to = written(unsettled(members, labels), "unsettled")
         discard(spark, path)
         large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
         alike, rest = written(_alike(open_nodes.where(~large), classes, join), "alike")
         found, _ = written(_confirmed(_compared(alike, texts, join), texts, join), "links")
         discard(spark, rest)
-        links = links.union(found)
+        if not found.isEmpty():
+            labels = components(found.union(labels)).toDF("cls", "root")
         branches = open_nodes.where(large)
         if branches.isEmpty():
             break
         members, path = written(met(_branched(branches, classes, join)), "members")
         discard(spark, to)
-    labels = components(links).toDF("cls", "root")
     named = looked_up(classes.select("cls", "digest", "first_id"), labels, ["cls"], "left")
     named, _ = written(named.select("digest", "first_id", F.coalesce("root", "cls").alias("root")), "groups")
     firsts = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
