@@ -37,11 +37,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: ``spark.checkpoint.dir``. Set here only where it is unset, as in tests."""
+    """The folder that all machines see: ``spark.checkpoint.dir``. Only where it is unset, as in tests, the driver takes
+    one of its own for the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not getattr(context, "_corpus_folder", None):
+            context._corpus_folder = tempfile.mkdtemp(prefix="corpus-")
+        folder = context._corpus_folder
     return folder.rstrip("/")
 
 
