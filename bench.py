@@ -25,6 +25,8 @@ HEADLINE = [
     "expenses_by_category", "profit_and_loss", "business_report", "product_pnl", "sheet_summary", "period_stats",
     "fx_convert", "shift_breakdown", "sales_alerts", "post_sales", "post_sales_inventory", "apply_movements",
     "void_sales", "process_returns", "add_products", "edit_products_inventory", "reconcile_tills", "load_dedup",
+    "process_returns_inventory", "post_sales_items", "till_history", "activity_view", "returns_history", "sale_item_list",
+    "cart_merge", "text_labels", "hotel_bookings", "returnable_sales", "upsert_staff",
 ]
 
 
