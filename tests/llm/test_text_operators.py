@@ -197,6 +197,30 @@ def test_fuzzy_lines_match_all_pairs(make_docs):
         assert sorted(map(tuple, fl.fuzzy_lines(make_docs(rows), lines=lines).collect()), key=str) == brute_lines(rows, lines)
 
 
+def test_fuzzy_lines_link_by_edits_alone(make_docs):
+    """Near copies with a changed character or word are found whatever their SimHashes."""
+    pick = random.Random(7)
+    rows = []
+    for k in range(60):
+        base = prose(pick, pick.randint(5, 40))
+        words = base.split()
+        words[pick.randrange(len(words))] = "zq"
+        rows += [(10 * k, base), (10 * k + 1, changed(base.encode(), pick, 1).decode()), (10 * k + 2, " ".join(words))]
+    rows += [(1000, "abcdefgh"), (1001, "abcdefgx"), (1002, "to the gate"), (1003, "to a gate"), (1004, "abc"), (1005, "abd")]
+    expected = brute_lines(rows, fl.Lines(distance=64))
+    assert sum(kept for _, _, kept, _ in expected) < 75
+    assert sorted(map(tuple, fl.fuzzy_lines(make_docs(rows)).collect()), key=str) == expected
+
+
+def test_short_lines_meet_all_similar_ones():
+    pick = random.Random(8)
+    for _ in range(2000):
+        a = bytes(pick.choice(b"abc ") for _ in range(pick.randint(1, 24)))
+        b = changed(a, pick, pick.randint(1, 4))[:24]
+        one, two = (set((n >> 16).tolist()) for n in fl.nodes([a, b], 12))
+        assert a == b or not fl.similar(a, b, 80) or one & two
+
+
 def test_fuzzy_lines_empty(make_docs):
     assert fl.fuzzy_lines(make_docs([(1, "a")]).limit(0)).collect() == []
     assert fl.without_lines("a\nb\nc", [1]) == "a\nc" and fl.without_lines(None, []) is None
