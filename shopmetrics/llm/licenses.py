@@ -1,14 +1,17 @@
 """Licenses named or quoted in documents, by conditional compression (operator 2).
 
-A block of text that quotes a template compresses far better when the template is the compressor's raw dictionary. The
-blocks of a document that hold a word of the subject are compressed with each template and without; the template that
-saves most is the candidate, and it wins if the words of the block that stand against the template are few.
+Text that quotes a template compresses far better when the template is the compressor's raw dictionary. The sentences of
+a document that hold a word of the subject are compared with each template that shares a run of words that no other has;
+of the spans whose wording is near enough, the one that its template saves most wins, and what stands before and after
+it is judged again.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
+import itertools
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -63,16 +66,14 @@ WORDS = re.compile(r"[\w.+-]*\w")
 @dataclass(frozen=True)
 class Scan:
     templates: Mapping[str, str] = field(default_factory=lambda: TEMPLATES)
-    #: Share of the block's compressed size that the winner must save.
+    #: Share of the compressed size of the quoted span that the winner must save.
     least_saved: float = 0.25
-    #: Words of a block that its winner doesn't have, at most, as a share of the block's words.
+    #: Words of a span that its winner doesn't have, at most, as a share of the span's words.
     most_foreign: float = 0.2
-    #: Words of the longest run that block and template share, at least.
+    #: Words of the longest run that span and template share, at least.
     least_run: int = 3
-    #: Words of a block at most: longer sentences are cut to ``lead`` words before the word of the subject and half a
-    #: block from it on.
+    #: Words before and after a shared run that are compared with the template, beside as many as the template has.
     block: int = 64
-    lead: int = 6
     level: int = 6
 
 
@@ -82,6 +83,9 @@ class _Scanner:
         self.plain = zstandard.ZstdCompressor(level=scan.level, write_content_size=False)
         self.names = sorted(scan.templates)
         self.words = {n: [w.lower() for w in WORDS.findall(scan.templates[n])] for n in self.names}
+        self.grams = {n: self._grams(w) for n, w in self.words.items()}
+        #: Templates by the runs that only they have.
+        self.only = {g: n for n in self.names for g in self.grams[n] if not any(g in self.grams[m] for m in self.names if m != n)}
         self.primed = {
             n: zstandard.ZstdCompressor(
                 level=scan.level, write_content_size=False,
@@ -90,58 +94,90 @@ class _Scanner:
             for n in self.names
         }
 
-    def judge(self, block: str) -> tuple[str, int, int, list[str]] | None:
-        """The license of a block: its name, the bytes it saves, the plain size, and the words it doesn't account for."""
-        data = block.lower().encode("utf-8", "replace")
-        plain = len(self.plain.compress(data))
-        saved = sorted(((plain - len(self.primed[n].compress(data)), n) for n in self.names), key=lambda x: (-x[0], x[1]))
-        own = [w.lower() for w in WORDS.findall(block)]
-        for gain, name in saved:
-            if gain < self.scan.least_saved * plain:
-                return None
-            match = difflib.SequenceMatcher(None, own, self.words[name], autojunk=False)
-            runs = [b for b in match.get_matching_blocks() if b.size]
-            if not runs or max(b.size for b in runs) < min(self.scan.least_run, len(own)):
-                continue
-            first, last = runs[0].a, runs[-1].a + runs[-1].size
-            held = {k for b in runs for k in range(b.a, b.a + b.size)}
-            foreign = [own[k] for k in range(first, last) if k not in held]
-            # What stands before and after the quoted part is other text; a notice has it only within the line's share.
-            around = len(own) - (last - first)
-            if len(foreign) <= self.scan.most_foreign * (last - first) and around <= self.scan.block // 2:
-                return name, gain, plain, foreign
-        return None
+    def _grams(self, words: list[str]) -> set[tuple]:
+        return {tuple(words[k : k + self.scan.least_run]) for k in range(len(words) - self.scan.least_run + 1)}
+
+    def _span(self, own: list[str], low: int, high: int, at: int, name: str) -> tuple[int, int, list[str]] | None:
+        """The part of the words ``low`` to ``high`` around the run at ``at`` that quotes the template: from the
+        longest run on, the next runs are taken in while the words that differ on either side are few."""
+        words = self.words[name]
+        reach = self.scan.block + len(words)
+        low, high = max(low, at - reach), min(high, at + reach)
+        runs = [r for r in difflib.SequenceMatcher(None, own[low:high], words, autojunk=False).get_matching_blocks() if r.size]
+        # The alignment need not hold the run at ``at``; then that is the span.
+        held = next((k for k, r in enumerate(runs) if r.a <= at - low < r.a + r.size), None)
+        if held is None:
+            return at, at + self.scan.least_run, []
+        first, last, foreign, skipped, quoted = held, held, 0, 0, runs[held].size
+        grown = True
+        while grown:
+            grown = False
+            for step in (-1, 1):
+                near = (first if step < 0 else last) + step
+                if not 0 <= near < len(runs):
+                    continue
+                one, two = (runs[near], runs[first]) if step < 0 else (runs[last], runs[near])
+                more, less = two.a - one.a - one.size, two.b - one.b - one.size
+                size = quoted + foreign + more + runs[near].size
+                if max(foreign + more, skipped + less) <= self.scan.most_foreign * size:
+                    foreign, skipped, quoted, grown = foreign + more, skipped + less, quoted + runs[near].size, True
+                    first, last = min(first, near), max(last, near)
+        start, stop = low + runs[first].a, low + runs[last].a + runs[last].size
+        same = {low + k for r in runs[first : last + 1] for k in range(r.a, r.a + r.size)}
+        return start, stop, [own[k] for k in range(start, stop) if k not in same]
+
+    def judge(self, block: str) -> list[tuple[str, int, int, list[str], str]]:
+        """The licenses of a block in order: name, bytes that the template saves of the quoted span, its plain size, the
+        words that the template doesn't have, and the span."""
+        places = [(m.start(), m.end()) for m in WORDS.finditer(block)]
+        own = [block[i:j].lower() for i, j in places]
+        run = self.scan.least_run
+        hits = [(k, n) for k in range(len(own) - run + 1) if (n := self.only.get(tuple(own[k : k + run])))]
+        if own and len(own) < run:  # a short block must be a run itself
+            hits = [(0, n) for n in self.names if any(self.words[n][k : k + len(own)] == own for k in range(len(self.words[n])))]
+        found, parts = [], [(0, len(own))]
+        while parts:
+            low, high = parts.pop()
+            best, done = None, {}
+            for at, name in itertools.islice(hits, bisect.bisect_left(hits, (low, "")), None):
+                if at > high - min(run, len(own)) or best and at >= best[2]:  # what lies beyond is judged next
+                    break
+                if at < done.get(name, 0):
+                    continue
+                start, stop, foreign = (0, len(own), []) if len(own) < run else self._span(own, low, high, at, name)
+                done[name] = max(stop, at + 1)
+                quoted = block[places[start][0] : places[stop - 1][1]]
+                data = quoted.lower().encode("utf-8", "replace")
+                if not SUBJECT.search(data):
+                    continue
+                plain = len(self.plain.compress(data))
+                gain = plain - len(self.primed[name].compress(data))
+                if gain >= self.scan.least_saved * plain and (best is None or gain > best[0]):
+                    best = gain, start, stop, (name, gain, plain, foreign, quoted)
+            if best:
+                _, start, _, notice = best
+                found.append((start, notice))
+        return [notice for _, notice in sorted(found, key=lambda f: f[0])]
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """Line numbers and blocks that hold a word of the subject: its sentence, or of a long sentence the words
-        around it."""
+        """Line numbers and the sentences that hold a word of the subject."""
         for number, line in enumerate(text.split("\n")):
             data, last = line.encode("utf-8", "replace"), 0
             for hit in SUBJECT.finditer(data):
                 if hit.start() < last:
                     continue
                 stop = data.rfind(b". ", last, hit.start())
-                before = data[last if stop < 0 else stop + 2 : hit.start()]
+                start = last if stop < 0 else stop + 2
                 stop = data.find(b". ", hit.end())
                 last = len(data) if stop < 0 else stop + 1
-                after = data[hit.start() : last]
-                if len(before.split()) + len(after.split()) > self.scan.block:
-                    before = b" ".join(before.split()[-self.scan.lead :] + [b""])
-                    words = after.split(None, self.scan.block // 2)
-                    if len(words) > self.scan.block // 2:
-                        last -= len(words[-1])
-                        after = data[hit.start() : last]
-                yield number, (before + after).decode("utf-8", "replace").strip()
+                yield number, data[start:last].decode("utf-8", "replace").strip()
 
     def scan_text(self, text: str | None) -> list[dict]:
-        found = []
-        for number, block in self.blocks(text or ""):
-            if judged := self.judge(block):
-                name, gain, plain, foreign = judged
-                found.append(
-                    {"license": name, "line": number, "saved_bytes": gain, "plain_bytes": plain, "differences": foreign, "quoted": block}
-                )
-        return found
+        return [
+            {"license": name, "line": number, "saved_bytes": gain, "plain_bytes": plain, "differences": foreign, "quoted": quoted}
+            for number, block in self.blocks(text or "")
+            for name, gain, plain, foreign, quoted in self.judge(block)
+        ]
 
 
 @functools.lru_cache(maxsize=4)
@@ -154,14 +190,15 @@ FOUND = "array<struct<license:string,line:int,saved_bytes:int,plain_bytes:int,di
 
 def licenses(docs: DataFrame, text: str = "text", scan: Scan | None = None) -> DataFrame:
     """``doc_id, licenses`` for each row of ``docs``: the notices found in the whole text in order, with ``license``,
-    ``line`` (from 0), the bytes that the template saves and the plain compressed size, the words of the quoted part
-    that differ from the template (``differences``), and the block.
+    ``line`` (from 0), the bytes that the template saves of the quoted part and its plain compressed size, the words of
+    the quoted part that differ from the template (``differences``), and the quoted part. A sentence may hold several;
+    words around a notice don't count against it. A run of words that several templates have names none of them.
 
     One narrow pass over the documents. Null and empty texts have none; equal gains go to the first name; repeated
     rows are each answered. Other columns, of any name, are not read. An empty table gives an empty result.
     """
     scan = scan or Scan()
-    key = (scan.least_saved, scan.most_foreign, scan.least_run, scan.block, scan.lead, scan.level)
+    key = (scan.least_saved, scan.most_foreign, scan.least_run, scan.block, scan.level)
     items = tuple(sorted(scan.templates.items()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     inner = pa.list_(

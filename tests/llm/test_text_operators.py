@@ -251,6 +251,19 @@ def test_each_template_finds_itself(make_docs):
     assert all(list(li.TEMPLATES)[k] in names[k] for k in names)
 
 
+def test_licenses_inside_long_sentences(make_docs):
+    long = lambda seed, n: prose(random.Random(seed), n)
+    rows = [
+        (1, "This library is released under the MIT License by its authors and may be copied."),
+        (2, "Copyright 2021 Example Corporation and its contributors, all rights reserved worldwide."),
+        (3, f"{long(1, 40)} Licensed under the Apache License, Version 2.0 {long(2, 60)}"),
+        (4, f"{long(3, 4000)} {li.TEMPLATES['GPL-3.0'].split('. ')[0]}  {long(4, 4000)}"),
+        (5, "He was licensed under the new law, and got a copy of the license free of charge."),
+    ]
+    found = {r["doc_id"]: r["licenses"] for r in li.license_names(make_docs(rows)).collect()}
+    assert found == {1: ["MIT"], 2: ["reserved"], 3: ["Apache-2.0"], 4: ["GPL-3.0"], 5: []}
+
+
 # quality
 
 
