@@ -155,8 +155,9 @@ class _Scanner:
                 if gain >= self.scan.least_saved * plain and (best is None or gain > best[0]):
                     best = gain, start, stop, (name, gain, plain, foreign, quoted)
             if best:
-                _, start, _, notice = best
+                _, start, stop, notice = best
                 found.append((start, notice))
+                parts += [(low, start), (stop, high)]
         return [notice for _, notice in sorted(found, key=lambda f: f[0])]
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:

@@ -257,11 +257,19 @@ def test_licenses_inside_long_sentences(make_docs):
         (1, "This library is released under the MIT License by its authors and may be copied."),
         (2, "Copyright 2021 Example Corporation and its contributors, all rights reserved worldwide."),
         (3, f"{long(1, 40)} Licensed under the Apache License, Version 2.0 {long(2, 60)}"),
-        (4, f"{long(3, 4000)} {li.TEMPLATES['GPL-3.0'].split('. ')[0]}  {long(4, 4000)}"),
+        (4, f"{long(3, 4000)} {li.TEMPLATES['GPL-3.0'].split('. ')[0]} {long(4, 4000)} released under the MIT License {long(5, 50)}"),
         (5, "He was licensed under the new law, and got a copy of the license free of charge."),
     ]
     found = {r["doc_id"]: r["licenses"] for r in li.license_names(make_docs(rows)).collect()}
-    assert found == {1: ["MIT"], 2: ["reserved"], 3: ["Apache-2.0"], 4: ["GPL-3.0"], 5: []}
+    assert found == {1: ["MIT"], 2: ["reserved"], 3: ["Apache-2.0"], 4: ["GPL-3.0", "MIT"], 5: []}
+
+
+def test_sentences_with_two_licenses(make_docs):
+    text = "Licensed under the Apache License, Version 2.0, or released under the MIT License."
+    found = li.licenses(make_docs([(1, text)])).first()["licenses"]
+    assert [(n["license"], n["quoted"]) for n in found] == [
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("MIT", "released under the MIT License"),
+    ]
 
 
 # quality
