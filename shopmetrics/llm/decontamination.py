@@ -33,8 +33,8 @@ PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 @dataclass(frozen=True)
 class Budget:
     """``edits`` per character of a passage. Characters are bytes of the normalised UTF-8 text. Passages of more than
-    ``piece`` characters are cut into pieces that count on their own; pieces shorter than ``shortest`` count for
-    nothing, as they say too little."""
+    ``piece`` characters are cut into pieces that count on their own; passages shorter than
+    ``shortest`` say too little for edits and must stand there word for word."""
 
     edits: float = 0.1
     piece: int = 512
@@ -70,8 +70,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
         self.ids, self.pieces = [], []
+        #: Short passages by their first word, their number of words and their text.
+        self.short: dict[bytes, dict[int, dict[bytes, list[int]]]] = {}
         for item, text in items:
-            for piece in budget.pieces(normalised(text)):
+            whole = normalised(text)
+            if 0 < len(whole) < budget.shortest:
+                words = whole.split(b" ")
+                self.short.setdefault(words[0], {}).setdefault(len(words), {}).setdefault(whole, []).append(item)
+            for piece in budget.pieces(whole):
                 self.ids.append(item)
                 self.pieces.append(piece)
         lengths = np.array([len(p) for p in self.pieces], np.int64)
@@ -158,6 +164,21 @@ class Index:
         return found
 
 
+def _short(index: Index, text: bytes) -> dict[int, int]:
+    """Items whose short passage is a run of whole words of the text, and the place where the first one ends."""
+    found: dict[int, int] = {}
+    if not index.short:
+        return found
+    words, place = text.split(b" "), 0
+    for k, word in enumerate(words):
+        for many, passages in index.short.get(word, {}).items():
+            run = b" ".join(words[k : k + many])
+            for item in passages.get(run, ()):
+                found.setdefault(item, place + len(run))
+        place += len(word) + 1
+    return found
+
+
 def aligned(piece: bytes, region: bytes, most: int) -> tuple[int, int]:
     """Least edits that turn a part of ``region`` into ``piece``, and where that part ends; ``most + 1`` where it
     takes more than ``most``.
@@ -213,7 +234,8 @@ def with_leaks(
 
     The benchmark is a set of queries: it is looked up in blocks of bounded size, each in one narrow pass over the
     documents, whose number grows with the benchmark and not with the documents. Null and empty texts have no leaks;
-    null passages or ids find none; repeated rows are each answered. ``docs`` may not have a column ``name`` yet.
+    passages of fewer than ``budget.shortest`` characters are found where they stand as whole words, without edits;
+    passages without words and null passages or ids find none; repeated rows are each answered. ``docs`` may not have a column ``name`` yet.
     """
     budget, spark = budget or Budget(), docs.sparkSession
     rows = docs.withColumn(name, F.lit(None).cast(LEAKS))
@@ -226,8 +248,10 @@ def with_leaks(
             for batch in batches:
                 before, after = batch.column(batch.num_columns - 1).to_pylist(), []
                 for value, known in zip(batch.column(at), before):
-                    found = index.find(normalised(value.as_py()))
-                    own = [{"item_id": index.ids[p], "edits": e, "end": z} for p, (e, z) in found.items()]
+                    plain = normalised(value.as_py())
+                    found = [(index.ids[p], e, z) for p, (e, z) in index.find(plain).items()]
+                    found += [(item, 0, z) for item, z in _short(index, plain).items()]
+                    own = [{"item_id": item, "edits": e, "end": z} for item, e, z in found]
                     after.append(sorted([*(known or []), *own], key=lambda x: (x["item_id"], x["end"])))
                 column = pa.array(after, batch.schema.field(batch.num_columns - 1).type)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=batch.schema.names)

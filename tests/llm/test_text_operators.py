@@ -132,6 +132,14 @@ def test_leaks_match_plain_alignment(spark, make_docs):
     assert kept.count() == sum(not e[1] for e in expected)
 
 
+def test_short_passages_are_found_word_for_word(spark, make_docs):
+    items = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "Paris"), (2, "what is"), (3, "..."), (4, "Paris")], "item_id long, text string")
+    rows = [(1, "So: WHAT IS 2+2, then"), (2, "what is 2 23"), (3, "in paris."), (4, "comparison"), (5, None), (6, "")]
+    for limits in (dc.Budget(), dc.Budget(block=8)):
+        found = {r["doc_id"]: (r["item_ids"], r["least_edits"]) for r in dc.contaminated(make_docs(rows), items, budget=limits).collect()}
+        assert found == {1: ([1, 2], 0), 2: ([2], 0), 3: ([2, 4], 0), 4: ([], None), 5: ([], None), 6: ([], None)}
+
+
 def test_leaks_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in dc.contaminated(make_docs([(1, "a")]), none).collect()] == [False]
