@@ -109,3 +109,9 @@ def held_out(doc_id: str | Column) -> Column:
     """Rows that no classifier learns from: crc32 of the id as text leaves remainder 2 by 4. A null id is held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def one_per_id(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, text``, one row for each id: of several, the one whose text comes first by hash (null last)."""
+    first = F.struct(F.col(text).isNull().alias("last"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    return docs.groupBy("doc_id").agg(F.min(first).alias("one")).select("doc_id", F.col("one.text").alias("text"))

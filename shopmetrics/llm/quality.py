@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.llm.common import held_out, looked_up, splitting, staged
+from shopmetrics.llm.common import held_out, looked_up, one_per_id, splitting, staged
 
 FEATURES = 12
 UPPER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, q: Quality) -> tuple[np.ndarray, flo
     share = known.agg(F.avg("quality"), F.count("*")).first()
     prior = ((share[0] or 0) * share[1] + 1) / (share[1] + 2)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(q.fitted)  # at most ``fitted`` ids
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    sample = one_per_id(own).join(F.broadcast(chosen), "doc_id")  # and one row of each
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])

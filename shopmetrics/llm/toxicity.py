@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from shopmetrics.llm.common import held_out, unused
+from shopmetrics.llm.common import held_out, one_per_id, unused
 
 #: Bytes of a cell; two neighbouring cells are a passage.
 CELL = 16
@@ -226,8 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", settings: Settin
         known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         for label, most in ((1, s.toxic_rows), (0, s.clean_rows))
     ]
-    # At most toxic_rows + clean_rows ids.
-    sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    # At most toxic_rows + clean_rows ids, and one row of each.
+    labelled = F.broadcast(chosen[0].union(chosen[1]))
+    own = docs.select("doc_id", F.col(text).alias("text")).join(labelled.select("doc_id"), "doc_id", "left_semi")
+    sample = one_per_id(own).join(labelled, "doc_id")
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(

@@ -55,6 +55,16 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark, make_docs, toxic_co
     assert one == two
 
 
+def test_samples_have_one_row_per_id(make_docs, toxic_corpus):
+    rows, labels = toxic_corpus
+    many = rows[:200] + [r for r in rows[:4] for _ in range(60)]
+    one, two = (tx.fit(make_docs(r), labels) for r in (rows[:200], many))
+    assert (one.per_bucket == two.per_bucket).all() and (one.slope, one.level) == (two.slope, two.level)
+    known = labels.withColumn("quality", F.col("toxic"))
+    one, two = (qu.fit(make_docs(r), known, qu.Quality()) for r in (rows[:200], many))
+    assert one[0] is not None and np.allclose(one[0], two[0])
+
+
 def test_toxicity_without_labels_or_rows(spark, make_docs, toxic_corpus):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in tx.toxicity(make_docs([(1, "a"), (2, None)]), none).collect()} == {0}
