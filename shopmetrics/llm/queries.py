@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopmetrics.llm.bpe import decoded, encoded
 from shopmetrics.llm.common import ship, table
 from shopmetrics.llm.decontamination import contaminated
 from shopmetrics.llm.fuzzy_lines import fuzzy_lines
@@ -15,6 +16,7 @@ from shopmetrics.llm.mixing import mixed
 from shopmetrics.llm.multi_index import nearest
 from shopmetrics.llm.near_duplicates import near_duplicates
 from shopmetrics.llm.quality import quality
+from shopmetrics.llm.spelling import Spelling, variants
 from shopmetrics.llm.token_shards import Layout, materialise
 from shopmetrics.llm.toxicity import toxicity
 from shopmetrics.llm.warc import read_archives, write_archives
@@ -22,6 +24,7 @@ from shopmetrics.llm.warc import read_archives, write_archives
 
 #: A vocabulary of many languages; the same path on all machines.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"), spelling=Spelling(drops=199))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = decoded(encoded(table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
+    return tokens.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -78,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: _query(build)
     for build in (
         op1_token_shards, op2_license_scan, op3_toxicity, op4_fuzzy_lines, op5_near_duplicates, op6_multi_index,
-        op7_source_mix, op8_warc, op9_decontamination, op10_quality,
+        op7_source_mix, op8_warc, op9_decontamination, op10_quality, op11_spelling_variants, op13_byte_bpe,
     )
 }
 
