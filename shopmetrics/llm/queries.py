@@ -16,6 +16,7 @@ from shopmetrics.llm.mixing import mixed
 from shopmetrics.llm.multi_index import nearest
 from shopmetrics.llm.near_duplicates import near_duplicates
 from shopmetrics.llm.quality import quality
+from shopmetrics.llm.ranked_search import read_index, search, write_index
 from shopmetrics.llm.spelling import Spelling, variants
 from shopmetrics.llm.token_shards import Layout, materialise
 from shopmetrics.llm.toxicity import toxicity
@@ -73,6 +74,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"), spelling=Spelling(drops=199))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = read_index(spark, write_index(table(spark, sf_dir, "documents")))
+    return search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = decoded(encoded(table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
     return tokens.select(
@@ -93,7 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: _query(build)
     for build in (
         op1_token_shards, op2_license_scan, op3_toxicity, op4_fuzzy_lines, op5_near_duplicates, op6_multi_index,
-        op7_source_mix, op8_warc, op9_decontamination, op10_quality, op11_spelling_variants, op13_byte_bpe,
+        op7_source_mix, op8_warc, op9_decontamination, op10_quality, op11_spelling_variants, op12_ranked_search,
+        op13_byte_bpe,
     )
 }
 
@@ -111,4 +118,37 @@ ORACLE: dict[str, str] = {
                CASE WHEN holder <> page_id THEN holder END AS refers_to
         FROM holders
     """,
+    "op12_ranked_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM documents
+        ),
+        postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+        lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark
+        ),
+        wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM postings, corpus GROUP BY term, docs
+        ),
+        impacts AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // total)))) AS impact
+            FROM postings JOIN lengths USING (doc_id) JOIN weights USING (term), corpus
+        ),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+            FROM wanted JOIN impacts USING (term) GROUP BY item_id, doc_id
+        ),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scores WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
