@@ -28,6 +28,8 @@ from shopmetrics.llm.components import components
 LANES = 128
 #: A sample holds all hashes of a set of at most so many, and half to all of this number of a larger one.
 SAMPLE = 512
+#: Sets of up to so many hashes are compared whole, so that their pairs are decided where they meet.
+WHOLE = 4096
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 1_000_000
 
@@ -138,6 +140,11 @@ def sample(full: np.ndarray) -> tuple[int, np.ndarray]:
     return limit, upper[: np.searchsorted(upper, limit - 1, "right")]
 
 
+def carried(full: np.ndarray) -> tuple[int, np.ndarray]:
+    """What a set brings to its nodes: the upper halves of all its hashes, or a sample of a large set."""
+    return sample(full) if len(full) > WHOLE else (1 << 32, (full >> np.uint64(32)).astype(np.uint32))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -211,7 +218,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, join: Join) -> DataFrame:
-    """``cls, text, limit, sample`` of the wanted classes: the text of one of their documents, and its sample."""
+    """``cls, text, limit, sample`` of the wanted classes: the text of one of their documents, and its set or sample."""
     named = docs.select(id_text("doc_id").alias("first"), F.col(text).cast("binary").alias("text"))
     found = looked_up(named, wanted.select(id_text("first_id").alias("first")).distinct(), ["first"]).select("text")
     words = join.words
@@ -220,7 +227,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str, join: Join) -> DataFra
         known = _Hashes()
         for batch in batches:
             own = [shingles(t.as_py(), words, known) for t in batch.column(0)]
-            parts = [sample(full) for full in own]
+            parts = [carried(full) for full in own]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary()),
@@ -404,27 +411,29 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     per_set = signed.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("lanes", "nodes", "bits_1", "bits_2")]
     )
-    classes, _ = written(per_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes, whole = written(per_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows, _ = written(signed.select("doc_id", "mark", "n_shingles", "digest"), "rows")
     discard(spark, full)
     members, path = written(met(classes.select("cls", F.explode("nodes").alias("node"))), "members")
     wanted = looked_up(classes.select("cls", "digest", "first_id"), members.select("cls").distinct(), ["cls"])
-    texts, _ = written(_texts(docs, wanted, text, join), "texts")
+    texts, read = written(_texts(docs, wanted, text, join), "texts")
     labels = spark.createDataFrame([], "cls long, root long")
     for step in range(3, join.depth + 1):
         stars = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
         near = _estimated(stars, classes, join)
-        found, _ = written(_confirmed(near, texts, join), "links")
+        found, links = written(_confirmed(near, texts, join), "links")
         # What is connected by now needs no comparison.
         labels = components(found.union(labels)).toDF("cls", "root")
+        discard(spark, links)
         open_nodes, to = written(unsettled(members, labels), "unsettled")
         discard(spark, path)
         large = (F.col("m") > join.small) & (F.col("r") > join.small) & F.lit(step < join.depth)
         alike, rest = written(_alike(open_nodes.where(~large), classes, join), "alike")
-        found, _ = written(_confirmed(_compared(alike, texts, join), texts, join), "links")
+        found, links = written(_confirmed(_compared(alike, texts, join), texts, join), "links")
         discard(spark, rest)
         if not found.isEmpty():
             labels = components(found.union(labels)).toDF("cls", "root")
+        discard(spark, links)
         branches = open_nodes.where(large)
         if branches.isEmpty():
             break
@@ -432,6 +441,7 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
         discard(spark, to)
     named = looked_up(classes.select("cls", "digest", "first_id"), labels, ["cls"], "left")
     named, _ = written(named.select("digest", "first_id", F.coalesce("root", "cls").alias("root")), "groups")
+    discard(spark, whole, read)
     firsts = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     return looked_up(rows, named.select("digest", "root"), ["digest"], "left"), firsts
 
