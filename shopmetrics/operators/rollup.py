@@ -55,18 +55,48 @@ def joined_in_splits(many: DataFrame, one: DataFrame, keys: Sequence[str], how:
     )
 
 
-def newest(
-    facts: DataFrame, key: str, order: Sequence[Column], sorted_by: Sequence[str], known: dict[str, DataFrame], k: int
-) -> DataFrame:
+#: Columns of an order, each with whether it descends. Nulls come last in a descending column, first in another.
+Order = Sequence[tuple[str, bool]]
+
+
+def in_order(order: Order) -> list[Column]:
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
+
+
+def _not_after(order: Order, bound: Column) -> Column:
+    """Rows that come no later in the order than the row ``bound``, a struct of the order's columns."""
+    upto = F.lit(True)
+    for name, down in reversed(order):
+        own, last = F.col(name), bound[name]
+        if down:
+            before = (own > last) | (own.isNotNull() & last.isNull())
+        else:
+            before = (own < last) | (own.isNull() & last.isNotNull())
+        upto = F.coalesce(before, F.lit(False)) | (own.eqNullSafe(last) & upto)
+    return upto
+
+
+def newest(facts: DataFrame, order: Order, known: dict[str, DataFrame], k: int) -> DataFrame:
     """The first ``k`` rows of ``facts`` in an order, of those whose columns in ``known`` are ids of the frames there.
 
-    Only the unique ``key``, the ``sorted_by`` columns and the ids go through the joins and the cut. The other columns,
-    texts among them, are fetched for the ``k`` rows that are left: a broadcast whose size the caller sets.
+    A first pass takes only the order's columns and the ids through the joins, and finds the ``k``-th row's place in the
+    order. A second pass reads the other columns, texts among them, of the rows up to that place. No column needs to be
+    unique or filled: rows that tie at the place are cut by their other columns, so there are never more than ``k``,
+    and always the same. Each task keeps at most ``k`` rows, however many tie.
     """
-    thin = facts.select(*dict.fromkeys([key, *sorted_by, *known]))
-    for column, ids in known.items():
-        thin = thin.join(ids.toDF(column), column, "left_semi")
-    return facts.join(F.broadcast(thin.orderBy(*order).limit(k).select(key)), key, "left_semi")
+
+    def of_known(rows: DataFrame) -> DataFrame:
+        for column, ids in known.items():
+            rows = rows.join(ids.toDF(column), column, "left_semi")
+        return rows
+
+    names = [c for c, _ in order]
+    first = of_known(facts.select(*dict.fromkeys([*names, *known]))).orderBy(*in_order(order)).limit(k)
+    backwards = [F.asc_nulls_first(c) if down else F.desc_nulls_last(c) for c, down in order]
+    bound = first.orderBy(*backwards).limit(1).select(F.struct(*names)).scalar()
+    rest = [(c, False) for c in facts.columns if c not in names]
+    upto = of_known(facts.filter(_not_after(order, bound))).select(*facts.columns)
+    return upto.orderBy(*in_order([*order, *rest])).limit(k)
 
 
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.dates import days_before, on_day
 from shopmetrics.functions.predicates import not_voided
-from shopmetrics.operators.rollup import newest, side_by_side
+from shopmetrics.operators.rollup import in_order, newest, side_by_side
 from shopmetrics.plans.stock import low_stock_count
 
 
@@ -23,25 +23,24 @@ def active_user(users: DataFrame, code: str) -> DataFrame:
 
 def activity_view(log: DataFrame, users: DataFrame, k: int = 100) -> DataFrame:
     """R13/J8. The newest log rows."""
-    order = [F.desc("logged_at"), F.desc("log_id")]
-    last = newest(log, "log_id", order, ["logged_at"], {"user_id": users.select("user_id")}, k)
+    order = [("logged_at", True), ("log_id", True)]
     return (
-        users.select("user_id", "full_name", "role")
-        .join(F.broadcast(last), "user_id")
-        .orderBy(*order)
+        newest(log, order, {"user_id": users.select("user_id")}, k)
+        .join(users.select("user_id", "full_name", "role"), "user_id")
+        .orderBy(*in_order(order))
         .select("logged_at", "full_name", "role", "action", "details")
     )
 
 
 def till_history(tills: DataFrame, users: DataFrame, k: int = 50) -> DataFrame:
     """R16/J10. The newest reconciliations, with the cashier and who handed them in."""
-    cashier = users.select(F.col("user_id").alias("cashier_id"), F.col("full_name").alias("cashier"))
-    submitter = users.select(F.col("user_id").alias("submitted_by"), F.col("full_name").alias("submitter"))
+    order = [("recon_date", True), ("created_at", True), ("cashier_id", False), ("submitted_by", False), ("declared_cash", False)]
+    people, ids = users.select("user_id", "full_name"), users.select("user_id")
     return (
-        tills.join(cashier, "cashier_id")
-        .join(submitter, "submitted_by")
-        .orderBy(F.desc("recon_date"), F.desc("created_at"), "cashier_id", "submitted_by", "declared_cash")
-        .limit(k)
+        newest(tills, order, {"cashier_id": ids, "submitted_by": ids}, k)
+        .join(people.toDF("cashier_id", "cashier"), "cashier_id")
+        .join(people.toDF("submitted_by", "submitter"), "submitted_by")
+        .orderBy(*in_order(order))
         .select(
             "recon_date", "cashier", "expected_cash", "declared_cash", "difference", "notes",
             F.col("submitter").alias("submitted_by"), "created_at",
@@ -51,13 +50,13 @@ def till_history(tills: DataFrame, users: DataFrame, k: int = 50) -> DataFrame:
 
 def returns_history(returns: DataFrame, products: DataFrame, users: DataFrame, k: int = 50) -> DataFrame:
     """R17/J11. The newest returns."""
+    order = [("return_date", True), ("sale_id", True), ("product_id", False), ("quantity", False), ("refund_amount", False)]
+    known = {"product_id": products.select("product_id"), "processed_by": users.select("user_id")}
     return (
-        returns.join(products.select("product_id", "product_name"), "product_id")
+        newest(returns, order, known, k)
+        .join(products.select("product_id", "product_name"), "product_id")
         .join(users.select(F.col("user_id").alias("processed_by"), "full_name"), "processed_by")
-        .orderBy(
-            F.desc("return_date"), F.desc("sale_id"), "product_id", "quantity", "refund_amount", "reason", "full_name"
-        )
-        .limit(k)
+        .orderBy(*in_order(order), "reason", "full_name")
         .select(
             "return_date", "sale_id", "product_name", "quantity", "refund_amount", "reason",
             F.col("full_name").alias("processed_by"),

@@ -18,7 +18,7 @@ from shopmetrics.functions.dates import (
 from shopmetrics.functions.labels import hour_label
 from shopmetrics.functions.money import ColumnOrName, change_from, col, line_total
 from shopmetrics.functions.predicates import not_voided
-from shopmetrics.operators.rollup import newest, side_by_side, sums_by_name, sums_per_key
+from shopmetrics.operators.rollup import in_order, newest, side_by_side, sums_by_name, sums_per_key
 from shopmetrics.plans.stock import low_stock_count, low_stock_items
 
 DETAIL_COLUMNS = (
@@ -202,13 +202,11 @@ def voidable_sales(sales: DataFrame, users: DataFrame) -> DataFrame:
 
 def returnable_sales(sales: DataFrame, users: DataFrame, k: int = 100) -> DataFrame:
     """R17. The newest sales that goods can come back from."""
-    order = [F.desc("sale_date"), F.desc("sale_id")]
-    open_sales = sales.filter(not_voided())
-    last = newest(open_sales, "sale_id", order, ["sale_date"], {"cashier_id": users.select("user_id")}, k)
+    order = [("sale_date", True), ("sale_id", True)]
     return (
-        users.select(F.col("user_id").alias("cashier_id"), F.col("full_name").alias("cashier"))
-        .join(F.broadcast(last), "cashier_id")
-        .orderBy(*order)
+        newest(sales.filter(not_voided()), order, {"cashier_id": users.select("user_id")}, k)
+        .join(users.select(F.col("user_id").alias("cashier_id"), F.col("full_name").alias("cashier")), "cashier_id")
+        .orderBy(*in_order(order))
         .select("sale_id", "sale_date", "cashier", "payment_method", "total_amount")
     )
 

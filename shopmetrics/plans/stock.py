@@ -10,7 +10,7 @@ from shopmetrics.functions.money import margin_pct, profit
 from shopmetrics.functions.predicates import (
     ANY, filled, has_status, in_category, low_stock, name_contains, needs_reorder, sellable,
 )
-from shopmetrics.operators.rollup import newest
+from shopmetrics.operators.rollup import in_order, newest
 
 
 def reorder_alert(inventory: DataFrame, products: DataFrame, branches: DataFrame) -> DataFrame:
@@ -71,14 +71,13 @@ def low_stock_items(products: DataFrame, inventory: DataFrame, k: int | None = N
 
 def movement_history(movements: DataFrame, products: DataFrame, users: DataFrame, k: int = 50) -> DataFrame:
     """R8/J7. The newest stock movements."""
-    order = [F.desc("movement_date"), F.desc("movement_id")]
+    order = [("movement_date", True), ("movement_id", True)]
     known = {"product_id": products.select("product_id"), "recorded_by": users.select("user_id")}
-    last = newest(movements, "movement_id", order, ["movement_date"], known, k)
-    named = products.select("product_id", "product_name").join(F.broadcast(last), "product_id")
     return (
-        users.select(F.col("user_id").alias("recorded_by"), "full_name")
-        .join(F.broadcast(named), "recorded_by")
-        .orderBy(*order)
+        newest(movements, order, known, k)
+        .join(products.select("product_id", "product_name"), "product_id")
+        .join(users.select(F.col("user_id").alias("recorded_by"), "full_name"), "recorded_by")
+        .orderBy(*in_order(order))
         .select("movement_date", "product_name", "movement_type", "quantity", "reason", "full_name")
     )
 

@@ -1,10 +1,14 @@
 """Every registered query against its SQL counterpart in a second engine."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
+import __spark_entry__ as entry_points
 from oracle_queries import ORACLE
 from shopmetrics.plans.catalog import QUERIES
 from shopmetrics.sources.star import STAR
@@ -70,3 +74,21 @@ def test_query_without_any_broadcast(spark, other, name):
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["branch", "revenue", "txns"] and df.count() == 25
+
+
+def test_registry():
+    """The whole registry holds every query of this library, and SQL only for registered queries."""
+    names, sql = entry_points.queries(), entry_points.oracle_sql()
+    assert set(QUERIES) <= set(names) and set(sql) <= set(names)
+    assert all(sql[name] == ORACLE[name] for name in QUERIES)
+
+
+def test_registry_without_the_corpus_folder(tmp_path):
+    """What is left still imports and registers its queries where the corpus operators are not there."""
+    root = os.path.dirname(os.path.abspath(entry_points.__file__))
+    for name in ("__spark_entry__.py", "oracle_queries.py"):
+        shutil.copy(os.path.join(root, name), tmp_path)
+    shutil.copytree(os.path.join(root, "shopmetrics"), tmp_path / "shopmetrics", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert found.stdout.split() == sorted(QUERIES)

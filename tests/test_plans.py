@@ -41,16 +41,18 @@ def test_no_pairing_of_all_rows_and_no_python(spark, name):
 
 
 def test_only_the_bounded_side_is_hinted(spark):
-    """Without size statistics in its favour nothing is broadcast but the list of target currencies, and the rows of a
-    list that a parameter cuts to its newest."""
-    bounded = {"fx_convert", "movement_history", "activity_view", "returnable_sales"}
+    """Without size statistics in its favour nothing is broadcast but the list of target currencies."""
+    bounded = {"fx_convert"}
     with settings(spark, autoBroadcastJoinThreshold="-1"):
         for name in QUERIES:
             text = plan(QUERIES[name](spark, DIRECTORY))
             assert ("BroadcastHashJoin" in text) == (name in bounded), name
 
 
-@pytest.mark.parametrize("name, texts", [("movement_history", "props"), ("activity_view", "props"), ("returnable_sales", "o_orderpriority")])
+@pytest.mark.parametrize(
+    "name, texts",
+    [("movement_history", "props"), ("activity_view", "props"), ("returnable_sales", "o_orderpriority"), ("till_history", "notes"), ("returns_history", "reason")],
+)
 def test_newest_rows_fetch_their_texts_last(spark, name, texts):
     """No text goes through a shuffle below the cut."""
     with settings(spark, autoBroadcastJoinThreshold="-1"):

@@ -1,5 +1,6 @@
 """Stock, money and back-office reports."""
 
+import random
 import datetime as dt
 from decimal import Decimal
 
@@ -255,3 +256,39 @@ def test_csv_exports_hold_voided_sales(spark, books, tmp_path):
     assert sorted(r.sale_id for r in exported.collect()) == ["1", "2", "3"]
     assert {r.is_voided for r in exported.collect()} == {"true", "false"}
     assert read("inventory_report").count() == 10
+
+
+# ---- newest lists ---------------------------------------------------------------------------
+
+
+def test_newest_needs_no_unique_or_filled_key(spark):
+    """Ties, repeated rows and nulls in every column of the order: exactly the first k by the order, then the rest."""
+    from shopmetrics.operators.rollup import newest
+
+    pick = random.Random(3)
+    data = [
+        (pick.choice([None, 1, 2]), pick.choice([None, "a", "b"]), pick.choice([1, 2, 9, None]), f"text {pick.randrange(4)}")
+        for _ in range(60)
+    ]
+    facts = spark.createDataFrame(data, "day int, word string, who int, text string").repartition(5)
+    known = {"who": spark.createDataFrame([(1,), (2,)], "id int")}
+
+    def place(row):  # day descending, nulls last; word ascending, nulls first; then who and text ascending
+        day, word, who, text = row
+        return (day is None, -(day or 0), word is not None, word or "", who, text)
+
+    right = sorted((r for r in data if r[2] in (1, 2)), key=place)
+    for k in (0, 1, 2, 7, 30, len(right), 1000):
+        got = [tuple(r) for r in newest(facts, [("day", True), ("word", False)], known, k).collect()]
+        assert sorted(got, key=place) == right[:k], k
+    assert newest(facts.limit(0), [("day", True)], known, 5).collect() == []
+
+
+def test_lists_keep_to_k_rows_with_repeated_ids(spark):
+    tables = retail(
+        spark,
+        stock_movements=[(1, 1, "stock_in", q, "new", 1, at(9)) for q in (5, 6, 7)] + [(None, 1, "stock_in", 9, "x", 1, at(8))],
+    )
+    got = rows(stock.movement_history(tables["stock_movements"], tables["products"], tables["users"], 2))
+    assert sorted(r[3] for r in got) == [5, 6]
+    assert stock.movement_history(tables["stock_movements"], tables["products"], tables["users"], 50).count() == 4
