@@ -56,6 +56,19 @@ TABLES = {
         l.l_suppkey AS processed_by, l.l_shipdate AS returned_at
         FROM lineitem l JOIN merged m ON l.l_orderkey = m.cart_id AND l.l_partkey = m.product_id
         WHERE l.l_returnflag IN ('R', 'A') AND l.l_quantity >= 1 AND l.l_quantity <= m.quantity""",
+    # returns of lines and of products: goods come back from the cheapest price on
+    "by_line": """SELECT l_orderkey AS sale_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
+        CASE l_returnflag WHEN 'R' THEN 'Damaged' WHEN 'A' THEN 'Wrong item' WHEN 'N' THEN '' END AS reason,
+        l_suppkey AS processed_by, l_shipdate AS returned_at,
+        CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_quantity AS INTEGER) % 7 + 1 END AS sale_item_id,
+        row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS request FROM lineitem""",
+    "units_back": """SELECT r.request, l.subtotal AS price, SUM(l.quantity) AS n FROM by_line r JOIN items l
+        ON r.sale_id = l.sale_id AND r.product_id = l.product_id
+        AND (r.sale_item_id IS NULL OR r.sale_item_id = l.line_no) GROUP BY 1, 2""",
+    "refunds": """SELECT r.request, MAX(u.upto) AS sold,
+        SUM(GREATEST(LEAST(r.quantity, u.upto) - (u.upto - u.n), 0) * u.price) AS refund
+        FROM by_line r JOIN (SELECT *, SUM(n) OVER (PARTITION BY request ORDER BY price) AS upto FROM units_back) u
+        ON r.request = u.request GROUP BY 1""",
     # void requests: the last one with a reason per sale, on sales that still count
     "void_requests": """SELECT event_id AS seq,
         CASE WHEN event_type IN ('click', 'error') THEN user_id ELSE event_id END AS sale_id,
@@ -547,6 +560,53 @@ ORACLE: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE l.l_orderkey = m.cart_id AND l.l_partkey = m.product_id
         AND l.l_returnflag IN ('R', 'A') AND l.l_quantity >= 1 AND l.l_quantity <= m.quantity)""",
     ),
+    "process_returns_by_line": _sql(
+        "items by_line units_back refunds",
+        """SELECT r.sale_id, r.product_id, r.quantity, CAST(f.refund AS DOUBLE) AS refund_amount, r.reason, r.processed_by,
+        r.returned_at AS return_date FROM by_line r JOIN refunds f ON r.request = f.request
+        WHERE r.reason <> '' AND r.quantity >= 1 AND r.quantity <= f.sold""",
+    ),
+    "process_returns_by_line_rejected": _sql(
+        "items by_line units_back refunds",
+        """SELECT r.sale_id, r.product_id, r.quantity, r.reason, r.processed_by, r.returned_at, r.sale_item_id
+        FROM by_line r LEFT JOIN refunds f ON r.request = f.request
+        WHERE NOT COALESCE(r.reason <> '' AND r.quantity >= 1 AND r.quantity <= f.sold, FALSE)""",
+    ),
+    "post_sales_rejected_lines": """SELECT l_orderkey AS cart_id, l_partkey AS product_id,
+        l_linenumber * 1000000000000 + CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS line_no,
+        CAST(l_quantity AS BIGINT) - 3 AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS unit_price
+        FROM lineitem WHERE CAST(l_quantity AS BIGINT) < 4""",
+    "add_products_rejected": _sql(
+        "requested added",
+        """SELECT r.seq, r.product_id, '' AS barcode, r.product_name, r.category, CAST(r.cost_price AS DOUBLE) AS cost_price,
+        CAST(r.selling_price AS DOUBLE) AS selling_price, r.reorder_level, r.opening_stock, r.seq AS added_by,
+        CAST(NULL AS TIMESTAMP) AS added_at, CASE WHEN NOT (r.cost_price > 0 AND r.selling_price > 0) THEN 'incomplete'
+        WHEN lower(r.product_name) IN (SELECT lower(p_name) FROM part) THEN 'name in use'
+        ELSE 'name asked for before' END AS refused FROM requested r WHERE r.seq NOT IN (SELECT seq FROM added)""",
+    ),
+    "set_active_rejected": """SELECT * FROM (SELECT event_id AS seq, user_id AS product_id,
+        CASE WHEN event_id % 3 > 0 THEN event_type IN ('purchase', 'view', 'signup') END AS is_active,
+        user_id AS requested_by, ts AS requested_at, CASE WHEN event_id % 3 = 0 THEN 'incomplete'
+        WHEN user_id NOT IN (SELECT p_partkey FROM part) THEN 'unknown product' END AS refused FROM events)
+        WHERE refused IS NOT NULL""",
+    "upsert_staff_rejected": _sql(
+        "users staff staff_first staff_changes",
+        """SELECT seq, user_id, full_name, COALESCE(code, '') AS code, role, is_active, asked_by AS requested_by,
+        ts AS requested_at, 'incomplete' AS refused FROM staff
+        WHERE seq NOT IN (SELECT seq FROM staff_first UNION ALL SELECT seq FROM staff_changes)""",
+    ),
+    "record_expenses_activity": _sql(
+        "expenses",
+        """SELECT recorded_by AS user_id, 'EXPENSE' AS action, category || ' - GHS '
+        || CAST(CAST(amount - 20 AS DECIMAL(18,2)) AS VARCHAR) AS details, CAST(expense_date AS TIMESTAMP) AS logged_at
+        FROM expenses WHERE amount > 20""",
+    ),
+    "record_expenses_rejected": _sql(
+        "expenses",
+        """SELECT expense_id + 1000000000000 AS expense_id, expense_date, category, description,
+        CAST(amount - 20 AS DOUBLE) AS amount, recorded_by, CAST(expense_date AS TIMESTAMP) AS recorded_at,
+        'incomplete' AS refused FROM expenses WHERE NOT COALESCE(amount > 20, FALSE)""",
+    ),
     "add_products_activity": _sql(
         "requested added",
         """SELECT seq AS user_id, 'ADD PRODUCT' AS action, 'Added ' || product_name AS details,

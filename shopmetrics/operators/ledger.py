@@ -41,6 +41,9 @@ def lazily(df: DataFrame) -> DataFrame:
 STOCK_IN = "stock_in"
 RECORDABLE_MOVEMENTS = (STOCK_IN, "adjustment", "damaged")
 
+# Why a request is refused.
+INCOMPLETE, NAME_TAKEN, NAME_ASKED, UNKNOWN = "incomplete", "name in use", "name asked for before", "unknown product"
+
 # Stock adjustments of a product edit.
 ADD, REMOVE, SET_EXACT = "Add Stock", "Remove Stock", "Set Exact Quantity"
 
@@ -190,22 +193,37 @@ def process_returns(
 ) -> dict[str, DataFrame]:
     """W4. Take goods back: a refund row, the stock, and a ``return`` movement. The sale is not changed.
 
-    ``requests``: ``sale_id, product_id, quantity, reason, processed_by, returned_at``. A request
-    needs a reason and a quantity from one to what the sale's lines of that product sold at one price.
-    Lines of one product at several prices make a request by product ambiguous, and it is refused.
-    Earlier returns are not counted. ``rejected`` holds the requests that were refused.
+    ``requests``: ``sale_id, product_id, quantity, reason, processed_by, returned_at``, and ``sale_item_id`` where they
+    name a line of the sale. A request needs a reason and a quantity from one to what the line sold or, without a line,
+    all the sale's lines of that product. Goods of a product that was sold at several prices come back from the cheapest
+    on. Earlier returns are not counted. ``rejected`` holds the requests that were refused.
     """
-    line = (
-        items.groupBy("sale_id", "product_id")
-        .agg(F.sum("quantity").alias("_sold"), F.min("unit_price").alias("unit_price"), F.max("unit_price").alias("_dearest"))
-        .filter(F.col("unit_price") == F.col("_dearest"))
-        .drop("_dearest")
+    by_line = "sale_item_id" in requests.columns
+    # A line stands for itself and, with the others, for its product; prices are few, whatever the number of lines.
+    line = F.explode(F.array(F.lit(None).cast("long"), F.col("sale_item_id").cast("long"))) if by_line else F.lit(None).cast("long")
+    keyed = items.withColumn("_line", line).withColumn("_whole", F.col("_line").isNull()).fillna({"_line": 0})
+    key = ["sale_id", "product_id", "_line", "_whole"]
+    sold = (
+        keyed.groupBy(*key, "unit_price").agg(F.sum("quantity").alias("_n"))
+        .groupBy(*key).agg(F.sum("_n").alias("_sold"), F.array_sort(F.collect_list(F.struct("unit_price", "_n"))).alias("_prices"))
+    )
+    asked = F.col("sale_item_id").cast("long") if by_line else F.lit(None).cast("long")
+    asking = requests.withColumn("_line", asked).withColumn("_whole", F.col("_line").isNull()).fillna({"_line": 0})
+    zero = F.struct(F.col("quantity").cast("long").alias("left"), as_money(F.lit(0)).alias("paid"))
+    refund = F.aggregate(
+        "_prices", zero,
+        lambda done, price: F.struct(
+            (done["left"] - F.least(done["left"], price["_n"])).alias("left"),
+            as_money(done["paid"] + refund_amount(F.least(done["left"], price["_n"]), price["unit_price"])).alias("paid"),
+        ),
+        lambda done: done["paid"],
     )
     right = filled("reason") & (F.col("quantity") >= 1) & (F.col("quantity") <= F.col("_sold"))
     judged = stage(
-        joined_in_splits(requests, line, ["sale_id", "product_id"], "left")
-        .withColumn("refund_amount", refund_amount("quantity", "unit_price"))
+        joined_in_splits(asking, sold, key, "left")
         .withColumn("_right", F.coalesce(right, F.lit(False)))
+        .withColumn("refund_amount", F.when(F.col("_right"), refund))
+        .drop("_prices", "_line", "_whole")
     )
     accepted = judged.filter("_right")
     named = accepted.join(products.select("product_id", "product_name"), "product_id")
@@ -240,6 +258,7 @@ def add_products(products: DataFrame, inventory: DataFrame, new: DataFrame) -> d
     ``new``: ``seq, product_id, barcode, product_name, category, cost_price, selling_price,
     reorder_level, opening_stock, added_by, added_at``. Name and both prices are required; of two
     requests for one name the first wins. Opening stock writes an inventory row and no movement.
+    ``rejected`` holds the other requests, with why in ``refused``.
     """
     complete = new.filter(filled("product_name") & positive("cost_price") & positive("selling_price"))
     rest = [c for c in new.columns if c != "seq"]
@@ -254,7 +273,16 @@ def add_products(products: DataFrame, inventory: DataFrame, new: DataFrame) -> d
     stocked = added.select(
         "product_id", F.col("opening_stock").alias("quantity"), F.col("added_at").alias("last_updated")
     )
+    right = filled("product_name") & positive("cost_price") & positive("selling_price")
+    judged = new.withColumns({"_right": F.coalesce(right, F.lit(False)), "_name": F.lower("product_name")})
+    taken = products.select(F.lower("product_name").alias("_name")).distinct().withColumn("_taken", F.lit(True))
+    winners = complete.groupBy(F.lower("product_name").alias("_name")).agg(F.min("seq").alias("_winner"))
+    judged = joined_in_splits(joined_in_splits(judged, taken, ["_name"], "left"), winners, ["_name"], "left")
+    refused = (
+        F.when(~F.col("_right"), INCOMPLETE).when(F.col("_taken"), NAME_TAKEN).when(F.col("seq") > F.col("_winner"), NAME_ASKED)
+    )
     return {
+        "rejected": judged.withColumn("refused", refused).filter(F.col("refused").isNotNull()).select(*new.columns, "refused"),
         "products": products.unionByName(added.select(*products.columns)),
         "inventory": inventory.unionByName(
             stocked.select(*[c for c in inventory.columns if c in stocked.columns]), allowMissingColumns=True
@@ -356,8 +384,13 @@ def set_active(products: DataFrame, requests: DataFrame) -> dict[str, DataFrame]
     """W7. Deactivate or reactivate products; the last request per product wins.
 
     ``requests``: ``seq, product_id, is_active, requested_by, requested_at``. A request without a
-    flag changes nothing and is not logged; one that sets what is set already is.
+    flag changes nothing and is not logged; one that sets what is set already is. ``rejected`` holds those without a flag
+    or for an unknown product, with why in ``refused``.
     """
+    known = products.select("product_id").distinct().withColumn("_known", F.lit(True))
+    refused = F.when(F.col("is_active").isNull(), INCOMPLETE).when(F.col("_known").isNull(), UNKNOWN)
+    judged = joined_in_splits(requests, known, ["product_id"], "left").withColumn("refused", refused)
+    rejected = judged.filter(F.col("refused").isNotNull()).select(*requests.columns, "refused")
     requests = requests.filter(F.col("is_active").isNotNull())
     last = requests.groupBy("product_id").agg(_last("is_active")).withColumnRenamed("is_active", "_active")
     named = requests.join(products.select("product_id", "product_name"), "product_id")
@@ -378,6 +411,7 @@ def set_active(products: DataFrame, requests: DataFrame) -> dict[str, DataFrame]
             ]
         ),
         "activity": activity,
+        "rejected": rejected,
     }
 
 
@@ -389,6 +423,7 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     The first request for an unknown user with both a name and a code adds that user, active; earlier
     ones without are refused. Any request for a user who is there by then is a change: a blank code
     keeps the old one, no status keeps the status, and name and role stay. Every add and change is logged.
+    ``rejected`` holds the refused ones, with why in ``refused``.
     """
     given = requests.withColumn("code", F.when(filled("code"), F.col("code"))).withColumn(
         "full_name", F.when(filled("full_name"), F.col("full_name"))
@@ -404,6 +439,8 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
     people = users.select("user_id", F.col("full_name").alias("_name"), F.lit(None).cast("bigint").alias("_since"))
     people = people.union(added.select("user_id", "full_name", F.col("seq").cast("bigint")))
     changes = joined_in_splits(given, people, ["user_id"]).filter(F.col("_since").isNull() | (F.col("seq") > F.col("_since")))
+    judged = joined_in_splits(requests, people.withColumn("_there", F.lit(True)), ["user_id"], "left")
+    rejected = judged.filter(F.col("_there").isNull() | (F.col("seq") < F.col("_since"))).select(*requests.columns)
     last = changes.groupBy("user_id").agg(_last("code").alias("_code"), _last("is_active").alias("_active"))
     new = added.withColumns({"is_active": F.lit(True), "created_at": F.col("requested_at")})
     after = users.unionByName(
@@ -415,13 +452,15 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
         "activity": log_rows(changes, "UPDATE STAFF", "requested_by", "requested_at", "_name").unionByName(
             log_rows(added, "ADD STAFF", "requested_by", "requested_at", "full_name", "role")
         ),
+        "rejected": rejected.withColumn("refused", F.lit(INCOMPLETE)),
     }
 
 
 def record_expenses(expenses: DataFrame, new: DataFrame, currency: str = "GHS") -> dict[str, DataFrame]:
     """W9. Append expenses whose amount is above zero.
 
-    ``new``: the columns of ``expenses``, and ``recorded_at`` for the log.
+    ``new``: the columns of ``expenses``, and ``recorded_at`` for the log. ``rejected`` holds the others, with why in
+    ``refused``.
     """
     accepted = new.filter(positive("amount"))
     return {
@@ -429,4 +468,5 @@ def record_expenses(expenses: DataFrame, new: DataFrame, currency: str = "GHS")
         "activity": log_rows(
             accepted, "EXPENSE", "recorded_by", "recorded_at", "category", F.lit(currency), as_money("amount")
         ),
+        "rejected": new.filter(~F.coalesce(positive("amount"), F.lit(False))).withColumn("refused", F.lit(INCOMPLETE)),
     }

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopmetrics.functions.money import as_total, line_total
 
@@ -49,12 +50,22 @@ def joined_in_splits(many: DataFrame, one: DataFrame, keys: Sequence[str], how:
     ``one`` was summed up by the same keys, Spark would leave its shuffle out; a hash of the keys as
     one more join key makes it shuffle again. A stored table is shuffled once in either case.
     """
-    tag = F.hash(*keys)
+    kinds = [_common_type(many.schema[k].dataType, one.schema[k].dataType) for k in keys]
+    tag = F.hash(*[F.col(k) if kind is None else F.col(k).cast(kind) for k, kind in zip(keys, kinds)])
     return (
         many.withColumn("_tag", tag).join(one.withColumn("_tag", tag), [*keys, "_tag"], how).drop("_tag")
     )
 
 
+def _common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
+    """The type under which keys of two types hash alike where they are equal; None if the types are the same."""
+    if left == right:
+        return None
+    if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+        return T.LongType()
+    return T.DoubleType() if isinstance(left, T.NumericType) and isinstance(right, T.NumericType) else T.StringType()
+
+
 #: Columns of an order, each with whether it descends. Nulls come last in a descending column, first in another.
 Order = Sequence[tuple[str, bool]]
 

@@ -62,6 +62,28 @@ def _returns(s: Shop) -> dict[str, DataFrame]:
     return ledger.process_returns(s.return_requests, items, s.inventory, s.products)
 
 
+def _lines_sold(s: Shop) -> DataFrame:
+    """Lines as they were sold, a product at several prices included; line numbers of a sale repeat in the source."""
+    return s.cart_lines.select(
+        F.col("cart_id").alias("sale_id"), (F.col("line_no") / 1_000_000_000_000).cast("bigint").alias("sale_item_id"),
+        "product_id", "quantity", "unit_price",
+    )
+
+
+def _returns_by_line(s: Shop) -> dict[str, DataFrame]:
+    requests = s.return_requests.withColumn("sale_item_id", F.when(F.col("processed_by") % 2 == 0, F.col("quantity") % 7 + 1))
+    return ledger.process_returns(requests, _lines_sold(s), s.inventory, s.products)
+
+
+def _expenses(s: Shop) -> dict[str, DataFrame]:
+    new = {
+        "expense_id": F.col("expense_id") + 1_000_000_000_000,
+        "amount": (F.col("amount") - 20).cast(money.MONEY),
+        "recorded_at": F.col("expense_date").cast("timestamp_ntz"),
+    }
+    return ledger.record_expenses(s.expenses, s.expenses.withColumns(new))
+
+
 def _posted(s: Shop) -> dict[str, DataFrame]:
     return ledger.post_sales(s.carts, s.cart_lines, s.inventory)
 
@@ -248,6 +270,9 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "post_sales_movements": lambda s: _posted(s)["stock_movements"],
     "post_sales_inventory": lambda s: _posted(s)["inventory"],
     "post_sales_activity": lambda s: _posted(s)["activity"],
+    "post_sales_rejected_lines": lambda s: ledger.post_sales(
+        s.carts, s.cart_lines.withColumn("quantity", F.col("quantity") - 3), s.inventory
+    )["rejected_lines"],
     "apply_movements": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["inventory"],
     "apply_movements_activity": lambda s: ledger.apply_movements(s.inventory, s.stock_movements, s.products)["activity"],
     "apply_movements_movements": lambda s: ledger.apply_movements(
@@ -263,26 +288,26 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "process_returns_activity": lambda s: _returns(s)["activity"],
     "process_returns_movements": lambda s: _returns(s)["stock_movements"],
     "process_returns_rejected": lambda s: _returns(s)["rejected"],
+    "process_returns_by_line": lambda s: _returns_by_line(s)["returns"],
+    "process_returns_by_line_rejected": lambda s: _returns_by_line(s)["rejected"],
     "add_products": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["products"],
     "add_products_inventory": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["inventory"],
     "add_products_activity": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["activity"],
+    "add_products_rejected": lambda s: ledger.add_products(s.products, s.inventory, s.new_products)["rejected"],
     "edit_products": lambda s: ledger.edit_products(s.products, s.inventory, s.product_edits)["products"],
     "edit_products_inventory": lambda s: ledger.edit_products(s.products, s.inventory, s.product_edits)["inventory"],
     "edit_products_activity": lambda s: ledger.edit_products(s.products, s.inventory, s.product_edits)["activity"],
     "set_active": lambda s: ledger.set_active(s.products, s.status_requests)["products"],
     "set_active_activity": lambda s: ledger.set_active(s.products, s.status_requests)["activity"],
+    "set_active_rejected": lambda s: ledger.set_active(
+        s.products, s.status_requests.withColumn("is_active", F.when(F.col("seq") % 3 > 0, F.col("is_active")))
+    )["rejected"],
     "upsert_staff": lambda s: ledger.upsert_staff(s.users, s.staff_requests)["users"],
     "upsert_staff_activity": lambda s: ledger.upsert_staff(s.users, s.staff_requests)["activity"],
-    "record_expenses": lambda s: ledger.record_expenses(
-        s.expenses,
-        s.expenses.withColumns(
-            {
-                "expense_id": F.col("expense_id") + 1_000_000_000_000,
-                "amount": (F.col("amount") - 20).cast(money.MONEY),
-                "recorded_at": F.col("expense_date").cast("timestamp_ntz"),
-            }
-        ),
-    )["expenses"],
+    "upsert_staff_rejected": lambda s: ledger.upsert_staff(s.users, s.staff_requests)["rejected"],
+    "record_expenses": lambda s: _expenses(s)["expenses"],
+    "record_expenses_activity": lambda s: _expenses(s)["activity"],
+    "record_expenses_rejected": lambda s: _expenses(s)["rejected"],
     "reconcile_tills": lambda s: tills.reconcile_tills(s.sales, s.declarations, CASH)["till_reconciliations"],
     "reconcile_tills_activity": lambda s: tills.reconcile_tills(s.sales, s.declarations, CASH)["activity"],
     "till_verdicts": lambda s: tills.reconcile_tills(s.sales, s.declarations, CASH)["verdicts"],

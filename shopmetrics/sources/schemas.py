@@ -17,6 +17,8 @@ EXPENSE_CATEGORIES = ("Rent", "Electricity", "Water", "Salaries", "Supplies", "T
 
 INT, TEXT, FLAG = T.IntegerType(), T.StringType(), T.BooleanType()
 DAY, TIME, PRICE = T.DateType(), T.TimestampNTZType(), T.DecimalType(10, 2)
+# Ids count on for ever; amounts are as wide as the ledger writes them.
+ID, AMOUNT = T.LongType(), T.DecimalType(28, 2)
 
 
 def _table(**columns: T.DataType) -> T.StructType:
@@ -25,50 +27,50 @@ def _table(**columns: T.DataType) -> T.StructType:
 
 # A chain of supermarkets: stock is held per branch, sale lines carry the price paid.
 SUPERMARKET = {
-    "branches": _table(branch_id=INT, branch_name=TEXT, location=TEXT),
-    "cashiers": _table(cashier_id=INT, cashier_name=TEXT, branch_id=INT),
-    "customers": _table(customer_id=INT, customer_name=TEXT, phone=TEXT, city=TEXT),
+    "branches": _table(branch_id=ID, branch_name=TEXT, location=TEXT),
+    "cashiers": _table(cashier_id=ID, cashier_name=TEXT, branch_id=ID),
+    "customers": _table(customer_id=ID, customer_name=TEXT, phone=TEXT, city=TEXT),
     "products": _table(
-        product_id=INT, product_name=TEXT, category=TEXT, price=PRICE, reorder_level=INT,
+        product_id=ID, product_name=TEXT, category=TEXT, price=PRICE, reorder_level=INT,
     ),
-    "inventory": _table(inventory_id=INT, product_id=INT, branch_id=INT, quantity=INT, expiry_date=DAY),
+    "inventory": _table(inventory_id=ID, product_id=ID, branch_id=ID, quantity=INT, expiry_date=DAY),
     "sales": _table(
-        sale_id=INT, customer_id=INT, cashier_id=INT, branch_id=INT, sale_date=DAY, sale_time=TEXT,
+        sale_id=ID, customer_id=ID, cashier_id=ID, branch_id=ID, sale_date=DAY, sale_time=TEXT,
     ),
-    "sale_items": _table(item_id=INT, sale_id=INT, product_id=INT, quantity=INT, unit_price=PRICE),
+    "sale_items": _table(item_id=ID, sale_id=ID, product_id=ID, quantity=INT, unit_price=PRICE),
 }
 
 # A single shop with a back office. The sign-in code of a user is kept out of every report.
 RETAIL = {
     "users": _table(
-        user_id=INT, full_name=TEXT, code=TEXT, role=TEXT, created_at=TIME, is_active=FLAG,
+        user_id=ID, full_name=TEXT, code=TEXT, role=TEXT, created_at=TIME, is_active=FLAG,
     ),
     "products": _table(
-        product_id=INT, barcode=TEXT, product_name=TEXT, category=TEXT, selling_price=PRICE,
+        product_id=ID, barcode=TEXT, product_name=TEXT, category=TEXT, selling_price=PRICE,
         cost_price=PRICE, reorder_level=INT, is_active=FLAG, created_at=TIME,
     ),
-    "inventory": _table(inventory_id=INT, product_id=INT, quantity=INT, last_updated=TIME),
+    "inventory": _table(inventory_id=ID, product_id=ID, quantity=INT, last_updated=TIME),
     "sales": _table(
-        sale_id=INT, cashier_id=INT, sale_date=DAY, sale_time=TEXT, payment_method=TEXT,
-        total_amount=PRICE, discount_amount=PRICE, is_voided=FLAG, voided_by=INT, void_reason=TEXT,
+        sale_id=ID, cashier_id=ID, sale_date=DAY, sale_time=TEXT, payment_method=TEXT,
+        total_amount=AMOUNT, discount_amount=AMOUNT, is_voided=FLAG, voided_by=ID, void_reason=TEXT,
     ),
     "sale_items": _table(
-        sale_item_id=INT, sale_id=INT, product_id=INT, quantity=INT, unit_price=PRICE, subtotal=PRICE,
+        sale_item_id=ID, sale_id=ID, product_id=ID, quantity=INT, unit_price=PRICE, subtotal=AMOUNT,
     ),
     "stock_movements": _table(
-        movement_id=INT, product_id=INT, movement_type=TEXT, quantity=INT, reason=TEXT, recorded_by=INT,
+        movement_id=ID, product_id=ID, movement_type=TEXT, quantity=INT, reason=TEXT, recorded_by=ID,
         movement_date=TIME,
     ),
-    "activity_log": _table(log_id=INT, user_id=INT, action=TEXT, details=TEXT, logged_at=TIME),
+    "activity_log": _table(log_id=ID, user_id=ID, action=TEXT, details=TEXT, logged_at=TIME),
     "expenses": _table(
-        expense_id=INT, expense_date=DAY, category=TEXT, description=TEXT, amount=PRICE, recorded_by=INT,
+        expense_id=ID, expense_date=DAY, category=TEXT, description=TEXT, amount=PRICE, recorded_by=ID,
     ),
     "till_reconciliations": _table(
-        cashier_id=INT, recon_date=DAY, expected_cash=PRICE, declared_cash=PRICE, difference=PRICE,
-        notes=TEXT, submitted_by=INT, created_at=TIME,
+        cashier_id=ID, recon_date=DAY, expected_cash=AMOUNT, declared_cash=AMOUNT, difference=AMOUNT,
+        notes=TEXT, submitted_by=ID, created_at=TIME,
     ),
     "returns": _table(
-        sale_id=INT, product_id=INT, quantity=INT, refund_amount=PRICE, reason=TEXT, processed_by=INT,
+        sale_id=ID, product_id=ID, quantity=INT, refund_amount=AMOUNT, reason=TEXT, processed_by=ID,
         return_date=TIME,
     ),
 }

@@ -201,3 +201,13 @@ def test_sorted_lists_end_in_an_id(spark, lopsided):
 def test_inventory_sorts_on_the_id_too(spark):
     text = plan(stock.inventory_status(Shop(spark, DIRECTORY).products, Shop(spark, DIRECTORY).inventory))
     assert re.search(r"rangepartitioning\(quantity#\d+L? ASC NULLS FIRST, product_id", text)
+
+
+def test_splittable_joins_meet_keys_of_other_types(spark):
+    """An INT key finds the BIGINT key of the same value, also by the tag that keeps the join splittable."""
+    many = spark.createDataFrame([(1, 2, "a"), (3, None, "b")], "k INT, j INT, text STRING")
+    for kind in ("BIGINT", "SMALLINT", "DECIMAL(10,2)", "DOUBLE", "INT"):
+        one = spark.createDataFrame([(1, 2, 10), (3, 4, 20)], "k BIGINT, j BIGINT, value INT").withColumn("k", F.col("k").cast(kind))
+        assert {(r.text, r.value) for r in rollup.joined_in_splits(many, one, ["k"], "left").collect()} == {("a", 10), ("b", 20)}
+        both = rollup.joined_in_splits(many, one, ["k", "j"], "left").collect()
+        assert {(r.text, r.value) for r in both} == {("a", 10), ("b", None)}
