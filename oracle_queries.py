@@ -196,6 +196,24 @@ ORACLE: dict[str, str] = {
         JOIN branches b ON c.c_nationkey = b.branch_id JOIN items i ON s.sale_id = i.sale_id
         JOIN products p ON i.product_id = p.product_id""",
     ),
+    "detail_summaries": _sql(
+        "users products sales items branches",
+        """, detail AS (SELECT s.sale_id, date_part('hour', s.sold_at) AS hour, u.full_name, b.branch_name, p.product_name,
+        p.category, i.quantity, i.quantity * p.selling_price AS total
+        FROM sales s JOIN customer c ON s.customer_id = c.c_custkey JOIN users u ON s.cashier_id = u.user_id
+        JOIN branches b ON c.c_nationkey = b.branch_id JOIN items i ON s.sale_id = i.sale_id
+        JOIN products p ON i.product_id = p.product_id)
+        SELECT 'branch_revenue' AS summary, branch_name AS key, CAST(SUM(total) AS DOUBLE) AS total_revenue,
+        CAST(NULL AS BIGINT) AS total_quantity, CAST(NULL AS BIGINT) AS txns FROM detail WHERE branch_name IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'product_sales', product_name, NULL, CAST(SUM(quantity) AS BIGINT), NULL FROM detail
+        WHERE product_name IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'category_revenue', category, CAST(SUM(total) AS DOUBLE), NULL, NULL FROM detail
+        WHERE category IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'cashier_performance', full_name, NULL, NULL, COUNT(DISTINCT sale_id) FROM detail
+        WHERE full_name IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'hourly_traffic', CAST(CAST(hour AS INTEGER) AS VARCHAR), NULL, NULL, COUNT(DISTINCT sale_id)
+        FROM detail WHERE hour IS NOT NULL GROUP BY 2""",
+    ),
     "units_by_product": """SELECT p.p_name AS product_name, CAST(SUM(CAST(l.l_quantity AS INTEGER)) AS BIGINT) AS units
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
         JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN part p ON l.l_partkey = p.p_partkey

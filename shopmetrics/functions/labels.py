@@ -59,11 +59,17 @@ def same_text(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.lower(col(a)) == F.lower(col(b))
 
 
-def rand_int(lo: int, hi: int, seed: int) -> Column:
-    """P28. Uniform integer in ``lo..hi``, both ends included, repeatable for one layout of the data."""
+def rand_int(lo: int, hi: int, seed: int, *keys: ColumnOrName) -> Column:
+    """P28. Uniform integer in ``lo..hi``, both ends included.
+
+    With ``keys`` the value follows from the row's keys and the seed alone: the same rows get the same values on any
+    layout and in any run. Without, it is repeatable for one layout of the data.
+    """
+    if keys:
+        return (F.pmod(F.xxhash64(F.lit(seed), *map(col, keys)), F.lit(hi - lo + 1)) + lo).cast("int")
     return (F.floor(F.rand(seed) * (hi - lo + 1)) + lo).cast("int")
 
 
-def rand_choice(options: list, seed: int) -> Column:
+def rand_choice(options: list, seed: int, *keys: ColumnOrName) -> Column:
     """P28. One of ``options``."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), rand_int(1, len(options), seed))
+    return F.element_at(F.array(*[F.lit(o) for o in options]), rand_int(1, len(options), seed, *keys))

@@ -196,6 +196,7 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "table_counts": lambda s: sales.table_counts({t: s.table(t) for t in STAR}),
     "revenue_by_branch": lambda s: sales.revenue_by_branch(s.branch_sales, s.sale_items, s.branches, "subtotal"),
     "master_detail": _detail,
+    "detail_summaries": lambda s: sales.summary_rows(_detail(s)),
     "units_by_product": lambda s: sales.units_by_product(_headers(s), s.sale_items, s.products),
     "revenue_by_category": lambda s: sales.revenue_by_category(_headers(s), s.sale_items, s.products, "subtotal"),
     "tx_by_cashier": lambda s: sales.tx_by_cashier(sales.sold_headers(_headers(s), s.sale_items, s.products)),

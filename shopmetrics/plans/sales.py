@@ -157,6 +157,57 @@ def tx_by_hour(detail: DataFrame) -> DataFrame:
     )
 
 
+#: The summaries of the report pack: what each groups by, and the figure it shows.
+SUMMARIES = {
+    "branch_revenue": ("branch_name", "total_revenue"), "product_sales": ("product_name", "total_quantity"),
+    "category_revenue": ("category", "total_revenue"), "cashier_performance": ("cashier_name", "txns"),
+    "hourly_traffic": ("hour", "txns"),
+}
+
+
+def summary_rows(detail: DataFrame) -> DataFrame:
+    """R2. All summaries of the report pack as rows ``summary, key, total_revenue, total_quantity, txns``, from one pass
+    over a detail list.
+
+    Grouping sets sum in each task before the shuffle; sales are counted by grouping lines per sale first, and then the
+    sales. Each summary fills the figure it shows and leaves the others NULL; keys are text. Lines without a key are
+    left out of its summary, a NULL sale is not counted.
+    """
+    lines = detail.withColumn("hour", hour_of("sale_time").cast("string"))
+    by = [key for key, _ in SUMMARIES.values()]
+    per_sale = {key for key, figure in SUMMARIES.values() if figure == "txns"}
+    columns = [*by, "sale_id"]
+    sets = [[key, "sale_id"] if key in per_sale else [key] for key in by]
+    # A column that is not in a row's set has its bit in the grouping id; the first column has the highest.
+    bit = {c: 1 << (len(columns) - 1 - k) for k, c in enumerate(columns)}
+    id_of = {name: sum(b for c, b in bit.items() if c not in group) for name, group in zip(SUMMARIES, sets)}
+    grouped = lines.groupingSets([[F.col(c) for c in group] for group in sets], *[F.col(c) for c in columns]).agg(
+        F.grouping_id().alias("_set"), F.sum("total").alias("total"), F.sum("quantity").alias("quantity")
+    )
+    summary = F.create_map(*[F.lit(x) for name, number in id_of.items() for x in (number, name)])[F.col("_set").cast("int")]
+    keyed = grouped.select(
+        summary.alias("summary"), F.coalesce(*by).alias("key"), "total", "quantity",
+        F.when(F.col("sale_id").isNotNull(), 1).alias("sale"),
+    ).filter(F.col("key").isNotNull())
+    shows = lambda figure: F.col("summary").isin([n for n, (_, f) in SUMMARIES.items() if f == figure])
+    return keyed.groupBy("summary", "key").agg(
+        F.when(shows("total_revenue"), F.sum("total")).alias("total_revenue"),
+        F.when(shows("total_quantity"), F.sum("quantity")).alias("total_quantity"),
+        F.when(shows("txns"), F.count("sale")).alias("txns"),
+    )
+
+
+def one_summary(all_rows: DataFrame, name: str) -> DataFrame:
+    """One summary out of ``summary_rows``, highest first; the hours with their labels."""
+    key, figure = SUMMARIES[name]
+    shown = all_rows.filter(F.col("summary") == name)
+    if key == "hour":
+        hours = shown.select(F.col("key").cast("int").alias("hour"), "txns").withColumn("label", hour_label("hour"))
+        return hours.orderBy(F.desc("txns"), "hour")
+    key = "cashier" if key == "cashier_name" else key
+    return shown.select(F.col("key").alias(key), figure).orderBy(F.desc(figure), key)
+
+
 def detail_summaries(detail: DataFrame) -> dict[str, DataFrame]:
     """R2. The summaries of the report pack, from a detail list."""
 

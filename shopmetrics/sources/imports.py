@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmetrics.functions.dates import excel_date
-from shopmetrics.sources.readers import load_sheet
+from shopmetrics.sources.readers import in_file_order, load_sheet
 from shopmetrics.sources.schemas import HOTEL
 
 
@@ -70,15 +70,19 @@ def load_hotel_table(raw: DataFrame, name: str) -> DataFrame:
     """One conformed hotel table from its raw sheet: first row per key, or every row where no key is set."""
     if name not in HOTEL_KEYS:
         return load_append(raw, HOTEL[name])
-    ordered = T.StructType([T.StructField("_row", T.LongType()), *HOTEL[name].fields])
-    return load_dedup(conform(raw, ordered), HOTEL_KEYS[name], "_row")
-
-
-def load_hotel(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """W11. The five hotel tables from ``<directory>/<sheet>.csv``."""
-    return {
-        name: load_hotel_table(
-            load_sheet(spark, os.path.join(directory, f"{name}.csv"), ddl), name
-        )
-        for name, ddl in HOTEL_SHEETS.items()
-    }
+    columns = [_conformed(f, raw.schema[f.name].dataType).alias(f.name) for f in HOTEL[name].fields]
+    return load_dedup(raw.select("_row", *columns), HOTEL_KEYS[name], "_row")
+
+
+def load_hotel(spark: SparkSession, directory: str, numbered: bool = True) -> dict[str, DataFrame]:
+    """W11. The five hotel tables from ``<directory>/<sheet>.csv``. Exports that are not ``numbered`` bring no row
+    numbers in front: their rows count in the order of the files."""
+    tables = {}
+    for name, ddl in HOTEL_SHEETS.items():
+        path = os.path.join(directory, f"{name}.csv")
+        if numbered:
+            raw = load_sheet(spark, path, ddl)
+        else:
+            raw = in_file_order(load_sheet(spark, path, ddl.removeprefix("_row BIGINT, ")))
+        tables[name] = load_hotel_table(raw, name)
+    return tables

@@ -72,6 +72,48 @@ def load_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     )
 
 
+def load_checked(
+    spark: SparkSession, path: str, schema: T.StructType | str, by_name: bool = False
+) -> dict[str, DataFrame]:
+    """S5 and S7 with refused rows kept: ``rows`` that parse as declared, and ``rejected`` ones.
+
+    ``rejected`` has the declared columns as far as they parse, the ``line`` as it stands in the file, the ``file``, and
+    why in ``refused``. ``by_name`` demands that the header names the declared columns, in order.
+    """
+    declared = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    read = (
+        spark.read.schema(T.StructType([*declared.fields, T.StructField("_line", T.StringType())]))
+        .option("header", True)
+        .option("enforceSchema", not by_name)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_line")
+        .csv(path)
+        .select("*", F.col("_metadata.file_path").alias("_file"))
+    )
+    # The parser sees only the columns that a query reads, and would miss what does not parse in others: the condition,
+    # always true, reads them all.
+    every = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in declared.names])) >= 0
+    whole = read.withColumn("_bad", F.col("_line").isNotNull() & every)
+    rejected = whole.filter("_bad").select(
+        *declared.names, F.col("_line").alias("line"), F.col("_file").alias("file"), F.lit("not as declared").alias("refused")
+    )
+    return {"rows": whole.filter("NOT _bad").select(*declared.names), "rejected": rejected}
+
+
+def in_file_order(df: DataFrame, name: str = "_row") -> DataFrame:
+    """A frame read from files, with a column ``name`` that orders its rows as the files hold them: by file, by the
+    split's place in it, and by the row in the split.
+
+    Rows of a task are numbered as they are read, so the order is the same however the files are cut into splits, and
+    no shuffle is needed. Use it straight on the read, before any join or shuffle.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.select("*", place.alias(name))
+
+
 def load_rates(spark: SparkSession, path: str) -> DataFrame:
     """S6. A JSON document with a ``rates`` object, as rows of (base, currency, rate)."""
     doc = spark.read.schema(schemas.RATES).option("multiLine", True).json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Mapping
@@ -15,6 +16,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_ordered_csv(df: DataFrame, path: str) -> list[str]:
+    """K1 and R19. A sorted frame as CSV files that, one after the other, are one sorted CSV with one header.
+
+    The tasks write their ranges of rows without headers; the header is a file of its own that sorts first. The order
+    of the files is stored as ``_order.json``, a name that readers of the folder skip, and returned.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("header", False).csv(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().endswith(".csv"))
+    quoted = ['"' + c.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns]
+    order = ["header.csv", *parts]
+    for name, text in (("header.csv", ",".join(quoted) + "\n"), ("_order.json", json.dumps(order))):
+        out = files.create(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return order
+
+
 def write_reports(reports: Mapping[str, DataFrame], directory: str, fmt: str = "parquet") -> None:
     """K2. One dataset directory per named report, or per table of a ledger job.
 

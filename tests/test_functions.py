@@ -128,6 +128,17 @@ def test_random_values_stay_in_range_and_repeat(spark):
     assert {c for _, c in first} == {"a", "b", "c"}
 
 
+def test_random_values_by_key_do_not_hang_on_the_layout(spark):
+    ids = spark.range(3000)
+    drawn = lambda df: {r.id: (r.n, r.c) for r in df.select("id", labels.rand_int(-5, 4, 7, "id").alias("n"), labels.rand_choice(["a", "b"], 3, "id").alias("c")).collect()}
+    one, two = drawn(ids), drawn(ids.repartition(7).orderBy(F.desc("id")))
+    assert one == two and {n for n, _ in one.values()} == set(range(-5, 5))
+    counts = [sum(n == k for n, _ in one.values()) for k in range(-5, 5)]
+    assert min(counts) > 230 and max(counts) < 370
+    other = ids.select(labels.rand_int(-5, 4, 8, "id").alias("n"))
+    assert sum(r.n == one[k][0] for k, r in enumerate(other.collect())) < 450
+
+
 @pytest.mark.parametrize(
     "serial, expected",
     [

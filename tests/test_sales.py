@@ -206,3 +206,13 @@ def test_home(back):
     page = sales.home(*[back[t] for t in ("sales", "sale_items", "expenses", "products", "inventory")], DAY)
     assert one(page["metrics"])["today_transactions"] == 3
     assert rows(page["top_products"])[0] == ("Rice 5kg", 3) and page["low_stock"].count() == 1
+
+
+def test_one_pass_gives_the_summaries(chain):
+    headers = sales.sale_headers(chain["sales"], chain["customers"], chain["cashiers"], chain["branches"])
+    detail = sales.master_detail(headers, chain["sale_items"], chain["products"].drop("price"))
+    figures = sales.summary_rows(detail)
+    for name, one_by_one in sales.detail_summaries(detail).items():
+        got = sales.one_summary(figures, name)
+        assert got.columns == one_by_one.columns
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in one_by_one.collect()], name

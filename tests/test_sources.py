@@ -149,3 +149,62 @@ def test_staged_frames_are_worked_out_once(spark):
     stored = sinks.staged(spark.range(10).withColumn("x", F.rand()))
     assert rows(stored) == rows(stored)
     assert "Rand" not in stored._jdf.queryExecution().toString() and "rand(" not in stored._jdf.queryExecution().toString()
+
+
+def test_rows_that_do_not_parse_are_kept_with_their_line(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text("n,day,text\n1,2026-06-01,a\nx,2026-06-02,b\n3,yesterday,c\n4,,\n5,2026-06-05,e,extra\n")
+    for by_name in (False, True):
+        got = readers.load_checked(spark, str(path), T.StructType.fromDDL("n INT, day DATE, text STRING"), by_name)
+        assert sorted(r.n for r in got["rows"].collect()) == [1, 4]
+        assert {r.line: r.refused for r in got["rejected"].collect()} == dict.fromkeys(
+            ["x,2026-06-02,b", "3,yesterday,c", "5,2026-06-05,e,extra"], "not as declared"
+        )
+        assert got["rows"].select("text").count() == 2 and got["rejected"].count() == 3
+        assert got["rejected"].first().file.endswith("sheet.csv")
+
+
+def test_first_row_wins_however_a_file_is_cut(spark, tmp_path):
+    """The order of the rows comes from the files, whatever the splits."""
+    for part in range(3):
+        lines = [f"k{k % 40},{part * 1000 + k}" for k in range(400)]
+        (tmp_path / f"part-{part}.csv").write_text("key,n\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "500b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            raw = readers.in_file_order(readers.load_sheet(spark, str(tmp_path), T.StructType.fromDDL("key STRING, n INT")))
+            assert size == "128m" or raw.rdd.getNumPartitions() > 6
+            first = imports.load_dedup(raw, "key", "_row")
+            assert first.columns == ["key", "n"]
+            assert {r.key: r.n for r in first.collect()} == {f"k{k}": k for k in range(40)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_hotel_sheets_without_row_numbers(spark, tmp_path):
+    for name, ddl in imports.HOTEL_SHEETS.items():
+        columns = [c.split()[0] for c in ddl.split(", ")][1:]
+        (tmp_path / f"{name}.csv").write_text(",".join(columns) + "\n")
+    (tmp_path / "staff.csv").write_text("staff_id,full_name,role,department,salary,status\ns1,First,,,10,\ns1,Second,,,11,\ns2,Other,,,12,\n")
+    hotel = imports.load_hotel(spark, str(tmp_path), numbered=False)
+    assert {r.staff_id: r.full_name for r in hotel["staff"].collect()} == {"s1": "First", "s2": "Other"}
+    assert hotel["bookings"].collect() == [] and set(hotel) == set(imports.HOTEL_SHEETS)
+
+
+def test_ordered_csv_reads_as_one_file(spark, tmp_path):
+    path = tmp_path / "report"
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("n"), F.lit('say "a, b"').alias("text, quoted"))
+    df = df.repartition(6).orderBy("n")
+    with_parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = sinks.write_ordered_csv(df, str(path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_parts)
+    assert len(order) > 3 and json.loads((path / "_order.json").read_text()) == order
+    whole = "".join((path / name).read_text() for name in order)
+    assert whole.startswith('n,"text, quoted"\n')
+    (tmp_path / "one.csv").write_text(whole)
+    back = spark.read.option("header", True).csv(str(tmp_path / "one.csv")).collect()
+    assert [int(r[0]) for r in back] == list(range(5000)) and back[0][1] == 'say "a, b"'
