@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from shopmetrics.llm.common import unused
+from shopmetrics.llm.common import plainly_named
 
 Q = 7
 MASK = np.uint64((1 << 8 * Q) - 1)
@@ -272,6 +272,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", budg
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", budget: Budget | None = None) -> DataFrame:
-    """The rows of ``docs`` without benchmark passages, with their columns."""
-    name = unused(docs, "leaks")
-    return with_leaks(docs, benchmark, text, budget, name).where(F.size(name) == 0).drop(name)
+    """The rows of ``docs`` without benchmark passages, with their columns, whatever these are named.
+
+    Null and empty texts hold no passage and stay; rows with a null id and repeated rows are each judged by their text.
+    An empty benchmark, or one without words, leaves all rows; an empty table gives an empty result.
+    """
+    names = docs.columns
+    found = with_leaks(plainly_named(docs), benchmark, f"c{names.index(text)}", budget, "leaks")
+    return found.where(F.size("leaks") == 0).drop("leaks").toDF(*names)

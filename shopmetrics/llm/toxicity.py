@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from shopmetrics.llm.common import held_out, one_per_id, unused
+from shopmetrics.llm.common import held_out, one_per_id, plainly_named
 
 #: Bytes of a cell; two neighbouring cells are a passage.
 CELL = 16
@@ -292,8 +292,14 @@ def _scores_only(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, with their columns."""
+    """The rows of ``docs`` that score under the threshold, with their columns, whatever these are named.
+
+    A null or empty text scores as in ``toxicity`` and so stays where the share of label 1 is under the threshold; a null
+    id is scored like any other. Repeated rows are judged alike and all stay or go. Without labels, or with labels of
+    one kind only, every row has the same score. An empty table gives an empty result.
+    """
     s = settings or Settings()
-    own = unused(docs, "toxicity")
-    found = scored(docs, fit(docs, labels, text, s), text, own)
-    return found.where(F.col(own) < s.threshold).drop(own)
+    names, own = docs.columns, "score"
+    model = fit(docs, labels, text, s)
+    found = scored(plainly_named(docs), model, f"c{names.index(text)}", own)
+    return found.where(F.col(own) < s.threshold).drop(own).toDF(*names)

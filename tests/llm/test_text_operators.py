@@ -73,6 +73,24 @@ def test_toxicity_without_labels_or_rows(spark, make_docs, toxic_corpus):
     assert tx.toxicity(make_docs([(1, "a")]), odd).count() == 1
 
 
+def test_filtering_stages_take_any_columns(spark, make_docs, toxic_corpus):
+    """Names with dots, names that the operators use, nulls in every column and repeated rows."""
+    rows, labels = toxic_corpus
+    passage = "ver ti gan lu pe ra to min el sho ver ti gan lu pe to ra el min sho"
+    odd = [(None, None), (None, "min el sho"), (9001, ""), (9002, f"so {passage} on"), (9002, f"so {passage} on"), (9003, "ra to"), (9003, "ra to")]
+    docs = make_docs(rows + odd).withColumn("a.b", F.lit("x")).withColumn("c0", F.lit(1)).withColumn("Score.", F.lit(None).cast("int"))
+    benchmark = spark.createDataFrame([(1, passage), (2, None), (None, passage)], "item_id long, text string")
+    count = lambda df, doc_id: df.where(F.col("doc_id").eqNullSafe(F.lit(doc_id))).count()
+    kept = tx.clean(docs, labels)
+    assert kept.schema == docs.schema
+    assert [count(kept, x) for x in (None, 9001, 9002, 9003)] == [2, 1, 2, 2]
+    free = dc.uncontaminated(docs, benchmark)
+    assert free.columns == docs.columns and [count(free, x) for x in (None, 9001, 9002, 9003)] == [2, 1, 0, 2]
+    assert dc.uncontaminated(docs, benchmark.limit(0)).count() == docs.count()
+    for stage in (tx.clean(docs.limit(0), labels), dc.uncontaminated(docs.limit(0), benchmark)):
+        assert stage.collect() == [] and stage.columns == docs.columns
+
+
 def test_clean_keeps_columns(make_docs, toxic_corpus):
     rows, labels = toxic_corpus
     docs = make_docs(rows)
