@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, source mix, token shards.
 
 Each stage is a function of (spark, docs, sf_dir) whose result is stored as Parquet and read again as the next one's
-documents. Every stage but the last returns the columns of its documents.
+documents. Every stage but the last returns the columns of its documents, whatever these are named.
+
+A document without text holds nothing toxic, no near copy and no benchmark passage, and stays until the mix, which takes
+none of it: it has no words. Rows with a null id, and rows that repeat an id, are documents of their own. Copies of a
+whole row are near duplicates like others: one stays. Empty documents give empty stages and no shard.
 """
 
 from __future__ import annotations
