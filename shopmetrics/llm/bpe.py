@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a task remembers, and the longest of them.
-KNOWN_WORDS, KNOWN_LENGTH = 300_000, 64
-#: Words of one text that are held at once.
-AT_ONCE = 1 << 17
+KNOWN_WORDS, KNOWN_LENGTH = 120_000, 48
+#: Words of one text, and rows of a batch, that are held at once.
+AT_ONCE, ROWS = 1 << 17, 500
 #: Texts of characters below this one are cut by the faster pattern.
 EUROPEAN = 0x250
 
@@ -176,6 +176,12 @@ def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``ROWS``, so that little besides the texts is held."""
+    for batch in batches:
+        yield from (batch.slice(start, ROWS) for start in range(0, batch.num_rows, ROWS))
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` for each row of ``docs``: the ids of its whole text under the vocabulary at ``path``, a
     file that all machines see, as little-endian unsigned 32-bit integers.
@@ -187,7 +193,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary(path).encode
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = [encode(v.as_buffer().to_pybytes().decode("utf-8", "replace")) if v.is_valid else b"" for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -204,7 +210,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = vocabulary(path).decode
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [decode(v.as_buffer().to_pybytes()) if v.is_valid else "" for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
