@@ -78,6 +78,7 @@ TABLES = {
     "last_void": """SELECT r.* FROM void_requests r JOIN (SELECT sale_id, MAX(seq) AS seq FROM void_requests
         WHERE reason IS NOT NULL GROUP BY sale_id) m ON r.sale_id = m.sale_id AND r.seq = m.seq""",
     "voids": """SELECT v.* FROM last_void v JOIN sales s ON v.sale_id = s.sale_id WHERE NOT s.is_voided""",
+    "standing": "SELECT * FROM sales WHERE NOT is_voided AND sale_id NOT IN (SELECT sale_id FROM voids)",
     # ordered stock adjustments: only what follows the last exact count matters
     "edits": """SELECT event_id AS seq, user_id AS product_id, event_type,
         CAST(floor(value) AS INTEGER) AS qty, CAST(value AS DECIMAL(18,2)) AS amount, user_id, ts,
@@ -284,6 +285,37 @@ ORACLE: dict[str, str] = {
           FROM lineitem WHERE year(l_shipdate) = 2001 AND month(l_shipdate) = 7) x,
         (SELECT COUNT(*) AS low_stock FROM stock WHERE status = 'Low Stock') l""",
     ),
+    "kept_daily_sums": _sql(
+        "sales void_requests last_void voids standing",
+        """SELECT sale_date, cashier_id, payment_method, CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) AS total,
+        COUNT(*) AS txns, COUNT(total_amount) AS priced FROM standing GROUP BY sale_date, cashier_id, payment_method""",
+    ),
+    "kept_daily_sales": _sql(
+        "users sales void_requests last_void voids standing",
+        """SELECT sale_date, CAST(SUM(total_amount) AS DOUBLE) AS total, COUNT(total_amount) AS txns
+        FROM standing WHERE cashier_id IN (SELECT user_id FROM users) GROUP BY sale_date""",
+    ),
+    "kept_by_cashier": _sql(
+        "users sales void_requests last_void voids standing",
+        """SELECT u.full_name AS cashier, CAST(SUM(total_amount) AS DOUBLE) AS total FROM standing s
+        JOIN users u ON s.cashier_id = u.user_id GROUP BY u.full_name""",
+    ),
+    "kept_home_metrics": _sql(
+        "products inventory stock sales void_requests last_void voids standing",
+        f"""SELECT t.today_revenue, t.today_transactions, t.yesterday_revenue, t.month_revenue, x.month_expenses,
+        l.low_stock, CASE WHEN t.yesterday_revenue <> 0
+        THEN CAST(t.today_exact - t.yesterday_exact AS DOUBLE) END AS change FROM
+        (SELECT COALESCE(SUM(CASE WHEN sale_date = {AS_OF} THEN total_amount END), 0) AS today_exact,
+          COALESCE(SUM(CASE WHEN sale_date = {AS_OF} - 1 THEN total_amount END), 0) AS yesterday_exact,
+          CAST(COALESCE(SUM(CASE WHEN sale_date = {AS_OF} THEN total_amount END), 0) AS DOUBLE) AS today_revenue,
+          COUNT(CASE WHEN sale_date = {AS_OF} THEN 1 END) AS today_transactions,
+          CAST(COALESCE(SUM(CASE WHEN sale_date = {AS_OF} - 1 THEN total_amount END), 0) AS DOUBLE) AS yesterday_revenue,
+          CAST(COALESCE(SUM(CASE WHEN year(sale_date) = 2001 AND month(sale_date) = 7 THEN total_amount END), 0)
+          AS DOUBLE) AS month_revenue FROM standing) t,
+        (SELECT CAST(COALESCE(SUM(CAST(l_extendedprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS month_expenses
+          FROM lineitem WHERE year(l_shipdate) = 2001 AND month(l_shipdate) = 7) x,
+        (SELECT COUNT(*) AS low_stock FROM stock WHERE status = 'Low Stock') l""",
+    ),
     "top5_products": _sql(
         "products sales items",
         f"""SELECT p.product_name, CAST(SUM(i.quantity) AS BIGINT) AS units_sold FROM items i

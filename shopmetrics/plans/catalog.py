@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmetrics.functions import dates, labels, money, parsing
-from shopmetrics.operators import ledger, rollup, tills
+from shopmetrics.operators import daily, ledger, rollup, tills
 from shopmetrics.plans import backoffice, finance, sales, stock
 from shopmetrics.session import input_bytes, tuned
 from shopmetrics.sources.imports import conform, load_dedup, load_hotel_table
@@ -191,6 +191,13 @@ def _product_margins(s: Shop) -> DataFrame:
     return stocked.select("product_id", margin.alias("margin_pct")).withColumn("band", money.margin_band("margin_pct"))
 
 
+def _kept_sums(s: Shop) -> DataFrame:
+    """Daily sums of the sales before a day, and a batch that brings the other sales and voids of sales of any age."""
+    stored = F.col("sale_date") < dates.as_date(RANGE[0])
+    old, new = s.sales.filter(stored), s.sales.filter(~F.coalesce(stored, F.lit(False)))
+    return daily.merged(daily.daily_sums(old).union(daily.change(new, old, s.void_requests)))
+
+
 _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     # counts and the supermarket pack
     "table_counts": lambda s: sales.table_counts({t: s.table(t) for t in STAR}),
@@ -213,7 +220,11 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
     "by_cashier": lambda s: sales.sales_by_cashier(_counted(s, "all"), s.users),
     "by_payment": lambda s: sales.sales_by_payment(_counted(s, "all"), s.users),
     "period_transactions": lambda s: sales.sales_list(_counted(s, "range"), s.users),
+    "kept_daily_sums": _kept_sums,
+    "kept_daily_sales": lambda s: sales.kept_dashboard(_kept_sums(s), s.users, "all", AS_OF)["daily"],
+    "kept_by_cashier": lambda s: sales.kept_dashboard(_kept_sums(s), s.users, "all", AS_OF)["by_cashier"],
     # home
+    "kept_home_metrics": lambda s: sales.home_metrics(_kept_sums(s), s.deliveries, s.products, s.inventory, AS_OF),
     "home_metrics": lambda s: sales.home_metrics(s.sales, s.deliveries, s.products, s.inventory, AS_OF),
     "top5_products": lambda s: sales.top_products(s.sales, s.sale_items, s.products, AS_OF),
     "low_stock_preview": lambda s: stock.low_stock_items(s.products, s.inventory, 5),

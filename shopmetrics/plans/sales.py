@@ -18,6 +18,7 @@ from shopmetrics.functions.dates import (
 from shopmetrics.functions.labels import hour_label
 from shopmetrics.functions.money import ColumnOrName, change_from, col, line_total
 from shopmetrics.functions.predicates import not_voided
+from shopmetrics.operators.daily import with_figures
 from shopmetrics.operators.rollup import in_order, newest, side_by_side, sums_by_name, sums_per_key
 from shopmetrics.plans.stock import low_stock_count, low_stock_items
 
@@ -276,10 +277,11 @@ def counted_sales(sales: DataFrame, period: str, as_of, start=None, end=None) ->
 
 
 def _sales_per_cashier(counted: DataFrame, users: DataFrame, *by: str) -> DataFrame:
-    """Totals per cashier and ``by`` for cashiers who are users; what all dashboard figures sum up."""
-    marked = counted.withColumns(
-        {"total": F.col("total_amount"), "txns": F.lit(1), "priced": F.when(F.col("total_amount").isNotNull(), 1)}
-    )
+    """Totals per cashier and ``by`` for cashiers who are users; what all dashboard figures sum up.
+
+    ``counted`` holds sales, or daily sums of them.
+    """
+    marked = counted if "txns" in counted.columns else with_figures(counted)
     return sums_per_key(
         marked, "cashier_id", users, "user_id", ["full_name"], ["total", "txns", "priced"], by
     )
@@ -348,6 +350,19 @@ def sales_dashboard(
     }
 
 
+def kept_dashboard(
+    daily: DataFrame, users: DataFrame, period: str, as_of, start=None, end=None
+) -> dict[str, DataFrame]:
+    """R5 from daily sums (``operators.daily``): figures, daily summary, by cashier and by payment method."""
+    of_period = daily.filter(in_period("sale_date", period, as_of, start, end))
+    return {
+        "kpis": sales_kpis(of_period, users),
+        "daily": daily_sales(of_period, users),
+        "by_cashier": sales_by_cashier(of_period, users),
+        "by_payment": sales_by_payment(of_period, users),
+    }
+
+
 def _sum_on(condition: Column, amount: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(amount))), F.lit(0))
 
@@ -357,18 +372,20 @@ def home_metrics(
 ) -> DataFrame:
     """R6/A2. Today against yesterday, the calendar month, and low stock, in one row.
 
-    One pass over the days that matter, instead of a query per figure.
+    One pass over the days that matter, instead of a query per figure. ``sales`` may be daily sums (``operators.daily``).
     """
     day, before = as_date(as_of), days_before(as_of, 1)
     window = F.col("sale_date").between(
         F.lit(min(before, month_start(day))), F.lit(month_end(day))
     )
     today, yesterday = on_day("sale_date", day), on_day("sale_date", before)
-    takings = sales.filter(not_voided() & window).agg(
-        _sum_on(today, "total_amount").alias("today_revenue"),
-        F.count_if(today).alias("today_transactions"),
-        _sum_on(yesterday, "total_amount").alias("yesterday_revenue"),
-        _sum_on(in_calendar_month("sale_date", day), "total_amount").alias("month_revenue"),
+    kept = "txns" in sales.columns
+    counted = sales.filter(window) if kept else with_figures(sales.filter(not_voided() & window))
+    takings = counted.agg(
+        _sum_on(today, "total").alias("today_revenue"),
+        _sum_on(today, "txns").alias("today_transactions"),
+        _sum_on(yesterday, "total").alias("yesterday_revenue"),
+        _sum_on(in_calendar_month("sale_date", day), "total").alias("month_revenue"),
     )
     spent = expenses.filter(in_calendar_month("expense_date", day)).agg(
         F.coalesce(F.sum("amount"), F.lit(0)).alias("month_expenses")
@@ -378,9 +395,17 @@ def home_metrics(
 
 
 def top_products(sales: DataFrame, items: DataFrame, products: DataFrame, day, k: int = 5) -> DataFrame:
-    """A18. Best sold product names of a day; ties by name."""
+    """A18. Best sold product names of a day; ties by name.
+
+    The day's smallest and largest sale ids are worked out first and reach the scan of the lines as bounds: ids that
+    grow with time leave all but the day's row groups unread. Lines stored by ``sinks.write_lines_by_month`` and loaded
+    by ``readers.load_by_month`` from the day to the day are read of its month only.
+    """
     of_day = sales.filter(not_voided() & on_day("sale_date", day)).select("sale_id")
-    sold = items.select("sale_id", "product_id", "quantity").join(of_day, "sale_id")
+    # Two plain top-ones: Spark merges aggregates into one struct, whose fields it does not push into a scan.
+    low, high = (of_day.filter("sale_id IS NOT NULL").orderBy(by).limit(1).scalar() for by in (F.asc("sale_id"), F.desc("sale_id")))
+    near = items.filter((F.col("sale_id") >= low) & (F.col("sale_id") <= high))
+    sold = near.select("sale_id", "product_id", "quantity").join(of_day, "sale_id")
     return (
         sums_by_name(sold, "product_id", products, "product_id", ["product_name"], ["quantity"])
         .select("product_name", F.col("quantity").alias("units_sold"))

@@ -63,6 +63,25 @@ def write_by_month(df: DataFrame, date_col: str, path: str) -> None:
     )
 
 
+def write_lines_by_month(items: DataFrame, sales: DataFrame, path: str) -> None:
+    """Store the lines of sales by the calendar month of their sale, sorted by sale within files.
+
+    A line without a sale, or of a sale without a date, is in the null month. ``readers.load_by_month`` with a day's
+    bounds reads the lines of its month, and bounds on the sale id skip row groups within. The rebalanced partitions are
+    sorted, so a month too big for one task is sorted part by part.
+    """
+    dated = sales.select("sale_id", F.date_format("sale_date", "yyyy-MM").alias("month"))
+    (
+        items.join(dated, "sale_id", "left")
+        .select(*items.columns, "month")
+        .hint("rebalance", "month")
+        .sortWithinPartitions("month", "sale_id")
+        .write.mode("overwrite")
+        .partitionBy("month")
+        .parquet(path)
+    )
+
+
 def metric_rows(one_row: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     """K3. A one-row frame turned into (metric, value) rows, values as text.
 

@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.debug.maxToStringFields", "1000")
         .config("spark.driver.memory", "4g")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
