@@ -114,8 +114,9 @@ ORACLE: dict[str, str] = {
                       ELSE page_id END AS holder
             FROM payloads
         )
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN holder <> page_id THEN holder END AS refers_to
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN holder IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
         FROM holders
     """,
     "op12_ranked_search": r"""

@@ -12,7 +12,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,12 @@ class Archive:
     least_shared: int = 1_000
     #: Compressed bytes after which a file is closed.
     roll: int = 64 << 20
-    #: Payload bytes of a shard, about.
+    #: Payload bytes of a shard, about: a 64th of the input's between these bounds, whatever the cluster. A large shard
+    #: holds several files of ``roll`` bytes.
     shard: int = 32 << 20
+    largest_shard: int = 1 << 30
+    #: Shards that one task writes, at most.
+    together: int = 8
     #: The date that all records carry: it must not change from run to run.
     date: str = "2024-01-01T00:00:00Z"
     level: int = 6
@@ -59,12 +63,15 @@ def _histogram(facts: DataFrame, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cuts(facts: DataFrame, archive: Archive) -> tuple[np.ndarray, np.ndarray]:
-    """First ids of the shards' ranges, and into how many shards each range is cut: one, but for a single id that
-    fills several."""
-    row = facts.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + 512)).first()
+def _cuts(facts: DataFrame, archive: Archive) -> tuple[np.ndarray, np.ndarray, int]:
+    """First ids of the shards' ranges, into how many shards each range is cut (one, but for a single id that fills
+    several), and how many shards rows without an id fill. At most about 300,000 edges at 100 TB."""
+    size, null = F.col("bytes") + 512, F.col("page_id").isNull()
+    row = facts.agg(F.min("page_id"), F.max("page_id"), F.sum(size), F.sum(F.when(null, size))).first()
+    archive = replace(archive, shard=max(archive.shard, min(archive.largest_shard, (row[2] or 0) // 64)))
+    nameless = max(1, -(-(row[3] or 0) // archive.shard))
     if row[0] is None:
-        return np.array([0]), np.array([1])
+        return np.array([0]), np.array([1]), nameless
     low, high = int(row[0]), int(row[1])
     step = max(1, -(-(high - low + 1) // 256))
     edges = np.array(sorted({low + k * step for k in range(256) if low + k * step <= high}), np.int64)
@@ -87,14 +94,14 @@ def _cuts(facts: DataFrame, archive: Archive) -> tuple[np.ndarray, np.ndarray]:
         fill += int(size)
         if size > archive.shard:
             parts[-1] = int(-(-size // archive.shard))
-    return np.array(firsts), np.array(parts)
+    return np.array(firsts), np.array(parts), nameless
 
 
 def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_id(page_id: int | None, payload_digest: str, copy: int = 0) -> str:
+def _record_id(page_id: int | None, payload_digest: str, copy: str = "") -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{payload_digest}{f':{copy}' if copy else ''}>"
 
 
@@ -103,7 +110,7 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + END
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, holder: int | None, copy: int, date: str) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, holder: int | None, copy: str, date: str) -> bytes:
     """The record of a page: the response, or, with ``holder``, the revisit of the page that has the payload."""
     digest = hashlib.sha1(payload).hexdigest()
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A").strip() or f"urn:page:{page_id}"
@@ -160,42 +167,53 @@ def write_archives(
 
     Of the rows with equal payloads of at least ``archive.least_shared`` bytes, that with the largest ``page_id`` is
     a response and the others are its revisits; smaller payloads are all responses. A null html is an empty payload,
-    a null or empty url is named by the page id. Rows with a null id are responses, in shards of their own. Of rows
-    that repeat an id and a payload, one is the response and the others revisit that page. Other columns, of any name,
-    are not read. An empty table gives no files.
+    a null or empty url is named by the page id. Rows with a null id are in shards of their own; they revisit the page
+    that holds their payload, and are responses where no page with an id does. Of rows that repeat an id and a payload,
+    one is the response and the others revisit that page. Other columns, of any name, are not read. An empty table gives
+    no files.
     """
     archive, spark = archive or Archive(), pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     thin = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    # Copies of one payload without ids are dealt to several shards by their urls.
+    salt = F.when(F.col("page_id").isNull(), F.pmod(F.hash("url"), F.lit(64))).otherwise(0)
     with splitting(spark):
         facts = staged(
-            thin.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("digest")),
+            thin.select(
+                "page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"),
+                salt.alias("salt"),
+            ),
             "payloads",
         )
-        firsts, parts = _cuts(facts, archive)
+        firsts, parts, nameless = _cuts(facts, archive)
         starts = np.concatenate([[0], np.cumsum(parts)])
         shards = int(starts[-1])
-        shared = facts.where(F.col("page_id").isNotNull() & (F.col("bytes") >= archive.least_shared))
-        holders = shared.groupBy("digest", "bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1")
-        revisits = looked_up(shared, holders, ["digest", "bytes"]).where("page_id < holder").select("page_id", "digest", "holder").distinct()
+        shared = facts.where(F.col("bytes") >= archive.least_shared)
+        holders = shared.groupBy("digest", "bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
+        holders = holders.where("n > 1 AND holder IS NOT NULL")
+        revisits = looked_up(shared, holders, ["digest", "bytes"]).where("page_id IS NULL OR page_id < holder")
+        revisits = revisits.select("page_id", "digest", "holder", "salt").distinct()
         null = lambda kind: F.lit(None).cast(kind)
-        rows = thin.select("page_id", F.lit(1).alias("kind"), "url", "html", null("string").alias("digest"), null("long").alias("holder"))
-        rows = rows.union(revisits.select("page_id", F.lit(0), null("string"), null("string"), "digest", "holder"))
+        rows = thin.select("page_id", F.lit(1).alias("kind"), "url", "html", null("string").alias("digest"), null("long").alias("holder"), salt.alias("salt"))
+        rows = rows.union(revisits.select("page_id", F.lit(0), null("string"), null("string"), "digest", "holder", "salt"))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = []
-                for page_id, html, digest in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
+                for page_id, html, digest, salt in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 6))):
                     key = lambda: int((digest or hashlib.sha1(html.encode()).hexdigest())[:8], 16)  # noqa: B023, E731
                     if page_id is None:  # beyond the ranges
-                        own.append(shards + key() % shards)
+                        own.append(shards + (key() + salt) % nameless)  # noqa: B023
                         continue
                     at = int(np.searchsorted(firsts, page_id, "right")) - 1
                     own.append(int(starts[at]) + (key() % int(parts[at]) if parts[at] > 1 else 0))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns], names=["shard", *batch.schema.names])
 
-        placed = rows.mapInArrow(place, "shard long, page_id long, kind int, url string, html string, digest string, holder long")
-        placed = placed.repartition(min(2 * shards, 4 * tasks(spark)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+        placed = rows.mapInArrow(place, "shard long, page_id long, kind int, url string, html string, digest string, holder long, salt int")
+        # Ranges of consecutive shards, evenly dealt; few shards are a task each.
+        ranges = min(shards + nameless, max(4 * tasks(spark), -(-(shards + nameless) // archive.together)))
+        range_of = F.floor(F.col("shard") * ranges / (shards + nameless)).cast("int")
+        placed = placed.repartitionById(ranges, range_of).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files, page, holders, copies = None, None, {}, {}
@@ -218,7 +236,8 @@ def write_archives(
                     holder = holders.get(digest)
                     if holder is None and copy and page is not None and len(payload) >= archive.least_shared:
                         holder = page
-                    files.add(page_record(page, row["url"], payload, holder, copy, archive.date))
+                    label = f"{row['shard']}-{copy}" if page is None else str(copy or "")
+                    files.add(page_record(page, row["url"], payload, holder, label, archive.date))
             if files is not None:
                 files.close()
                 done += files.rows

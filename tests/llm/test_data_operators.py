@@ -189,7 +189,7 @@ PAGES = "page_id long, url string, html string, holder string"
 def page_rows():
     big = ["é" * 700, "b" * 1000, "c" * 999, "d" * 5000]
     rows = [(k, f"http://h{k % 7}.org/{k}", big[k % 4] if k % 3 else f"<p>{k}</p>" * (k % 400), "x") for k in range(120)]
-    return rows + [(500, None, None, None), (501, "", "", None), (None, "http://n/", "b" * 1000, None), (None, None, "b" * 1000, None), (502, "a\r\nX: y", "d" * 5000, None), (503, "http://x/", "z" * 300_000, None), (40, "again", "b" * 1000, None), (119, "again", "d" * 5000, None), (119, "again", "d" * 5000, None)]
+    return rows + [(500, None, None, None), (501, "", "", None), (None, "http://n/", "b" * 1000, None), (None, None, "b" * 1000, None), (None, "u", "<p>0</p>", None), (None, "v", "n" * 2000, None), (None, "w", "n" * 2000, None), (502, "a\r\nX: y", "d" * 5000, None), (503, "http://x/", "z" * 300_000, None), (40, "again", "b" * 1000, None), (119, "again", "d" * 5000, None), (119, "again", "d" * 5000, None)]
 
 
 def expected_records(rows):
@@ -200,7 +200,7 @@ def expected_records(rows):
     out, seen = [], set()
     for page_id, _, html, _ in rows:
         data = (html or "").encode()
-        shared = page_id is not None and len(data) >= 1000
+        shared = len(data) >= 1000 and html in top  # rows without an id revisit the page that has their payload
         again = shared and ((page_id, html) in seen or top[html] != page_id)
         if shared and top[html] == page_id:
             seen.add((page_id, html))
@@ -223,7 +223,10 @@ def test_archives_round_trip(spark, tmp_path, limits):
     assert files == sorted(map(tuple, other.collect()))
     assert all((tmp_path / "a" / f[0]).read_bytes() == (tmp_path / "b" / f[0]).read_bytes() for f in files)
     assert not [p for p in os.listdir(folder) if p.startswith("_temporary")]
-    assert limits.roll > 2_000 or len(files) > 5
+    per_shard = collections.Counter(f[1] for f in files)
+    assert limits.roll > 2_000 or len(files) > 5 and max(per_shard.values()) > 1  # files are rolled within a shard
+    names = [h["WARC-Record-ID"] for f in files for h, _ in warc.records_of(folder, f[0])]
+    assert len(names) == len(set(names))
 
 
 def test_damaged_archives_are_noticed(spark, tmp_path):
@@ -234,6 +237,24 @@ def test_damaged_archives_are_noticed(spark, tmp_path):
         warc.read_archives(manifest, folder).collect()
 
 
+def test_archives_without_ids_fill_several_shards(spark, tmp_path):
+    """Copies of one payload without ids are dealt by their urls, and are responses, as no page has it."""
+    rows = [(None, f"http://h/{k}", "n" * 2000, None) for k in range(200)]
+    manifest, folder = warc.write_archives(spark.createDataFrame(rows, PAGES), warc.Archive(shard=20_000), str(tmp_path / "a"))
+    assert manifest.count() > 10 and manifest.agg({"records": "max"}).first()[0] < 60
+    back = warc.read_archives(manifest, folder).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert [tuple(r) for r in back] == [(None, "response", None, 200)]
+
+
+def test_shards_follow_the_input(spark):
+    """A shard holds a 64th of the input, between its bounds."""
+    facts = spark.range(10_000).selectExpr("id AS page_id", "488L AS bytes")
+    count = lambda **limits: len(warc._cuts(facts, warc.Archive(**limits))[0])
+    assert count() == 1
+    assert 60 <= count(shard=1_000) <= 130
+    assert count(shard=1_000, largest_shard=20_000) > 400
+
+
 def test_archives_of_nothing(spark, tmp_path):
     manifest, folder = warc.write_archives(spark.createDataFrame([], PAGES), folder=str(tmp_path / "a"))
     assert warc.read_archives(manifest, folder).collect() == []
