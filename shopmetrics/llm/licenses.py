@@ -1,19 +1,18 @@
 """Licenses named or quoted in documents, by conditional compression (operator 2).
 
 Text that quotes a template compresses far better when the template is the compressor's raw dictionary. The sentences of
-a document that hold a word of the subject are compared with each template that shares a run of words that no other has;
-of the spans whose wording is near enough, the one that its template saves most wins, and what stands before and after
-it is judged again.
+a document that hold a word of the subject are the candidate blocks. Each block is compressed with every template, the
+templates are ranked by the bytes they save, and the first one that the exact wording confirms wins: the quoted span
+differs in few words, holds words that name the license, and none that name another one. What stands before and after
+the span is judged again.
 """
 
 from __future__ import annotations
 
-import bisect
 import difflib
 import functools
-import itertools
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,59 +20,165 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Common notices of public licenses, in their usual wording.
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+
+@dataclass(frozen=True)
+class Template:
+    #: The names that notices give the license.
+    names: tuple[str, ...]
+    #: Sentences of its usual notices.
+    sentences: tuple[str, ...]
+    #: Words that tell it from others; a notice holds all words of one of these.
+    marks: tuple[str, ...]
+
+
+def _gnu(name: str, short: str, version: str, marks: str) -> Template:
+    return Template(
+        (f"GNU {name}, version {version}", f"GNU {name} v{version}", f"GNU {name} {version}", f"{short}v{version}", f"{short}-{version}"),
+        (
+            f"you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+            f"Foundation, either version {version} of the License, or (at your option) any later version",
+        ),
+        (f"{marks} {version}", f"{short.lower()}v {version}", f"{short.lower()} {version}"),
+    )
+
+
+def _commons(kind: str, short: str) -> Template:
+    words = " ".join(re.findall("[a-z]+", kind.lower()))
+    return Template(
+        (f"Creative Commons {kind} 4.0 International License", f"Creative Commons {kind} 4.0", f"CC {short} 4.0", f"CC-{short}-4.0"),
+        (), (f"creative commons {words} 4", f"cc {short.lower().replace('-', ' ')} 4"),
+    )
+
+
+#: Names and common notices of public licenses, in their usual wording.
+TEMPLATES: dict[str, Template] = {
+    "AGPL-3.0": _gnu("Affero General Public License", "AGPL", "3", "affero general public"),
+    "Apache-2.0": Template(
+        ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache License"),
+        (
+            "you may not use this file except in compliance with the License",
+            "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+            "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+            "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        ),
+        ("apache license", "apache licenses", "apache 2", "file except compliance license", "as is basis warranties conditions kind"),
+    ),
+    "BSD": Template(
+        ("BSD License", "BSD-style License"),
+        (
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        ),
+        ("bsd license", "bsd licensed", "redistribution source binary forms permitted", "redistributions source retain conditions"),
+    ),
+    "BSD-2-Clause": Template(
+        ("2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause License", "BSD-2-Clause"), (), ("bsd 2 clause", "simplified bsd")
+    ),
+    "BSD-3-Clause": Template(
+        ("3-Clause BSD License", "New BSD License", "Revised BSD License", "BSD 3-Clause License", "BSD-3-Clause"),
+        (
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+            "products derived from this software without specific prior written permission",
+        ),
+        ("bsd 3 clause", "new bsd", "revised bsd", "neither name contributors endorse promote"),
     ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer. Licensed under the BSD License."
+    "CC-BY-4.0": _commons("Attribution", "BY"),
+    "CC-BY-NC-4.0": _commons("Attribution-NonCommercial", "BY-NC"),
+    "CC-BY-NC-SA-4.0": _commons("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+    "CC-BY-ND-4.0": _commons("Attribution-NoDerivatives", "BY-ND"),
+    "CC-BY-SA-4.0": _commons("Attribution-ShareAlike", "BY-SA"),
+    "CC0-1.0": Template(
+        ("Creative Commons Zero 1.0 Universal", "Creative Commons CC0 1.0 License", "CC0 1.0", "CC0-1.0"), (),
+        ("creative commons zero", "creative commons cc 0", "cc 0 1"),
     ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": (
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. "
-        "Licensed under CC BY-NC 4.0."
+    "GPL-2.0": _gnu("General Public License", "GPL", "2", "general public"),
+    "GPL-3.0": _gnu("General Public License", "GPL", "3", "general public"),
+    "ISC": Template(
+        ("ISC License", "ISC"),
+        (
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies",
+        ),
+        ("isc license", "isc licensed", "permission use purpose fee hereby granted"),
     ),
-    "CC-BY-SA-4.0": (
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. "
-        "Licensed under CC BY-SA 4.0."
+    "LGPL-2.1": _gnu("Lesser General Public License", "LGPL", "2.1", "lesser general public"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "LGPL", "3", "lesser general public"),
+    "MIT": Template(
+        ("MIT License", "MIT"),
+        (
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction",
+        ),
+        ("mit license", "mit licensed", "permission hereby granted person software", "hereby granted free charge software"),
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3. This program is free software: you can "
-        "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
-        "Software Foundation, either version 3 of the License, or (at your option) any later version."
+    "MPL-2.0": Template(
+        ("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0"),
+        (
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+            "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+        ),
+        ("mozilla public license 2", "mozilla public 2", "mpl 2"),
     ),
-    "MIT": (
-        "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of "
-        "this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."
+    "Unlicense": Template(
+        ("Unlicense", "The Unlicense"), ("This is free and unencumbered software released into the public domain",),
+        ("unlicense license", "the unlicense", "under unlicense", "unencumbered software public domain"),
     ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
-        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    "reserved": Template(
+        (), ("All rights reserved", "No part of this work may be reproduced without written permission"),
+        ("all rights reserved", "no reproduced without permission"),
     ),
-    "reserved": "All rights reserved. Copyright. No part of this work may be reproduced without permission.",
-}
+}
+#: How notices bring in a name; {} is the name.
+LEADS = (
+    "{}", "Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the {}", "Available under the {}",
+    "This work is licensed under the {}", "This work is licensed under a {}", "This code is {} licensed", "under the terms of the {}",
+    "SPDX-License-Identifier: {}",
+)
+#: Words that make another license of a name; a span that its template lacks one of is of another license.
+TELLING = frozenset(
+    "apache bsd mit isc mozilla mpl gnu gpl gplv lgpl lgplv agpl agplv lesser library affero noncommercial nc sharealike sa "
+    "noderivatives nd zero unlicense clause simplified revised".split()
+)
+#: Those that stand right before or after a name that is a part of a longer one.
+QUALIFIERS = frozenset("lesser library affero noncommercial nc sharealike sa noderivatives nd clause simplified revised".split())
 #: A block without any of these is no candidate.
-SUBJECT = re.compile(rb"licen[cs]|copyright|all rights reserved|redistribut|permission is hereby|\bmit\b|\bgnu\b|creative commons", re.I)
+SUBJECT = re.compile(
+    rb"licen[cs]|copyright|all rights reserved|redistribut|reproduced|permission|neither the name|creative commons|public domain"
+    rb"|\bcc[ -]?(by|0)\b|\ba?l?gpl|\b(mit|gnu|apache|bsd|mozilla|mpl)\b", re.I,
+)
+#: Where a sentence ends; "v. 2.0" goes on.
+ENDS = re.compile(rb"(?<! v)\. ")
 WORDS = re.compile(r"[\w.+-]*\w")
+_TERMS = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
+
+
+def word(text: str) -> str:
+    """A word as it is compared: in lower case, v3.0 as v3."""
+    return re.sub(r"(?<=\d)(\.0+)+$", "", text.lower())
+
+
+def terms(text: str) -> frozenset[str]:
+    """Words and numbers of a text; 2.0 is 2, and years are left out. The British spelling counts as the American."""
+    out = set()
+    for term in _TERMS.findall(text.lower()):
+        if term[0].isdigit():
+            term = re.sub(r"(\.0+)+$", "", term)
+            if len(term.split(".")[0]) > 3:
+                continue
+        out.add({"licence": "license", "licenced": "licensed", "licences": "licenses"}.get(term, term))
+    return frozenset(out)
 
 
 @dataclass(frozen=True)
 class Scan:
-    templates: Mapping[str, str] = field(default_factory=lambda: TEMPLATES)
+    templates: Mapping[str, Template] = field(default_factory=lambda: TEMPLATES)
     #: Share of the compressed size of the quoted span that the winner must save.
     least_saved: float = 0.25
     #: Words of a span that its winner doesn't have, at most, as a share of the span's words.
     most_foreign: float = 0.2
-    #: Words of the longest run that span and template share, at least.
-    least_run: int = 3
-    #: Words before and after a shared run that are compared with the template, beside as many as the template has.
-    block: int = 64
+    #: Words before and after a word of the subject that a block takes of a long sentence.
+    block: int = 96
     level: int = 6
 
 
@@ -82,78 +187,89 @@ class _Scanner:
         self.scan = scan
         self.plain = zstandard.ZstdCompressor(level=scan.level, write_content_size=False)
         self.names = sorted(scan.templates)
-        self.words = {n: [w.lower() for w in WORDS.findall(scan.templates[n])] for n in self.names}
-        self.grams = {n: self._grams(w) for n, w in self.words.items()}
-        #: Templates by the runs that only they have.
-        self.only = {g: n for n in self.names for g in self.grams[n] if not any(g in self.grams[m] for m in self.names if m != n)}
-        self.primed = {
-            n: zstandard.ZstdCompressor(
-                level=scan.level, write_content_size=False,
-                dict_data=zstandard.ZstdCompressionDict(scan.templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            )
-            for n in self.names
-        }
-
-    def _grams(self, words: list[str]) -> set[tuple]:
-        return {tuple(words[k : k + self.scan.least_run]) for k in range(len(words) - self.scan.least_run + 1)}
-
-    def _span(self, own: list[str], low: int, high: int, at: int, name: str) -> tuple[int, int, list[str]] | None:
-        """The part of the words ``low`` to ``high`` around the run at ``at`` that quotes the template: from the
-        longest run on, the next runs are taken in while the words that differ on either side are few."""
-        words = self.words[name]
-        reach = self.scan.block + len(words)
-        low, high = max(low, at - reach), min(high, at + reach)
-        runs = [r for r in difflib.SequenceMatcher(None, own[low:high], words, autojunk=False).get_matching_blocks() if r.size]
-        # The alignment need not hold the run at ``at``; then that is the span.
-        held = next((k for k, r in enumerate(runs) if r.a <= at - low < r.a + r.size), None)
-        if held is None:
-            return at, at + self.scan.least_run, []
-        first, last, foreign, skipped, quoted = held, held, 0, 0, runs[held].size
-        grown = True
-        while grown:
-            grown = False
-            for step in (-1, 1):
-                near = (first if step < 0 else last) + step
-                if not 0 <= near < len(runs):
-                    continue
-                one, two = (runs[near], runs[first]) if step < 0 else (runs[last], runs[near])
-                more, less = two.a - one.a - one.size, two.b - one.b - one.size
-                size = quoted + foreign + more + runs[near].size
-                if max(foreign + more, skipped + less) <= self.scan.most_foreign * size:
-                    foreign, skipped, quoted, grown = foreign + more, skipped + less, quoted + runs[near].size, True
-                    first, last = min(first, near), max(last, near)
-        start, stop = low + runs[first].a, low + runs[last].a + runs[last].size
-        same = {low + k for r in runs[first : last + 1] for k in range(r.a, r.a + r.size)}
-        return start, stop, [own[k] for k in range(start, stop) if k not in same]
+        self.phrases = {
+            n: [*t.sentences, *(lead.format(name) for name in t.names for lead in LEADS)] for n, t in scan.templates.items()
+        }
+        self.words = {n: [[word(w) for w in WORDS.findall(p)] for p in self.phrases[n]] for n in self.names}
+        self.terms = {n: terms(" ".join(self.phrases[n])) for n in self.names}
+        self.marks = {n: [terms(m) for m in scan.templates[n].marks] for n in self.names}
+        self.primed = {}
+        for n in self.names:
+            text = ". ".join(self.phrases[n]).lower().encode()
+            raw = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=scan.level)
+            self.primed[n] = zstandard.ZstdCompressor(level=scan.level, write_content_size=False, dict_data=raw)
+
+    def sizes(self, text: str) -> tuple[int, dict[str, int]]:
+        """Compressed bytes of a text alone, and with each template."""
+        data = text.lower().encode("utf-8", "replace")
+        return len(self.plain.compress(data)), {n: len(self.primed[n].compress(data)) for n in self.names}
+
+    def ranked(self, text: str) -> list[str]:
+        """The templates that save bytes of a text, the one that saves most first, ties by name."""
+        plain, sizes = self.sizes(text)
+        return sorted((n for n in self.names if sizes[n] < plain), key=lambda n: (sizes[n], n))
+
+    def spans(self, own: Sequence[str], name: str) -> Iterator[tuple[int, int, list[int]]]:
+        """Spans of the words that quote a phrase of the template, and the places of the words in them that it lacks:
+        from each shared run on, the next runs are taken in while the words that differ on either side are few."""
+        for words in self.words[name]:
+            runs = [r for r in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if r.size]
+            for held in range(len(runs)):
+                first, last, foreign, skipped, quoted = held, held, 0, 0, runs[held].size
+                grown = True
+                while grown:
+                    grown = False
+                    for step in (-1, 1):
+                        near = (first if step < 0 else last) + step
+                        if not 0 <= near < len(runs):
+                            continue
+                        one, two = (runs[near], runs[first]) if step < 0 else (runs[last], runs[near])
+                        more, less = two.a - one.a - one.size, two.b - one.b - one.size
+                        size = quoted + foreign + more + runs[near].size
+                        if max(foreign + more, skipped + less) <= self.scan.most_foreign * size:
+                            foreign, skipped, quoted, grown = foreign + more, skipped + less, quoted + runs[near].size, True
+                            first, last = min(first, near), max(last, near)
+                start, stop = runs[first].a, runs[last].a + runs[last].size
+                same = {k for r in runs[first : last + 1] for k in range(r.a, r.a + r.size)}
+                yield start, stop, [k for k in range(start, stop) if k not in same]
+
+    def confirmed(self, own: Sequence[str], start: int, stop: int, name: str) -> bool:
+        """Whether the wording of a span is that of this license and of no other."""
+        span = terms(" ".join(own[start:stop]))
+        numbers = {t for t in span if t[0].isdigit()}
+        if not any(m <= span for m in self.marks[name]) or not (span & TELLING) | numbers <= self.terms[name]:
+            return False
+        after = own[stop : stop + 2] if own[stop : stop + 1] in (["version"], ["v"]) else own[stop : stop + 1]
+        around = terms(" ".join([*own[max(0, start - 1) : start], *after]))
+        versions = {t for w in after for t in terms(w) if t[0].isdigit()} if re.fullmatch(r"v?[\d.]+", "".join(after[-1:])) else set()
+        return not ((around & QUALIFIERS) | versions) - self.terms[name]
 
     def judge(self, block: str) -> list[tuple[str, int, int, list[str], str]]:
         """The licenses of a block in order: name, bytes that the template saves of the quoted span, its plain size, the
         words that the template doesn't have, and the span."""
         places = [(m.start(), m.end()) for m in WORDS.finditer(block)]
-        own = [block[i:j].lower() for i, j in places]
-        run = self.scan.least_run
-        hits = [(k, n) for k in range(len(own) - run + 1) if (n := self.only.get(tuple(own[k : k + run])))]
-        if own and len(own) < run:  # a short block must be a run itself
-            hits = [(0, n) for n in self.names if any(self.words[n][k : k + len(own)] == own for k in range(len(self.words[n])))]
+        own = [word(block[i:j]) for i, j in places]
         found, parts = [], [(0, len(own))]
         while parts:
             low, high = parts.pop()
-            best, done = None, {}
-            for at, name in itertools.islice(hits, bisect.bisect_left(hits, (low, "")), None):
-                if at > high - min(run, len(own)) or best and at >= best[2]:  # what lies beyond is judged next
+            if low == high:
+                continue
+            text = block[places[low][0] : places[high - 1][1]]
+            held, best = terms(text), None
+            for name in self.ranked(text):
+                if not any(m <= held for m in self.marks[name]):
+                    continue  # no span of it could be confirmed
+                for start, stop, foreign in self.spans(own[low:high], name):
+                    if best and stop - start - 2 * len(foreign) <= best[0] or not self.confirmed(own[low:high], start, stop, name):
+                        continue
+                    quoted = block[places[low + start][0] : places[low + stop - 1][1]]
+                    plain, sizes = self.sizes(quoted)
+                    if plain - sizes[name] >= self.scan.least_saved * plain:
+                        notice = (name, plain - sizes[name], plain, [own[low + k] for k in foreign], quoted)
+                        best = stop - start - 2 * len(foreign), low + start, low + stop, notice
+                if best:
                     break
-                if at < done.get(name, 0):
-                    continue
-                start, stop, foreign = (0, len(own), []) if len(own) < run else self._span(own, low, high, at, name)
-                done[name] = max(stop, at + 1)
-                quoted = block[places[start][0] : places[stop - 1][1]]
-                data = quoted.lower().encode("utf-8", "replace")
-                if not SUBJECT.search(data):
-                    continue
-                plain = len(self.plain.compress(data))
-                gain = plain - len(self.primed[name].compress(data))
-                if gain >= self.scan.least_saved * plain and (best is None or gain > best[0]):
-                    best = gain, start, stop, (name, gain, plain, foreign, quoted)
             if best:
                 _, start, stop, notice = best
                 found.append((start, notice))
@@ -161,17 +277,44 @@ class _Scanner:
         return [notice for _, notice in sorted(found, key=lambda f: f[0])]
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """Line numbers and the sentences that hold a word of the subject."""
+        """Line numbers and the sentences that hold a word of the subject; of long ones the words around these."""
         for number, line in enumerate(text.split("\n")):
-            data, last = line.encode("utf-8", "replace"), 0
+            data, start, last = line.encode("utf-8", "replace"), 0, 0
+            ends = ENDS.finditer(data)
             for hit in SUBJECT.finditer(data):
                 if hit.start() < last:
                     continue
-                stop = data.rfind(b". ", last, hit.start())
-                start = last if stop < 0 else stop + 2
-                stop = data.find(b". ", hit.end())
-                last = len(data) if stop < 0 else stop + 1
-                yield number, data[start:last].decode("utf-8", "replace").strip()
+                start = max(start, last)
+                for end in ends:
+                    if end.start() >= hit.end():
+                        last = end.start() + 1
+                        break
+                    start = max(start, end.end())
+                else:
+                    last = len(data)
+                yield from ((number, b) for b in self._around(data[start:last].decode("utf-8", "replace").strip()))
+
+    def _around(self, sentence: str) -> Iterator[str]:
+        places = [(m.start(), m.end()) for m in WORDS.finditer(sentence)]
+        if len(places) <= 2 * self.scan.block:
+            yield sentence
+            return
+        # Words near one of the subject's, in stretches that don't overlap.
+        low = high = 0
+        for k in range(len(places)):
+            i, j = places[k][0], places[min(k + 3, len(places) - 1)][1]
+            if not SUBJECT.match(sentence[i:j].encode("utf-8", "replace")):
+                continue
+            if k - self.scan.block > high:
+                if high > low:
+                    yield sentence[places[low][0] : places[high - 1][1]]
+                low = k - self.scan.block
+            elif high - low > 4 * self.scan.block and k >= high:
+                yield sentence[places[low][0] : places[high - 1][1]]
+                low = high
+            high = max(high, min(len(places), k + self.scan.block))
+        if high > low:
+            yield sentence[places[low][0] : places[high - 1][1]]
 
     def scan_text(self, text: str | None) -> list[dict]:
         return [
@@ -193,13 +336,13 @@ def licenses(docs: DataFrame, text: str = "text", scan: Scan | None = None) -> D
     """``doc_id, licenses`` for each row of ``docs``: the notices found in the whole text in order, with ``license``,
     ``line`` (from 0), the bytes that the template saves of the quoted part and its plain compressed size, the words of
     the quoted part that differ from the template (``differences``), and the quoted part. A sentence may hold several;
-    words around a notice don't count against it. A run of words that several templates have names none of them.
+    words around a notice don't count against it. A notice of a license or version without a template has no name.
 
     One narrow pass over the documents. Null and empty texts have none; equal gains go to the first name; repeated
     rows are each answered. Other columns, of any name, are not read. An empty table gives an empty result.
     """
     scan = scan or Scan()
-    key = (scan.least_saved, scan.most_foreign, scan.least_run, scan.block, scan.level)
+    key = (scan.least_saved, scan.most_foreign, scan.block, scan.level)
     items = tuple(sorted(scan.templates.items()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     inner = pa.list_(

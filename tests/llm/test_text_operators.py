@@ -1,7 +1,9 @@
+import difflib
 import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import decontamination as dc
@@ -282,9 +284,13 @@ def test_licenses_are_found_and_told_apart(make_docs):
 
 
 def test_each_template_finds_itself(make_docs):
-    rows = [(k, text) for k, text in enumerate(li.TEMPLATES.values())]
-    names = {r["doc_id"]: r["licenses"] for r in li.license_names(make_docs(rows)).collect()}
-    assert all(list(li.TEMPLATES)[k] in names[k] for k in names)
+    """Each name with each of its lead-ins, and each notice, is of its license and of no other."""
+    rows = [(n, p) for n, t in li.TEMPLATES.items() for p in [*t.sentences, *(lead.format(x) for x in t.names for lead in li.LEADS[1:6])]]
+    found = {r["doc_id"]: r["licenses"] for r in li.license_names(make_docs([(k, p + ".") for k, (_, p) in enumerate(rows)])).collect()}
+    wrong = [(rows[k], names) for k, names in found.items() if set(names) - {rows[k][0]}]
+    assert not wrong and len(found) == len(rows)
+    # A lone short word names nothing: "Licensed under ISC", "under MIT".
+    assert {rows[k] for k, names in found.items() if not names and rows[k][1].split()[-1] not in ("MIT", "ISC")} == set()
 
 
 def test_licenses_inside_long_sentences(make_docs):
@@ -293,13 +299,64 @@ def test_licenses_inside_long_sentences(make_docs):
         (1, "This library is released under the MIT License by its authors and may be copied."),
         (2, "Copyright 2021 Example Corporation and its contributors, all rights reserved worldwide."),
         (3, f"{long(1, 40)} Licensed under the Apache License, Version 2.0 {long(2, 60)}"),
-        (4, f"{long(3, 4000)} {li.TEMPLATES['GPL-3.0'].split('. ')[0]} {long(4, 4000)} released under the MIT License {long(5, 50)}"),
+        (4, f"{long(3, 4000)} {li.TEMPLATES['GPL-3.0'].sentences[0]} {long(4, 4000)} released under the MIT License {long(5, 50)}"),
         (5, "He was licensed under the new law, and got a copy of the license free of charge."),
     ]
     found = {r["doc_id"]: r["licenses"] for r in li.license_names(make_docs(rows)).collect()}
     assert found == {1: ["MIT"], 2: ["reserved"], 3: ["Apache-2.0"], 4: ["GPL-3.0", "MIT"], 5: []}
 
 
+LOOK_ALIKES = [
+    ("Distributed under the BSD license.", ["BSD"]), ("GNU Lesser General Public License version 2.1", ["LGPL-2.1"]),
+    ("GNU Lesser General Public License version 2.0", []), ("GNU Affero General Public License v3.0", ["AGPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), ("Licensed under GPLv3.", ["GPL-3.0"]),
+    ("GNU General Public License, version 4", []), ("Apache License 2.0", ["Apache-2.0"]), ("Licensed under Apache 2.0.", ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 1.1", []), ("MIT License", ["MIT"]), ("This code is MIT licensed.", ["MIT"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]), ("2-Clause BSD License", ["BSD-2-Clause"]),
+    ("No parts of this work can be reproduced without written permission", ["reserved"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("Licensed under CC BY-NC-ND 4.0.", []), ("Licensed under CC BY 3.0.", []), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+    ("Permission is hereby granted, without any charge, to any person obtaining a copy of this software and its documentation files (the "
+     "\"Software\"), to deal in the Software without restriction", ["MIT"]),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", ["ISC"]),
+    ("Er fuhr mit der Lizenz des Amtes nach Hause.", []), ("She got a license from two MIT professors.", []),
+    ("He copyrighted the general plan of the public park.", []),
+]
+
+
+def test_look_alike_licenses(make_docs):
+    found = {r["doc_id"]: r["licenses"] for r in li.license_names(make_docs([(k, t) for k, (t, _) in enumerate(LOOK_ALIKES)])).collect()}
+    assert [(LOOK_ALIKES[k][0], found[k]) for k in sorted(found)] == LOOK_ALIKES
+
+
+def test_winners_match_all_templates_on_all_windows():
+    """The winner saves most bytes of the block among all templates that some window of it, of any place and length, quotes."""
+    scanner, pick = li._Scanner(li.Scan()), random.Random(12)
+
+    def saved(text, name=None):
+        data, kind = text.lower().encode(), None
+        if name:
+            kind = zstandard.ZstdCompressionDict(". ".join(scanner.phrases[name]).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kind.precompute_compress(level=6)
+        return len(zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=kind).compress(data))
+
+    def quoted(own, i, j, name):
+        for words in scanner.words[name]:
+            same = sum(r.size for r in difflib.SequenceMatcher(None, own[i:j], words, autojunk=False).get_matching_blocks())
+            if j - i - same <= 0.2 * (j - i) and scanner.confirmed(own, i, j, name):
+                return True
+        return False
+
+    for notice, _ in LOOK_ALIKES:
+        block = " ".join([*prose(pick, 3).split(), *notice.rstrip(".").split(), *prose(pick, 3).split()])
+        own = [li.word(w) for w in li.WORDS.findall(block)]
+        able = [n for n in scanner.names if any(m <= li.terms(block) for m in scanner.marks[n])]
+        able = [n for n in able if any(quoted(own, i, j, n) for i in range(len(own)) for j in range(i + 1, min(len(own), i + 30) + 1))]
+        best = min(able, key=lambda n: (saved(block, n), n), default=None)
+        assert best is None or saved(block, best) < saved(block)
+        found = [n[0] for n in scanner.judge(block)]
+        assert found[:1] == ([best] if best else []), block
+
+
 def test_sentences_with_two_licenses(make_docs):
     text = "Licensed under the Apache License, Version 2.0, or released under the MIT License."
     found = li.licenses(make_docs([(1, text)])).first()["licenses"]
