@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from shopmetrics.functions import dates, labels, money, parsing
 from shopmetrics.operators import daily, ledger, rollup, tills
 from shopmetrics.plans import backoffice, finance, sales, stock
-from shopmetrics.session import input_bytes, tuned
+from shopmetrics.session import SHUFFLED_PER_READ, input_bytes, tuned
 from shopmetrics.sources.imports import conform, load_dedup, load_hotel_table
 from shopmetrics.sources.readers import explode_businesses
 from shopmetrics.sources.sinks import append_activity
@@ -336,7 +336,7 @@ _VIEWS: dict[str, Callable[[Shop], DataFrame]] = {
 def _query(build: Callable[[Shop], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, directory: str) -> DataFrame:
         result = shown(build(Shop(tuned(spark), directory)))
-        tuned(spark, input_bytes(result))
+        tuned(spark, SHUFFLED_PER_READ * input_bytes(result))
         return result
 
     return run

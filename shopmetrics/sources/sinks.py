@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,19 +49,32 @@ def write_reports(reports: Mapping[str, DataFrame], directory: str, fmt: str = "
         writer.format(fmt).save(os.path.join(directory, name))
 
 
+@contextlib.contextmanager
+def file_sized(spark: SparkSession):
+    """While it lasts, rebalanced partitions have the size of a file and not that of a task of ``session.SETTINGS``."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_by_month(df: DataFrame, date_col: str, path: str) -> None:
     """Store a dated table by calendar month, so that period reports read only their months.
 
     Adaptive rebalancing gathers each month into few files and splits a month too big for one task.
     """
     month = F.date_format(date_col, "yyyy-MM")
-    (
-        df.withColumn("month", month)
-        .hint("rebalance", "month")
-        .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(path)
-    )
+    with file_sized(df.sparkSession):
+        (
+            df.withColumn("month", month)
+            .hint("rebalance", "month")
+            .write.mode("overwrite")
+            .partitionBy("month")
+            .parquet(path)
+        )
 
 
 def write_lines_by_month(items: DataFrame, sales: DataFrame, path: str) -> None:
@@ -71,15 +85,16 @@ def write_lines_by_month(items: DataFrame, sales: DataFrame, path: str) -> None:
     sorted, so a month too big for one task is sorted part by part.
     """
     dated = sales.select("sale_id", F.date_format("sale_date", "yyyy-MM").alias("month"))
-    (
-        items.join(dated, "sale_id", "left")
-        .select(*items.columns, "month")
-        .hint("rebalance", "month")
-        .sortWithinPartitions("month", "sale_id")
-        .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(path)
-    )
+    with file_sized(items.sparkSession):
+        (
+            items.join(dated, "sale_id", "left")
+            .select(*items.columns, "month")
+            .hint("rebalance", "month")
+            .sortWithinPartitions("month", "sale_id")
+            .write.mode("overwrite")
+            .partitionBy("month")
+            .parquet(path)
+        )
 
 
 def metric_rows(one_row: DataFrame, labels: Mapping[str, str]) -> DataFrame:

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopmetrics.plans import catalog
 from shopmetrics.session import shuffle_tasks
 from shopmetrics.sources import imports, readers, schemas, sinks
+from shopmetrics.sources.star import STAR
 from tests.conftest import rows
 
 
@@ -145,6 +147,25 @@ def test_shuffles_begin_with_enough_tasks():
     assert shuffle_tasks(0, least=8) == 8
 
 
+def test_queries_read_small_parts_of_their_shuffles(spark, monkeypatch, tmp_path):
+    """16 MB of a shuffle per task however much is read: tasks of 64 MB took 1.7 GB in the returns."""
+    advisory, initial = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(initial, None)
+    monkeypatch.setattr(catalog, "input_bytes", lambda df: 6 << 30)
+    for name in ("lineitem", "part"):
+        spark.createDataFrame([], STAR[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    try:
+        catalog.QUERIES["process_returns"](spark, str(tmp_path))
+        assert int(spark.conf.get(initial)) == 6 * 64
+        size = int(spark._jsparkSession.sessionState().conf().getConfString(advisory).removesuffix("m"))
+        assert size <= 16
+        with sinks.file_sized(spark):
+            assert spark.conf.get(advisory) == "64m"
+        assert spark.conf.get(advisory) == f"{size}m"
+    finally:
+        spark.conf.unset(initial) if before is None else spark.conf.set(initial, before)
+
+
 def test_staged_frames_are_worked_out_once(spark):
     stored = sinks.staged(spark.range(10).withColumn("x", F.rand()))
     assert rows(stored) == rows(stored)
