@@ -218,28 +218,30 @@ def _estimated(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, join: Join) -> DataFrame:
-    """``cls, text, limit, sample`` of the wanted classes: the text of one of their documents, and its set or sample."""
-    named = docs.select(id_text("doc_id").alias("first"), F.col(text).cast("binary").alias("text"))
-    found = looked_up(named, wanted.select(id_text("first_id").alias("first")).distinct(), ["first"]).select("text")
+    """``cls, text, limit, sample`` of the wanted classes: the text of one of their documents, and its set or sample.
+
+    Texts are shuffled once: the first id of a class and the mark of its text name the class, and copies of that row,
+    which share both, are in one place with it."""
+    named = docs.select(id_text("doc_id").alias("first"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    asked = wanted.select(id_text("first_id").alias("first"), F.col("first_mark").alias("mark"), "digest", "cls")
+    found = named.join(asked, ["first", "mark"]).dropDuplicates(["first", "mark"])
     words = join.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            own = [shingles(t.as_py(), words, known) for t in batch.column(0)]
+            own = [shingles(t.as_py(), words, known) for t in batch.column(2)]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(own, batch.column(1))]
             parts = [carried(full) for full in own]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary()),
-                    batch.column(0), pa.array([p[0] for p in parts], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array([p[0] for p in parts], pa.int64()),
                     pa.array([p[1].tobytes() for p in parts], pa.binary()),
                 ],
-                names=["digest", "text", "limit", "sample"],
-            )
+                names=["cls", "text", "limit", "sample"],
+            ).filter(pa.array(same, pa.bool_()))
 
-    # Rows that share an id may hold other texts, and copies may share id and text.
-    cut = found.mapInArrow(run, "digest binary, text binary, limit long, sample binary")
-    return looked_up(cut, wanted.select("digest", "cls"), ["digest"]).drop("digest").dropDuplicates(["cls"])
+    return found.select("cls", "digest", "text").mapInArrow(run, "cls long, text binary, limit long, sample binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
@@ -408,14 +410,15 @@ def _grouped(docs: DataFrame, text: str, join: Join) -> tuple[DataFrame, DataFra
     smallest id, ``least_id``."""
     spark = docs.sparkSession
     signed, full = written(signatures(docs, text, join), "signatures")
-    per_set = signed.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("lanes", "nodes", "bits_1", "bits_2")]
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
+    facts = ("lanes", "nodes", "bits_1", "bits_2")
+    per_set = signed.where("digest IS NOT NULL").groupBy("digest").agg(first, *[F.first(c).alias(c) for c in facts])
+    per_set = per_set.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), *facts)
     classes, whole = written(per_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
     rows, _ = written(signed.select("doc_id", "mark", "n_shingles", "digest"), "rows")
     discard(spark, full)
     members, path = written(met(classes.select("cls", F.explode("nodes").alias("node"))), "members")
-    wanted = looked_up(classes.select("cls", "digest", "first_id"), members.select("cls").distinct(), ["cls"])
+    wanted = looked_up(classes.select("cls", "digest", "first_id", "first_mark"), members.select("cls").distinct(), ["cls"])
     texts, read = written(_texts(docs, wanted, text, join), "texts")
     labels = spark.createDataFrame([], "cls long, root long")
     for step in range(3, join.depth + 1):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shopmetrics.llm import near_duplicates as nd
 
@@ -115,3 +116,25 @@ def test_samples_compare_exactly_or_closely():
     limit, part = nd.sample(full)
     assert limit < 1 << 32 and 200 < len(part) <= 700
     assert nd.sample(full[:100])[0] == 1 << 32
+
+
+def test_texts_are_shuffled_once_and_one_stays_per_class(spark, make_docs):
+    """Rows that share an id hold other texts, a row comes three times, and one has no id."""
+    rows = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "i j"), (3, "i j"), (3, "i j"), (None, "k l m"), (4, "not asked for")]
+    asked, firsts = {"a b c d": 1, "e f g h": 1, "i j": 3, "k l m": None}, []
+    docs = make_docs(rows)
+    marks = {r.text: r.mark for r in docs.select("text", F.xxhash64("text").alias("mark")).collect()}
+    for cls, (text, first) in enumerate(asked.items()):
+        digest = nd.xxhash.xxh3_128_digest(nd.shingles(text.encode(), 2, nd._Hashes()).tobytes())
+        firsts.append((cls, digest, first, marks[text]))
+    wanted = spark.createDataFrame(firsts, "cls long, digest binary, first_id long, first_mark long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = nd._texts(docs, wanted, "text", nd.Join())
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["cls"], bytes(r["text"]).decode(), r["limit"], len(r["sample"]) // 4) for r in texts.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == [(0, "a b c d", 1 << 32, 3), (1, "e f g h", 1 << 32, 3), (2, "i j", 1 << 32, 1), (3, "k l m", 1 << 32, 2)]
+    assert plan.count("Exchange hashpartitioning") == 2, plan
