@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm.common import new_folder, written
+from shopmetrics.llm.common import new_folder, small_batches, written
 from shopmetrics.llm.files import Committed, located
 
 #: Fixed value: the word pattern that the byte-level vocabularies were made with.
@@ -194,38 +194,44 @@ def _shard_name(shard: int) -> str:
 def _stored(packed: DataFrame, layout: Layout, folder: str) -> DataFrame:
     """Writes the shards; one row per record."""
 
-    def write(shard: int, rows: list[dict]) -> pa.RecordBatch:
+    def write(shard: int, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
         press = zstandard.ZstdDecompressor()
-        records = []
-        for row in rows:
-            blob = press.decompress(row["blob"])
-            for k, place in enumerate(row["places"]):
-                records.append((place, memoryview(blob)[k * layout.stride : (k + 1) * layout.stride], row["docs"][k], row["tokens"][k]))
-        records.sort(key=lambda r: r[0])
-        out = Committed(folder, _shard_name(shard))
-        for record in records:
-            out.write(record[1])
+        blobs, places = [], [p.column(1)[0].values.to_numpy() for p in pieces]
+        docs, tokens = (pa.concat_arrays([p.column(c)[0].values for p in pieces]) for c in (2, 3))
+        while pieces:
+            blobs.append(memoryview(press.decompress(pieces.pop(0).column(4)[0].as_buffer())))
+        owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        at = np.concatenate([np.arange(len(p)) for p in places]) * layout.stride
+        order = np.argsort(np.concatenate(places), kind="stable")
+        docs, tokens = (spans.take(pa.array(order)) for spans in (docs, tokens))
+        many = tokens.value_lengths().to_numpy()
+        n_tokens = np.add.reduceat(tokens.flatten().to_numpy(), np.cumsum(many) - many)  # each has a token at least
+        out, crc = Committed(folder, _shard_name(shard)), []
+        for k, start in zip(owner[order].tolist(), at[order].tolist()):
+            record = blobs[k][start : start + layout.stride]
+            out.write(record)
+            crc.append(zlib.crc32(record))
         out.commit()
         return pa.RecordBatch.from_pydict(
             {
-                "shard": [shard] * len(records), "record": list(range(len(records))), "n_tokens": [sum(r[3]) for r in records],
-                "doc_ids": [r[2] for r in records], "doc_tokens": [r[3] for r in records],
-                "crc": [zlib.crc32(r[1]) for r in records],
+                "shard": [shard] * len(crc), "record": list(range(len(crc))), "n_tokens": pa.array(n_tokens, pa.int32()),
+                "doc_ids": docs.cast(WRITTEN.field("doc_ids").type), "doc_tokens": tokens.cast(WRITTEN.field("doc_tokens").type),
+                "crc": crc,
             },
             schema=WRITTEN,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
+        shard, pieces = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != shard and rows:
-                    yield write(shard, rows)
-                    rows = []
-                shard = row["shard"]
-                rows.append(row)
-        if rows:
-            yield write(shard, rows)
+            for k, own in enumerate(batch.column(0).to_pylist()):
+                if own != shard and pieces:
+                    yield write(shard, pieces)
+                    pieces = []
+                shard = own
+                pieces.append(batch.slice(k, 1))
+        if pieces:
+            yield write(shard, pieces)
 
     return packed.mapInArrow(
         run, "shard long, record long, n_tokens int, doc_ids array<long>, doc_tokens array<int>, crc long"
@@ -250,7 +256,8 @@ def materialise(docs: DataFrame, layout: Layout, text: str = "text", folder: str
     sizes = _partition_sizes(thin)
     shards = max(1, round(sum(sizes.values()) / layout.bytes_per_token * 2 / layout.shard))
     packed = _packed(thin, layout, sizes, shards).repartition(shards, "shard").sortWithinPartitions("shard")
-    records, _ = written(_stored(packed, layout, folder), "records")
+    with small_batches(spark):
+        records, _ = written(_stored(packed, layout, folder), "records")
     counts = {r["shard"]: r["count"] for r in records.groupBy("shard").count().collect()}  # one number per shard
     firsts, slot = [], 0
     for shard in sorted(counts):

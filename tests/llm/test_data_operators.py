@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -14,6 +15,7 @@ from shopmetrics.llm import multi_index as mi
 from shopmetrics.llm import queries
 from shopmetrics.llm import token_shards as ts
 from shopmetrics.llm import warc
+from shopmetrics.llm.common import small_batches
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -309,6 +311,28 @@ def test_shards_of_nothing(spark, tmp_path, make_docs):
     assert slots.collect() == []
 
 
+def test_shards_are_written_from_small_batches(spark, tmp_path, make_docs, monkeypatch):
+    """Large rows of a shard come to Python a few at a time, and the session's own bound is back afterwards."""
+    key, during = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    stored, before = ts.written, spark.conf.get(key)
+
+    def written(df, name):
+        during.append(spark.conf.get(key))
+        return stored(df, name)
+
+    monkeypatch.setattr(ts, "written", written)
+    slots, _ = ts.materialise(make_docs([(1, "word " * 900)]), ts.Layout(queries.TOKENIZER, length=64), folder=str(tmp_path / "t"))
+    assert slots.count() == 15 and during == [str(8 << 20)] and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    blobs = spark.range(24, numPartitions=1).selectExpr("repeat('x', 1000000) AS blob")
+    with small_batches(spark):
+        assert blobs.mapInArrow(sizes, "bytes long").agg({"bytes": "max"}).first()[0] < 10_000_000
+
+
 # queries and pipeline
 
 
