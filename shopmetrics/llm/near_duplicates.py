@@ -30,8 +30,6 @@ LANES = 128
 SAMPLE = 512
 #: Sets of up to so many hashes are compared whole, so that their pairs are decided where they meet.
 WHOLE = 4096
-#: Words whose hashes a task remembers.
-KNOWN_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -67,14 +65,10 @@ class Join:
         return int(LANES * min(1.0, d + self.slack * (d * (1 - d) / LANES) ** 0.5)) + 1
 
 
-class _Hashes(dict):
-    """Hash of each word, worked out once."""
+class _Hashes:
+    """Hash of each word. It is worked out faster than it is looked up, and a corpus has too many words to keep."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    __getitem__ = staticmethod(xxhash.xxh64_intdigest)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,7 +79,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes | None, words: int, known: dict) -> np.ndarray:
+def shingles(text: bytes | None, words: int, known: _Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words of a lower-cased text. A text with fewer
     words is one shingle; none without words."""
     cut = text.lower().split() if text else []

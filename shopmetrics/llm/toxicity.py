@@ -98,15 +98,15 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, s: Settin
     """The difference of the two classes' scores per bucket, and the line that makes a document's worst passage
     the log odds of label 1."""
     none = 1 << s.bits  # the bucket of no n-gram
-    table_rows, sizes = [], []
-    for text in texts:
-        found = [_cells(np.where(inside > 0, bucket.astype(np.int32), none) + 1) for bucket, inside in grams(text, s)]
-        rows = np.concatenate(found, axis=1) - 1
-        rows[rows < 0] = none
-        table_rows.append(rows.astype(np.int32))
-        sizes.append(len(rows))
-    cells, sizes = np.concatenate(table_rows), np.array(sizes)
-    del table_rows
+    sizes = np.array([-(-(len(text) + 2) // CELL) for text in texts])
+    # Filled in place: so many small arrays would leave the worker large after the fit.
+    cells, start = np.empty((sizes.sum(), CELL * (s.longest - s.shortest + 1)), np.int32), 0
+    for text, size in zip(texts, sizes):
+        for k, (bucket, inside) in enumerate(grams(text, s)):
+            found = np.where(inside > 0, bucket.astype(np.int32), none) + 1
+            cells[start : start + size, k * CELL : (k + 1) * CELL] = _cells(found) - 1
+        start += size
+    cells[cells < 0] = none
     counts = (cells != none).sum(axis=1).astype(np.float32)
     begins = np.cumsum(sizes) - sizes
     lone = sizes == 1
