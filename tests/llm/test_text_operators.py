@@ -259,6 +259,29 @@ def test_short_lines_meet_all_similar_ones():
         assert a == b or not fl.similar(a, b, 80) or one & two
 
 
+def test_grams_exclude_only_unlike_lines(monkeypatch):
+    pick = random.Random(9)
+    one = [prose(pick, pick.randint(1, 60)).encode() for _ in range(300)] + [b"", b"a", b"ab"]
+    two = [changed(a, pick, pick.randint(0, len(a) // 4)) if a and k % 3 else prose(pick, 30).encode() for k, a in enumerate(one)]
+    assert fl.similar_pairs(one, two, 80) == [fl.similar(a, b, 80) for a, b in zip(one, two)]
+    asked = []
+    monkeypatch.setattr(fl, "similar", lambda *pair: asked.append(pair))
+    fl.similar_pairs([bytes([97 + k] * 100) for k in range(9)], [bytes([107 + k] * 100) for k in range(9)], 80)
+    assert not asked
+
+
+def test_windows_have_the_least_hashes_of_each_line():
+    pick = random.Random(10)
+    lines = [bytes(pick.choice(b"abcdefgh ") for _ in range(pick.randint(60, 900))) for _ in range(200)] + [b"ab" * 200, b"q" * 500]
+    found = [set() for _ in lines]
+    for line, node, _ in fl._windows(lines, 16, 12):
+        for k, n in zip(line.tolist(), node.tolist()):
+            found[k].add(n)
+    for line, own in zip(lines, found):
+        at = fl.np.arange(len(line) - 15)
+        assert own == set(sorted(set(fl._hashed(line + bytes(8), at, 16).tolist()))[:12])
+
+
 def test_fuzzy_lines_empty(make_docs):
     assert fl.fuzzy_lines(make_docs([(1, "a")]).limit(0)).collect() == []
     assert fl.without_lines("a\nb\nc", [1]) == "a\nc" and fl.without_lines(None, []) is None
