@@ -200,14 +200,21 @@ def _matrix(lanes: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(lanes.to_pylist()), np.uint16).reshape(-1, LANES)
 
 
+def _asked(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``facts`` whose classes are in ``pairs``, a stored table. Its size is known, so that where it is small
+    it goes to the facts, and these are not shuffled whole in each step for the sake of few pairs."""
+    return looked_up(facts, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), ["cls"])
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """Pairs near enough by the lowest bits of their lanes, and then by their lanes."""
     for side in ("a", "b"):
         pairs = looked_up(pairs, classes.select("cls", "bits_1", "bits_2").toDF(side, f"{side}_1", f"{side}_2"), [side])
     apart = F.bit_count(F.col("a_1").bitwiseXOR(F.col("b_1"))) + F.bit_count(F.col("a_2").bitwiseXOR(F.col("b_2")))
-    pairs = pairs.where(apart <= join.most_apart).select("a", "b")
+    pairs, _ = written(pairs.where(apart <= join.most_apart).select("a", "b"), "near-pairs")
+    lanes = _asked(classes.select("cls", "lanes"), pairs)
     for side in ("a", "b"):
-        pairs = looked_up(pairs, classes.select("cls", "lanes").toDF(side, f"lanes_{side}"), [side])
+        pairs = looked_up(pairs, lanes.toDF(side, f"lanes_{side}"), [side])
     return _equal_lanes(pairs, join.least_equal)
 
 
@@ -242,8 +249,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs ``a, b`` of classes whose full sets are as similar as asked for. Texts travel and are cut into
     shingles again: they are shorter than their sets of hashes."""
     words, percent = join.words, join.percent
+    pairs, _ = written(pairs, "likely-pairs")
+    texts = _asked(texts.select("cls", "text"), pairs)
     for side in ("a", "b"):
-        pairs = looked_up(pairs, texts.select("cls", "text").toDF(side, f"text_{side}"), [side])
+        pairs = looked_up(pairs, texts.toDF(side, f"text_{side}"), [side])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, recent = _Hashes(), OrderedDict()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.llm import near_duplicates as nd
 from shopmetrics.llm import toxicity as tx
-from shopmetrics.llm.common import BATCH, ship, written
+from shopmetrics.llm.common import BATCH, set_to, ship, written
 
 
 def test_texts_go_to_python_in_small_batches(spark):
@@ -46,3 +46,13 @@ def test_no_words_are_kept_and_training_fills_one_array():
     scores, slope, _ = tx.train(texts, labels, np.ones(20), settings)
     model = tx.Model(scores, slope, 0.0, 0.1, settings)
     assert tx.score_text(b"zgrok bad zgrok", model) > tx.score_text(b"fine words here", model)
+
+
+def test_few_pairs_go_to_the_texts(spark):
+    """A small stored table of pairs does not make the larger one be shuffled."""
+    texts, _ = written(spark.range(20_000).select(F.col("id").alias("cls"), F.sha2(F.col("id").cast("string"), 256).alias("text")), "texts")
+    pairs, _ = written(spark.createDataFrame([(1, 2), (2, 3), (2, 3)], "a long, b long"), "pairs")
+    with set_to(spark, "spark.sql.autoBroadcastJoinThreshold", str(256 << 10)):
+        found = nd._asked(texts, pairs)
+        assert "BroadcastHashJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+        assert sorted(r["cls"] for r in found.collect()) == [1, 2, 3]
