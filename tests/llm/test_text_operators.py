@@ -282,6 +282,40 @@ def test_windows_have_the_least_hashes_of_each_line():
         assert own == set(sorted(set(fl._hashed(line + bytes(8), at, 16).tolist()))[:12])
 
 
+def test_edits_of_many_pairs_match_one_by_one():
+    pick = random.Random(11)
+    one = [prose(pick, pick.choice([1, 3, 10, 30, 90])).encode() for _ in range(900)]
+    two = [changed(a, pick, pick.randint(1, 1 + len(a) // 3)) for a in one]
+    pairs = [p for p in (sorted(fl._trimmed(a, b), key=len) for a, b in zip(one, two)) if p[0]]
+    most = fl.np.array([pick.randint(0, len(a) // 3 + 2) for a, _ in pairs])
+    expected = [fl.edit_distance(a, b, int(k)) <= k for (a, b), k in zip(pairs, most)]
+    assert fl._within([a for a, _ in pairs], [b for _, b in pairs], most).tolist() == expected
+    assert 100 < sum(expected) < len(pairs) - 100
+    assert fl.similar_pairs(one, two, 80) == [fl.similar(a, b, 80) for a, b in zip(one, two)]
+
+
+def test_members_of_large_nodes_all_meet(make_docs):
+    """A chain of lines around common windows, more than meet at once, and lines of many more that only share windows."""
+    pick = random.Random(12)
+    lines = [(prose(pick, 3) + " the quick brown fox of the northern woods jumps " + prose(pick, 2))[:74] for _ in range(2 * fl.FEW)]
+    chain = [prose(pick, 9)]
+    while len(chain) < 2 * fl.FEW:
+        chain.append(changed(chain[-1].encode(), pick, 2).decode())
+    rows = [(k, line) for k, line in enumerate(lines + chain)] + [(None, chain[3]), (None, lines[3]), (None, chain[3]), (5, chain[9])]
+    expected = brute_lines(rows, fl.Lines())
+    assert sorted(map(tuple, fl.fuzzy_lines(make_docs(rows)).collect()), key=str) == expected
+
+
+def test_fuzzy_lines_store_neither_windows_nor_other_texts(make_docs, monkeypatch):
+    pick = random.Random(13)
+    some = [prose(pick, 60) for _ in range(300)]
+    tables, held = {}, fl.written
+    monkeypatch.setattr(fl, "written", lambda df, name: [tables.setdefault(name, (df.columns, out[0].count())) and out for out in [held(df, name)]][0])
+    assert fl.fuzzy_lines(make_docs([(k, line) for k, line in enumerate([*some, some[7] + " end"])])).count() == 301
+    assert all({"nodes", "text"}.isdisjoint(tables[name][0]) for name in ("lines", "line-classes", "line-spots"))
+    assert 2 <= tables["line-texts"][1] < 100
+
+
 def test_fuzzy_lines_empty(make_docs):
     assert fl.fuzzy_lines(make_docs([(1, "a")]).limit(0)).collect() == []
     assert fl.without_lines("a\nb\nc", [1]) == "a\nc" and fl.without_lines(None, []) is None
