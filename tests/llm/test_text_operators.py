@@ -2,6 +2,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -294,6 +295,60 @@ def test_edits_of_many_pairs_match_one_by_one():
     assert fl.similar_pairs(one, two, 80) == [fl.similar(a, b, 80) for a, b in zip(one, two)]
 
 
+def test_unlike_long_lines_are_told_apart_side_by_side(monkeypatch):
+    """Lines of the same words in another order pass any count of letters or 3-grams. Pairs of over 1024 bytes were compared
+    one by one to their ends, and batch by batch."""
+    pick = random.Random(14)
+    one = [" ".join(pick.choices(["thing", "the", "with", "ning", "ered", "on"], k=pick.randint(260, 320))).encode() for _ in range(60)]
+    two = [changed(a, pick, 99) if k % 4 == 0 else b" ".join(pick.sample(words := a.split(), len(words))) for k, a in enumerate(one)]
+    expected = [fl.edit_distance(a, b, 1 << 30) <= max(len(a), len(b)) // 5 for a, b in zip(one, two)]
+    assert sum(expected) == 15
+    assert [fl.similar(a, b, 80) for a, b in zip(one, two)] == expected
+    alone = []
+    for name in ("similar", "edit_distance"):
+        monkeypatch.setattr(fl, name, lambda *pair: alone.append(pair))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array(one), pa.array(two)], names=["a", "b", "text_a", "text_b"])
+    found = [n for part in fl.linked((rows.slice(k, 3) for k in range(0, 60, 3)), 80) for n in part.column(0).to_pylist()]
+    assert sorted(found) == [k for k, same in enumerate(expected) if same] and not alone
+
+
+def test_edits_up_to_the_limit_are_found_side_by_side():
+    """Lines that are as much longer as may be, and lines one edit beyond."""
+    pick = random.Random(16)
+    for size in (52, 80, 82, 128, 156, 400, 1100):
+        one = [bytes(pick.choice(b"abcdefgh ") for _ in range(size)) for _ in range(40)]
+        two = []
+        for k, a in enumerate(one):
+            b = bytearray(a)
+            for _ in range(size // 4 + k % 2):
+                at = pick.choice([pick.randrange(len(b) + 1), len(b), 0, len(b) // 2])
+                b[at:at] = bytes([pick.choice(b"xyz")])
+            two.append(bytes(b))
+        most = np.array([(len(b) - len(a)) - (k % 3 == 0) for k, (a, b) in enumerate(zip(one, two))])
+        assert fl._within(one, two, most).tolist() == [k % 3 > 0 for k in range(40)]
+        assert fl.similar_pairs(one, two, 80) == [fl.similar(a, b, 80) for a, b in zip(one, two)]
+
+
+def test_least_edits_are_a_lower_bound():
+    """For each word of a column: the edits of the best way through its places."""
+    pick = random.Random(15)
+    for _ in range(40):
+        a = bytes(pick.choice(b"abc") for _ in range(128))
+        b = changed(a, pick, pick.randint(0, 60))
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                rows[i].append(min(rows[i - 1][j - 1] + (x != y), rows[i][j - 1] + 1, rows[i - 1][j] + 1))
+        for j in range(8, len(b), 25):
+            apart = [rows[i][j] - rows[i - 1][j] for i in range(1, 129)]
+            up, down = (np.packbits([d == k for d in apart], bitorder="little").view(np.uint64)[:, None] for k in (1, -1))
+            score = np.array([[rows[64][j]], [rows[128][j]]])
+            least = fl._least(up, down, score, len(a) - len(b) + j - np.array([[0], [64]]))
+            real = min(rows[i][j] + abs(len(a) - i - len(b) + j) for i in range(129))
+            assert real - 12 <= least.item() <= real
+
+
 def test_members_of_large_nodes_all_meet(make_docs):
     """A chain of lines around common windows, more than meet at once, and lines of many more that only share windows."""
     pick = random.Random(12)
