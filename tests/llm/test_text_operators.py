@@ -371,6 +371,69 @@ def test_fuzzy_lines_store_neither_windows_nor_other_texts(make_docs, monkeypatc
     assert 2 <= tables["line-texts"][1] < 100
 
 
+def counted(monkeypatch):
+    """Rows of each table that is stored, by name."""
+    tables, held = {}, fl.written
+
+    def written(df, name):
+        out = held(df, name)
+        tables.setdefault(name, []).append(out[0].count())
+        return out
+
+    monkeypatch.setattr(fl, "written", written)
+    return tables
+
+
+def test_unlike_lines_of_a_large_node_store_no_pairs(make_docs, monkeypatch):
+    """Lines of the same words in another order around one window: about 20,000 pairs were stored for them, and sent to
+    their texts."""
+    pick, tables = random.Random(17), counted(monkeypatch)
+    words = ["thing", "the", "with", "ning", "ered", "on", "tion", "wh", "er", "ingly"] * 3
+    lines = [" ".join([*pick.sample(words, 30), "quick brown fox of northern woods", *pick.sample(words, 30)]) for _ in range(200)]
+    lines += [changed(lines[k].encode(), pick, 3).decode() for k in (3, 50, 120)]
+    rows = list(enumerate(lines))
+    assert sorted(map(tuple, fl.fuzzy_lines(make_docs(rows)).collect()), key=str) == brute_lines(rows, fl.Lines())
+    assert sum(tables["line-pairs"]) < 4000 and tables["line-meetings"][0] < 20 * len(lines)
+    assert sum(tables["line-links"]) < 100
+
+
+@pytest.mark.parametrize("most, some", [(None, fl.Lines(small=12)), (30_000, fl.Lines(small=12, distance=20))])
+def test_chunks_of_large_nodes_meet_each_other(make_docs, monkeypatch, most, some):
+    """Nodes of more members than meet in a cell, with links from chunk to chunk; and texts that travel in slices."""
+    pick, tables, slices, held = random.Random(18), counted(monkeypatch), [], fl._slices
+    monkeypatch.setattr(fl, "_slices", lambda rows, by, all_: slices.append(held(rows, by, most or all_)) or slices[-1])
+    lines = [prose(pick, 3) + " the quick brown fox of the northern woods jumps " + prose(pick, 3) for _ in range(45)]
+    chain = [prose(pick, 12)]
+    while len(chain) < 30:
+        chain.append(changed(chain[-1].encode(), pick, 2).decode())
+    rows = list(enumerate(lines + chain)) + [(None, lines[3]), (200, changed(lines[7].encode(), pick, 2).decode())]
+    assert sorted(map(tuple, fl.fuzzy_lines(make_docs(rows), lines=some).collect()), key=str) == brute_lines(rows, some)
+    assert min(tables["line-unsettled"]) > 0
+    assert max(map(len, slices)) > 1 or not most
+
+
+def test_pairs_of_several_nodes_are_compared_once(make_docs, monkeypatch):
+    """Of pairs that meet in many nodes, and of lines that are known to be connected, the edits are counted once."""
+    pick, asked, held = random.Random(19), [], fl.similar_pairs
+    monkeypatch.setattr(fl, "similar_pairs", lambda a, b, percent: asked.extend(zip(a, b)) or held(a, b, percent))
+    base = prose(pick, 30).encode()
+    texts = sorted({changed(base, pick, 1) for _ in range(120)} - {base})
+    line, node = fl.met_by(texts, 12)
+    common = [n for n, k in zip(*np.unique(node >> np.uint64(16), return_counts=True)) if k > fl.FEW]
+    assert len(common) > 5
+    spots = [(int(n), k, int(p) & fl.NOWHERE) for n in common for k, p in zip(line[node >> np.uint64(16) == n].tolist(), node[node >> np.uint64(16) == n])]
+    column = lambda values, kind: pa.array(values, kind)
+    cls = [k for _, k, _ in spots]
+    rows = pa.table({
+        "node": column([n for n, _, _ in spots], pa.int64()), "part": column([0] * len(spots), pa.int32()), "askers": column([0] * len(spots), pa.int32()),
+        "asks": column([True] * len(spots), pa.bool_()), "cls": column(cls, pa.int64()), "label": column(cls, pa.int64()),
+        "place": column([p for _, _, p in spots], pa.int32()), "text": column([texts[k] for k in cls], pa.binary()),
+    })
+    links = [tuple(x) for b in fl._cell_links(rows, fl.Lines(), False) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(set(asked)) == len(asked) < 4 * len(texts)
+    assert len(links) < len(texts) and len({k for x in links for k in x}) == len(set(cls))
+
+
 def test_fuzzy_lines_empty(make_docs):
     assert fl.fuzzy_lines(make_docs([(1, "a")]).limit(0)).collect() == []
     assert fl.without_lines("a\nb\nc", [1]) == "a\nc" and fl.without_lines(None, []) is None
